@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivemill.functions.variants import get, present
+from archivemill.functions.scalars import epoch_ms_to_timestamp
+from archivemill.functions.variants import get, non_null, present
 
 POSITION = ["file", "block", "line"]
 
@@ -93,7 +94,7 @@ def message_type(v: Column | str) -> Column:
     A JSON null under an embedding key counts as absent.
     """
     def filled(key: str) -> Column:
-        return ~F.coalesce(F.is_variant_null(F.try_variant_get(v, f"$.{key}", "variant")), F.lit(True))
+        return non_null(v, key).isNotNull()
 
     return (
         F.when(filled("retweeted_status"), "retweet")
@@ -104,8 +105,7 @@ def message_type(v: Column | str) -> Column:
 
 
 def deletions(lines: DataFrame) -> DataFrame:
-    from archivemill.functions.scalars import epoch_ms_to_timestamp
-
+    """Deletion notices as rows; not de-duplicated."""
     millis = get("v", "delete.timestamp_ms", "string")
     return (
         routed(lines)

@@ -36,27 +36,40 @@ def _chain(v: Column) -> Column:
     return F.aggregate(steps, F.array(v), step)
 
 
-def levels(lines: DataFrame) -> DataFrame:
-    """Archive lines -> ``(file, block, line, depth, access, tweet_type, v)``."""
+def levels(lines: DataFrame, *, others: bool = False) -> DataFrame:
+    """Archive lines -> ``(file, block, line, depth, access, tweet_type, v)``.
+
+    With ``others`` the lines that are no messages stay too, as one row with
+    their ``route`` and text, so that one pass can feed every output.
+    """
+    extra = ["route", "text"] if others else []
+    is_message = F.col("route") == "message"
     df = routed(lines).select(
         *POSITION,
         get("v", "created_at", "string").alias("seen"),
-        F.when(F.col("route") == "message", F.col("v")).alias("l0"),
+        F.when(is_message, F.col("v")).alias("l0"),
+        "route",
+        F.when(~is_message, F.col("value")).alias("text"),
     )
     for depth in range(1, PLAIN_LEVELS):
         df = df.withColumn(f"l{depth}", _child(f"l{depth - 1}"))
     plain = F.posexplode(F.array(*(f"l{d}" for d in range(PLAIN_LEVELS))))
-    df = df.select(*POSITION, "seen", plain.alias("depth", "v")).filter(F.col("v").isNotNull())
+    df = df.select(*POSITION, "seen", *extra, plain.alias("depth", "v"))
+    kept = F.col("v").isNotNull()
+    if others:
+        kept = kept | ((F.col("depth") == 0) & (F.col("route") != "message"))
+    df = df.filter(kept)
 
     # Only a message at the last plain level can have more below it.
     last = F.col("depth") == PLAIN_LEVELS - 1
     below = F.posexplode(F.when(last, _chain(F.col("v"))).otherwise(F.array("v")))
-    df = df.select(*POSITION, "seen", "depth", below.alias("more", "v"))
+    df = df.select(*POSITION, "seen", *extra, "depth", below.alias("more", "v"))
     return df.select(
         *POSITION,
         (F.col("depth") + F.col("more")).alias("depth"),
         created_at_to_timestamp(F.col("seen")).alias("access"),
         message_type("v").alias("tweet_type"),
+        *extra,
         "v",
     )
 
@@ -127,16 +140,10 @@ FIELDS: dict[str, tuple[str, str]] = {
 }
 
 
-def sightings(flat: DataFrame, *, extended: bool = False) -> DataFrame:
-    """``levels`` -> wide typed frame, complete messages only.
-
-    Every field is its own path lookup, so Catalyst drops the ones a query does
-    not use.  ``extended`` prefers the entities of the extended form; without it
-    they count only under the (unusual) key ``extended_text``.
-    """
-    keep = [*POSITION, "depth", "access", "tweet_type", "v"]
-    fields = [get("v", path, dtype).alias(name) for name, (path, dtype) in FIELDS.items()]
-    df = flat.select(*keep, *fields).filter(F.col("id").isNotNull() & F.col("author_id").isNotNull())
+def _typed(flat: DataFrame, extended: bool) -> DataFrame:
+    """Every field of FIELDS as a typed column, defaults applied; ``v`` stays."""
+    raw = [get("v", path, dtype).alias(name) for name, (path, dtype) in FIELDS.items()]
+    df = flat.select(*flat.columns, *raw)
 
     use_extended = present("v", "extended_text")
     if extended:
@@ -145,26 +152,50 @@ def sightings(flat: DataFrame, *, extended: bool = False) -> DataFrame:
     def entity(name: str) -> Column:
         return F.when(use_extended, F.col(f"x_{name}")).otherwise(F.col(name)).alias(name)
 
+    def default(name: str, value, out: str) -> Column:
+        return with_default(F.col(name), "v", FIELDS[name][0], value).alias(out)
+
     derived = {
-        "lang_value": with_default(F.col("lang_value"), "v", "lang", "unknown").alias("lang"),
-        "retweets": with_default(F.col("retweets"), "v", "retweet_count", -1).alias("retweets"),
-        "favorites": with_default(F.col("favorites"), "v", "favorite_count", -1).alias("favorites"),
-        "sensitive_value": with_default(
-            F.col("sensitive_value"), "v", "possibly_sensitive", False
-        ).alias("sensitive"),
-        "banner_value": with_default(
-            F.col("banner_value"), "v", "user.profile_banner_url", ""
-        ).alias("banner"),
+        "lang_value": default("lang_value", "unknown", "lang"),
+        "retweets": default("retweets", -1, "retweets"),
+        "favorites": default("favorites", -1, "favorites"),
+        "sensitive_value": default("sensitive_value", False, "sensitive"),
+        "banner_value": default("banner_value", "", "banner"),
         "created_text": created_at_to_timestamp(F.col("created_text")).alias("created_at"),
         "user_created_text": created_at_to_timestamp(F.col("user_created_text")).alias(
             "user_created_at"
         ),
         **{n: entity(n) for n in ("hashtags", "urls", "mentions", "plain_media", "extended_media")},
     }
-    return df.select(
-        *(c for c in keep if c != "v"),
-        *(derived.get(name, F.col(name)) for name in FIELDS if not name.startswith("x_")),
-    )
+    fields = (derived.get(name, F.col(name)) for name in FIELDS if not name.startswith("x_"))
+    return df.select(*flat.columns, *fields)
+
+
+def _complete() -> Column:
+    return F.col("id").isNotNull() & F.col("author_id").isNotNull()
+
+
+def sightings(flat: DataFrame, *, extended: bool = False) -> DataFrame:
+    """``levels`` -> wide typed frame, messages with an id and an author only.
+
+    Every field is its own path lookup, so Catalyst drops the ones a query does
+    not use.  ``extended`` prefers the entities of the extended form; without it
+    they count only under the (unusual) key ``extended_text``.
+    """
+    return _typed(flat, extended).filter(_complete()).drop("v")
+
+
+def everything(lines: DataFrame, *, extended: bool = False) -> DataFrame:
+    """Sightings plus all other lines in one frame, made to be written once.
+
+    ``part`` is ``message`` for sightings, ``incomplete`` for messages without id
+    or author, else the line's route; ``text`` holds what is no sighting.
+    """
+    wide = _typed(levels(lines, others=True), extended)
+    is_message = F.col("route") == "message"
+    part = F.when(is_message & ~_complete(), "incomplete").otherwise(F.col("route"))
+    text = F.when(F.col("part") == "incomplete", F.to_json("v")).otherwise(F.col("text"))
+    return wide.withColumn("part", part).withColumn("text", text).drop("v", "route")
 
 
 def incomplete(flat: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from archivemill.operators import decode, flatten
+from archivemill.operators.decode import POSITION
 from archivemill.operators.latest import distinct_rows, latest_sighting
 from archivemill.operators.tables import DISTINCT_TABLES, LATEST_TABLES, without_counts
 from archivemill.plans.sinks import write_notices, write_table
@@ -68,18 +70,26 @@ def run_parse(
 ) -> DataFrame:
     """Write every table, the notices, the rejects and the views below ``folder``.
 
-    The lines are decoded for the sightings once; the tables then read only
-    their own columns of the staged frame.  Returns the counts per type.
+    The lines are read and decoded once, into a staged columnar frame; every
+    output then reads its own columns of that.  Returns the counts per type.
     """
     spark = lines.sparkSession
-    rows = staged(sightings_of(lines, extended=extended), "sightings")
-    built = tables(lines, timeline=timeline, hydrated=hydrated, sightings=rows)
+    stage = staged(flatten.everything(lines, extended=extended), "sightings")
+    rows = stage.filter(F.col("part") == "message")
+    rest = stage.filter(F.col("part") != "message").select(
+        *POSITION, "part", F.col("text").alias("value")
+    )
+    built = tables(rest, timeline=timeline, hydrated=hydrated, sightings=rows)
     for name, df in built.items():
         # The three latest-row tables are written even when empty.
         held_back = skip_empty and name not in LATEST_TABLES
         write_table(df, f"{folder}/{name}", fmt=fmt, skip_empty=held_back)
-    write_notices(decode.status_withheld_notices(lines), f"{folder}/become_withheld")
-    write_table(all_rejects(lines), f"{folder}/rejects")
+    write_notices(rest.filter(F.col("part") == "status_withheld"), f"{folder}/become_withheld")
+    broken = decode.rejects(rest.filter(F.col("part") == "reject"))
+    partial = rest.filter(F.col("part") == "incomplete").select(
+        *POSITION, F.col("part").alias("reason"), "value"
+    )
+    write_table(broken.unionByName(partial), f"{folder}/rejects")
     if views:
         stored = {
             name: read_table(spark, folder, name, fmt=fmt, timeline=timeline, optional=True)

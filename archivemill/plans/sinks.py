@@ -38,9 +38,7 @@ def write_table(
     if skip_empty and df.isEmpty():
         return False
     if fmt == "csv":
-        as_text(df).write.mode(mode).option("header", True).option("escape", '"').option(
-            "emptyValue", ""
-        ).csv(path)
+        as_text(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
     return True

@@ -27,7 +27,7 @@ def _reader(spark: SparkSession, pattern: str, *, skip_broken: bool):
 def archive_files(spark: SparkSession, root: str) -> DataFrame:
     """The archive's files with their sizes; no content is read."""
     files = _reader(spark, "*.bz2", skip_broken=False).format("binaryFile").load(root)
-    return files.select("path", "length")
+    return files.select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def _by_split(spark: SparkSession, root: str | list[str], pattern: str, *, skip_broken: bool) -> DataFrame:
@@ -85,7 +85,7 @@ def archive_lines(
 def skipped_files(spark: SparkSession, root: str) -> DataFrame:
     """Archive files that cannot be read to their end and so give no lines."""
     whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
-    read = whole.select(F.col("_metadata.file_path").alias("path"), "value").select("path")
+    read = whole.select(F.col("_metadata.file_path").alias("path"))
     return archive_files(spark, root).join(read, "path", "left_anti")
 
 

@@ -29,6 +29,7 @@ CREATED_AT_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 ORIGINAL_BASE = 1_000_000_000
 QUOTED_BASE = 2_000_000_000
 AUTHORS = 150
+BLOCK = 2000
 
 # A rendered JSON value is a string column; SQL NULL stands for "key absent".
 
@@ -183,6 +184,7 @@ def message_lines(events: DataFrame) -> DataFrame:
     """``events`` -> archive lines ``(file, block, line, value)``.
 
     ``line`` is the event id: it grows along the file, and only the order counts.
+    A new ``block`` starts every 2,000 events.
     """
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     ts = F.col("ts").cast("timestamp")
@@ -213,7 +215,7 @@ def message_lines(events: DataFrame) -> DataFrame:
     embedding = F.coalesce(F.concat(key, part[1], nested, F.lit("}")), F.lit(""))
     return events.select(
         F.concat(F.date_format(ts, "yyyy/MM/dd/HH"), F.lit("/00.json.bz2")).alias("file"),
-        F.lit(0).cast("long").alias("block"),
+        (e - e % BLOCK).alias("block"),
         e.alias("line"),
         "event_type",
         F.when(kind == "error", _notice(e, u, ts)).alias("notice"),

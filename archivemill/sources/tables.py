@@ -31,8 +31,6 @@ def read_table(
             reader.option("header", True)
             .option("multiLine", False)
             .option("escape", '"')
-            .option("nullValue", None)
-            .option("emptyValue", "")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
         )
     try:
