@@ -92,7 +92,7 @@ pairs AS (
   SELECT usr, hashtag, count(*) AS n FROM tags JOIN md USING (id) GROUP BY usr, hashtag
 ),
 deleted AS (
-  SELECT DISTINCT e - 1 AS id, u AS author_id, epoch_ms(ts) AS timestamp_ms, sec AS deletion_time
+  SELECT DISTINCT e - 1 AS id, u AS author_id, epoch_us(ts) // 1000 AS timestamp_ms, sec AS deletion_time
   FROM ev WHERE k = 'error' AND e % 2 = 1 AND e % 30 <> 1
 ),
 owners AS (

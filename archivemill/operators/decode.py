@@ -43,6 +43,17 @@ def routed(lines: DataFrame) -> DataFrame:
     return decode(lines).withColumn("route", route("v"))
 
 
+def on_route(lines: DataFrame, wanted: str, *columns: Column | str) -> DataFrame:
+    """``columns`` of the lines on one route.
+
+    The rows are generated, not filtered: a filter on the route would be pushed
+    below the decoding and have every line parsed again for its condition.
+    """
+    row = F.when(F.col("route") == wanted, F.struct(*columns))
+    rows = routed(lines).select(F.explode(F.array(row)).alias("row"))
+    return rows.filter(F.col("row").isNotNull()).select("row.*")
+
+
 def reject_reason(value: Column, v: Column) -> Column:
     other_json = F.try_parse_json(value).isNotNull() & ~F.startswith(
         F.ltrim(value, F.lit(" \t")), F.lit("{")
@@ -54,15 +65,12 @@ def reject_reason(value: Column, v: Column) -> Column:
 
 def rejects(lines: DataFrame) -> DataFrame:
     """Lines that become no row anywhere, with their position and the reason."""
-    return (
-        routed(lines)
-        .filter(F.col("route") == "reject")
-        .select(*POSITION, reject_reason(F.col("value"), F.col("v")).alias("reason"), "value")
-    )
+    reason = reject_reason(F.col("value"), F.col("v")).alias("reason")
+    return on_route(lines, "reject", *POSITION, reason, "value")
 
 
 def status_withheld_notices(lines: DataFrame) -> DataFrame:
-    return routed(lines).filter(F.col("route") == "status_withheld").select(*POSITION, "value")
+    return on_route(lines, "status_withheld", *POSITION, "value")
 
 
 def counts_probe(lines: DataFrame) -> DataFrame:
@@ -107,13 +115,11 @@ def message_type(v: Column | str) -> Column:
 def deletions(lines: DataFrame) -> DataFrame:
     """Deletion notices as rows; not de-duplicated."""
     millis = get("v", "delete.timestamp_ms", "string")
-    return (
-        routed(lines)
-        .filter(F.col("route") == "delete")
-        .select(
-            get("v", "delete.status.id", "bigint").alias("id"),
-            get("v", "delete.status.user_id", "bigint").alias("author_id"),
-            millis.try_cast("bigint").alias("timestamp_ms"),
-            epoch_ms_to_timestamp(millis).alias("deletion_time"),
-        )
+    return on_route(
+        lines,
+        "delete",
+        get("v", "delete.status.id", "bigint").alias("id"),
+        get("v", "delete.status.user_id", "bigint").alias("author_id"),
+        millis.try_cast("bigint").alias("timestamp_ms"),
+        epoch_ms_to_timestamp(millis).alias("deletion_time"),
     )

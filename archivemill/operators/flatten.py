@@ -142,8 +142,10 @@ FIELDS: dict[str, tuple[str, str]] = {
 
 def _typed(flat: DataFrame, extended: bool) -> DataFrame:
     """Every field of FIELDS as a typed column, defaults applied; ``v`` stays."""
-    raw = [get("v", path, dtype).alias(name) for name, (path, dtype) in FIELDS.items()]
-    df = flat.select(*flat.columns, *raw)
+    df = flat.selectExpr(
+        "*",
+        *(f"try_variant_get(v, '$.{path}', '{dtype}') AS {name}" for name, (path, dtype) in FIELDS.items()),
+    )
 
     use_extended = present("v", "extended_text")
     if extended:

@@ -30,6 +30,8 @@ def local_session(cores: int | str = 8, app: str = "archivemill", **extra: str)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Expressions are many and small: recording a call site for each is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
     )
     for key, value in {**SQL_SETTINGS, **extra}.items():

@@ -20,164 +20,179 @@ error      by ``event_id % 10``: 0 limit, 2 scrub_geo, 4 status_withheld,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from archivemill.session import spread
 
-CREATED_AT_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 ORIGINAL_BASE = 1_000_000_000
 QUOTED_BASE = 2_000_000_000
 AUTHORS = 150
 BLOCK = 2000
 
-# A rendered JSON value is a string column; SQL NULL stands for "key absent".
+# The rules are SQL expressions put together as text.  An expression renders a
+# piece of JSON; SQL NULL stands for "key absent".
 
 
-def _fields(**fields: Column) -> Column:
-    return F.concat_ws(",", *(F.concat(F.lit(f'"{key}":'), value) for key, value in fields.items()))
+def _fields(**fields: str) -> str:
+    pairs = (f"""concat('"{key}":', {value})""" for key, value in fields.items())
+    return f"concat_ws(',', {', '.join(pairs)})"
 
 
-def _obj(**fields: Column) -> Column:
-    return F.concat(F.lit("{"), _fields(**fields), F.lit("}"))
+def _obj(**fields: str) -> str:
+    return f"concat('{{', {_fields(**fields)}, '}}')"
 
 
-def _arr(*items: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+def _arr(*items: str) -> str:
+    return f"concat('[', concat_ws(',', {', '.join(items)}), ']')"
 
 
-def _num(value: Column) -> Column:
-    return value.cast("string")
+def _num(value: str) -> str:
+    return f"cast({value} AS string)"
 
 
-def _txt(*parts: Column | str) -> Column:
-    """A JSON string; literal parts carry their own escapes."""
-    cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    return F.concat(F.lit('"'), *cols, F.lit('"'))
+def _txt(*parts: str) -> str:
+    """A JSON string of SQL expressions; literals stand in single quotes."""
+    return f"""concat('"', {', '.join(parts)}, '"')"""
 
 
-def _nullable(cond: Column, value: Column) -> Column:
+def _when(cond: str, value: str) -> str:
+    """The key is absent unless ``cond``."""
+    return f"CASE WHEN {cond} THEN {value} END"
+
+
+def _nullable(cond: str, value: str) -> str:
     """JSON null unless ``cond``; the key itself is always written."""
-    return F.when(cond, value).otherwise(F.lit("null"))
+    return f"CASE WHEN {cond} THEN {value} ELSE 'null' END"
 
 
-def _stamp(ts: Column) -> Column:
-    return _txt(F.date_format(ts, CREATED_AT_FORMAT))
+def _stamp(ts: str) -> str:
+    return _txt(f"date_format({ts}, 'EEE MMM dd HH:mm:ss \\'+0000\\' yyyy')")
 
 
-def _user(user: Column, seen_in: Column) -> Column:
+def _user(user: str, seen_in: str) -> str:
     # Counters follow the carrying message so that two sightings of a user differ.
     return _obj(
         id=_num(user),
         id_str=_txt(user),
-        created_at=_stamp(F.timestamp_seconds(F.lit(1262304000) + user * 86400)),
-        lang=_nullable(user % 2 == 0, _txt("en")),
-        name=F.when(user % 7 == 0, _txt("N", user, "\\r\\nx")).otherwise(_txt("N", user)),
-        screen_name=_txt("u", user),
-        location=_nullable(user % 4 != 0, _txt("L", user % 10, "\\nhere")),
-        description=_nullable(user % 5 != 0, _txt("d", user, "\\rend")),
-        url=_nullable(user % 3 != 1, _txt("http://u", user, ".example.com")),
-        followers_count=_num(seen_in % 1000 + user),
-        friends_count=_num(seen_in % 500),
-        favourites_count=_num(seen_in % 250),
-        listed_count=_num(user % 9),
+        created_at=_stamp(f"timestamp_seconds(1262304000 + {user} * 86400)"),
+        lang=_nullable(f"{user} % 2 = 0", _txt("'en'")),
+        name=_txt("'N'", user, f"CASE WHEN {user} % 7 = 0 THEN '\\\\r\\\\nx' ELSE '' END"),
+        screen_name=_txt("'u'", user),
+        location=_nullable(f"{user} % 4 <> 0", _txt("'L'", f"{user} % 10", "'\\\\nhere'")),
+        description=_nullable(f"{user} % 5 <> 0", _txt("'d'", user, "'\\\\rend'")),
+        url=_nullable(f"{user} % 3 <> 1", _txt("'http://u'", user, "'.example.com'")),
+        followers_count=_num(f"{seen_in} % 1000 + {user}"),
+        friends_count=_num(f"{seen_in} % 500"),
+        favourites_count=_num(f"{seen_in} % 250"),
+        listed_count=_num(f"{user} % 9"),
         statuses_count=_num(seen_in),
-        protected=_num(user % 12 == 0),
-        verified=_num(user % 40 == 0),
-        default_profile=_num(user % 2 == 1),
-        default_profile_image=_num(user % 25 == 0),
-        profile_background_image_url_https=_txt("https://bg.example.com/", user),
-        profile_image_url_https=_txt("https://img.example.com/", user),
-        profile_image_url=_txt("http://img.example.com/", user),
-        profile_banner_url=F.when(user % 6 != 0, _txt("https://banner.example.com/", user)),
-        time_zone=_nullable(user % 3 == 0, _txt("TZ", user % 8)),
-        utc_offset=_nullable(user % 5 == 0, _num((user % 24 - 12) * 3600)),
-        withheld_in_countries=F.when(user % 50 == 0, F.lit('["TR"]')),
+        protected=_num(f"{user} % 12 = 0"),
+        verified=_num(f"{user} % 40 = 0"),
+        default_profile=_num(f"{user} % 2 = 1"),
+        default_profile_image=_num(f"{user} % 25 = 0"),
+        profile_background_image_url_https=_txt("'https://bg.example.com/'", user),
+        profile_image_url_https=_txt("'https://img.example.com/'", user),
+        profile_image_url=_txt("'http://img.example.com/'", user),
+        profile_banner_url=_when(f"{user} % 6 <> 0", _txt("'https://banner.example.com/'", user)),
+        time_zone=_nullable(f"{user} % 3 = 0", _txt("'TZ'", f"{user} % 8")),
+        utc_offset=_nullable(f"{user} % 5 = 0", _num(f"({user} % 24 - 12) * 3600")),
+        withheld_in_countries=_when(f"{user} % 50 = 0", """'["TR"]'"""),
     )
 
 
-def _media(mid: Column, kind: str) -> Column:
+def _media(mid: str, kind: str) -> str:
     return _arr(
         _obj(
-            id_str=_txt("9", mid),
-            type=_txt(kind),
-            media_url_https=_txt(f"https://{kind}.example.com/", mid),
+            id_str=_txt("'9'", mid),
+            type=_txt(f"'{kind}'"),
+            media_url_https=_txt(f"'https://{kind}.example.com/'", mid),
         )
     )
 
 
-def _render(m: Column) -> Column:
+def _render(m: str) -> str:
     """The fields of one message ``(mid, user, ts, is_retweet, reply_to)``, without braces."""
-    mid, user, target = m["mid"], m["user"], m["reply_to"]
-    is_reply = target.isNotNull()
-    limited = user % 10 < 3
-    withheld = (
-        F.when(mid % 13 == 0, F.lit("null"))
-        .when(limited & (mid % 22 == 0), F.lit('["TR","DE"]'))
-        .when(limited & (mid % 11 == 0), F.lit('["TR"]'))
+    mid, user, target = f"{m}.mid", f"{m}.user", f"{m}.reply_to"
+    is_reply = f"{target} IS NOT NULL"
+    withheld = f"""CASE WHEN {mid} % 13 = 0 THEN 'null'
+        WHEN {user} % 10 < 3 AND {mid} % 22 = 0 THEN '["TR","DE"]'
+        WHEN {user} % 10 < 3 AND {mid} % 11 = 0 THEN '["TR"]' END"""
+    text = _txt("'t'", mid, "'\\\\n#h'", f"{mid} % 17")
+    link = _txt("'http://host'", f"{mid} % 9", "'.example.com/p/'", mid)
+    mentioned = f"{mid} * 7 % {AUTHORS}"
+    anchor = _txt(
+        """'<a href=\\\\"http://c'""",
+        f"{mid} % 3",
+        """'\\\\" rel=\\\\"nofollow\\\\">C'""",
+        f"{mid} % 3",
+        "'</a>'",
+    )
+    place = _obj(
+        country_code=_txt("'C'", f"{mid} % 5"), name=_txt("'P'", f"{mid} % 11"), place_type=_txt("'city'")
     )
-    text = _txt("t", mid, "\\n#h", mid % 17)
-    link = _txt("http://host", mid % 9, ".example.com/p/", mid)
-    mentioned = (mid * 7) % AUTHORS
-    client = mid % 3
-    anchor = _txt('<a href=\\"http://c', client, '\\" rel=\\"nofollow\\">C', client, "</a>")
     return _fields(
-        created_at=_stamp(m["ts"]),
+        created_at=_stamp(f"{m}.ts"),
         id=_num(mid),
-        text=F.when(mid % 8 != 0, text),
-        full_text=F.when(mid % 8 == 0, text),
-        source=F.when(mid % 29 == 0, _txt("web")).otherwise(anchor),
+        text=_when(f"{mid} % 8 <> 0", text),
+        full_text=_when(f"{mid} % 8 = 0", text),
+        source=f"CASE WHEN {mid} % 29 = 0 THEN {_txt("'web'")} ELSE {anchor} END",
         in_reply_to_status_id=_nullable(is_reply, _num(target)),
-        in_reply_to_user_id=_nullable(is_reply, _num(target % AUTHORS)),
-        in_reply_to_screen_name=_nullable(is_reply, _txt("u", target % AUTHORS)),
+        in_reply_to_user_id=_nullable(is_reply, _num(f"{target} % {AUTHORS}")),
+        in_reply_to_screen_name=_nullable(is_reply, _txt("'u'", f"{target} % {AUTHORS}")),
         user=_user(user, mid),
-        place=_nullable(
-            mid % 4 == 0,
-            _obj(
-                country_code=_txt("C", mid % 5),
-                name=_txt("P", mid % 11),
-                place_type=_txt("city"),
-            ),
-        ),
-        lang=F.when(mid % 31 == 0, F.lit("null")).when(mid % 23 != 0, _txt("en")),
-        retweet_count=F.when(mid % 19 != 0, _num(mid % 100)),
-        favorite_count=F.when(mid % 37 == 0, F.lit("null")).when(mid % 41 != 0, _num(mid % 50)),
-        reply_count=_num(mid % 7),
-        quote_count=_num(mid % 3),
-        possibly_sensitive=F.when(mid % 4 == 1, _num(mid % 8 == 1)),
+        place=_nullable(f"{mid} % 4 = 0", place),
+        lang=f"CASE WHEN {mid} % 31 = 0 THEN 'null' WHEN {mid} % 23 <> 0 THEN {_txt("'en'")} END",
+        retweet_count=_when(f"{mid} % 19 <> 0", _num(f"{mid} % 100")),
+        favorite_count=f"""CASE WHEN {mid} % 37 = 0 THEN 'null'
+            WHEN {mid} % 41 <> 0 THEN {_num(f"{mid} % 50")} END""",
+        reply_count=_num(f"{mid} % 7"),
+        quote_count=_num(f"{mid} % 3"),
+        possibly_sensitive=_when(f"{mid} % 4 = 1", _num(f"{mid} % 8 = 1")),
         withheld_in_countries=withheld,
         entities=_obj(
             hashtags=_arr(
-                F.when(mid % 3 == 0, _obj(text=_txt("h", mid % 17))),
-                F.when(mid % 6 == 0, _obj(text=_txt("h", mid % 5))),
+                _when(f"{mid} % 3 = 0", _obj(text=_txt("'h'", f"{mid} % 17"))),
+                _when(f"{mid} % 6 = 0", _obj(text=_txt("'h'", f"{mid} % 5"))),
+            ),
+            urls=_arr(
+                _when(f"{mid} % 4 = 1", _obj(expanded_url=_nullable(f"{mid} % 20 <> 5", link)))
             ),
-            urls=_arr(F.when(mid % 4 == 1, _obj(expanded_url=_nullable(mid % 20 != 5, link)))),
             user_mentions=_arr(
-                F.when(mid % 7 == 0, _obj(id_str=_txt(mentioned), screen_name=_txt("u", mentioned)))
+                _when(
+                    f"{mid} % 7 = 0",
+                    _obj(id_str=_txt(mentioned), screen_name=_txt("'u'", mentioned)),
+                )
             ),
-            media=F.when(mid % 10 == 0, _media(mid, "photo")),
+            media=_when(f"{mid} % 10 = 0", _media(mid, "photo")),
+        ),
+        extended_entities=_when(f"{mid} % 20 = 0", _obj(media=_media(mid, "video"))),
+        extended_tweet=_when(
+            f"{mid} % 12 = 0 AND NOT {m}.is_retweet", _obj(full_text=_txt("'x'", mid))
         ),
-        extended_entities=F.when(mid % 20 == 0, _obj(media=_media(mid, "video"))),
-        extended_tweet=F.when((mid % 12 == 0) & ~m["is_retweet"], _obj(full_text=_txt("x", mid))),
     )
 
 
-def _notice(e: Column, u: Column, ts: Column) -> Column:
-    withheld = _obj(id=_num(e), user_id=_num(u), withheld_in_countries=F.lit('["TR"]'))
+def _notice() -> str:
+    e, u = "event_id", "user_id"
+    withheld = _obj(id=_num(e), user_id=_num(u), withheld_in_countries="""'["TR"]'""")
     deletion = _obj(
         delete=_obj(
-            status=_obj(id=_num(e - 1), user_id=_num(u)),
-            timestamp_ms=_txt(F.unix_millis(ts)),
+            status=_obj(id=_num(f"{e} - 1"), user_id=_num(u)),
+            timestamp_ms=_txt("unix_millis(cast(ts AS timestamp))"),
         )
     )
-    return (
-        F.when(e % 30 == 1, F.concat(F.lit('{"delete":{"status":{"id":'), _num(e)))
-        .when(e % 2 == 1, deletion)
-        .when(e % 10 == 0, _obj(limit=_obj(track=_num(e))))
-        .when(e % 10 == 2, _obj(scrub_geo=_obj(user_id=_num(u))))
-        .when(e % 10 == 4, _obj(status_withheld=withheld))
-        .otherwise(withheld)
-    )
+    return f"""CASE
+        WHEN {e} % 30 = 1 THEN concat('{{"delete":{{"status":{{"id":', {e})
+        WHEN {e} % 2 = 1 THEN {deletion}
+        WHEN {e} % 10 = 0 THEN {_obj(limit=_obj(track=_num(e)))}
+        WHEN {e} % 10 = 2 THEN {_obj(scrub_geo=_obj(user_id=_num(u)))}
+        WHEN {e} % 10 = 4 THEN {_obj(status_withheld=withheld)}
+        ELSE {withheld} END"""
+
+
+def _level(mid: str, user: str, at: str, is_retweet: str = "false", reply_to: str = "NULL") -> str:
+    return f"""named_struct('mid', cast({mid} AS bigint), 'user', cast({user} AS bigint),
+        'ts', {at}, 'is_retweet', {is_retweet}, 'reply_to', cast({reply_to} AS bigint))"""
 
 
 def message_lines(events: DataFrame) -> DataFrame:
@@ -186,45 +201,40 @@ def message_lines(events: DataFrame) -> DataFrame:
     ``line`` is the event id: it grows along the file, and only the order counts.
     A new ``block`` starts every 2,000 events.
     """
-    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    ts = F.col("ts").cast("timestamp")
-    tens, hundreds = F.floor(e / 10), F.floor(e / 100)
-    original, quoted = tens + ORIGINAL_BASE, hundreds + QUOTED_BASE
-
-    def level(mid: Column, user: Column, at: Column, is_retweet: Column, reply_to: Column) -> Column:
-        return F.struct(
-            mid.cast("long").alias("mid"),
-            user.cast("long").alias("user"),
-            at.alias("ts"),
-            is_retweet.alias("is_retweet"),
-            reply_to.cast("long").alias("reply_to"),
-        )
-
-    def embedded(mid: Column, seconds: Column) -> Column:
-        return level(mid, mid % AUTHORS, F.timestamp_seconds(seconds), F.lit(False), F.lit(None))
-
-    levels = F.array(
-        level(e, u, ts, kind == "click", F.when(kind == "signup", e - 1)),
-        F.when(kind.isin("click", "purchase"), embedded(original, tens + 1701388800)),
-        F.when((kind == "click") & (original % 5 == 0), embedded(quoted, hundreds + 1698796800)),
+    original = f"({ORIGINAL_BASE} + event_id div 10)"
+    quoted = f"({QUOTED_BASE} + event_id div 100)"
+    outer = _level(
+        "event_id",
+        "user_id",
+        "cast(ts AS timestamp)",
+        "event_type = 'click'",
+        _when("event_type = 'signup'", "event_id - 1"),
+    )
+    repeated = _level(
+        original, f"{original} % {AUTHORS}", "timestamp_seconds(1701388800 + event_id div 10)"
+    )
+    nested = _level(
+        quoted, f"{quoted} % {AUTHORS}", "timestamp_seconds(1698796800 + event_id div 100)"
     )
-    parts = F.transform(levels, lambda m: F.when(m["mid"].isNotNull(), _render(m)))
-    part = F.col("parts")
-    nested = F.coalesce(F.concat(F.lit(',"quoted_status":{'), part[2], F.lit("}")), F.lit(""))
-    key = F.when(kind == "click", F.lit(',"retweeted_status":{')).otherwise(F.lit(',"quoted_status":{'))
-    embedding = F.coalesce(F.concat(key, part[1], nested, F.lit("}")), F.lit(""))
-    return events.select(
-        F.concat(F.date_format(ts, "yyyy/MM/dd/HH"), F.lit("/00.json.bz2")).alias("file"),
-        (e - e % BLOCK).alias("block"),
-        e.alias("line"),
+    levels = f"""array({outer}, {_when("event_type IN ('click', 'purchase')", repeated)},
+        {_when(f"event_type = 'click' AND {original} % 5 = 0", nested)})"""
+    # One rendering rule for all levels; the pieces are then put inside each other.
+    parts = f"transform({levels}, m -> {_when('m.mid IS NOT NULL', _render('m'))})"
+    below = """coalesce(concat(',"quoted_status":{', parts[2], '}'), '')"""
+    key = "CASE event_type WHEN 'click' THEN 'retweeted' ELSE 'quoted' END"
+    embedded = f"""coalesce(concat(',"', {key}, '_status":{{', parts[1], {below}, '}}'), '')"""
+    return events.selectExpr(
+        "concat(date_format(ts, 'yyyy/MM/dd/HH'), '/00.json.bz2') AS file",
+        f"event_id - event_id % {BLOCK} AS block",
+        "event_id AS line",
         "event_type",
-        F.when(kind == "error", _notice(e, u, ts)).alias("notice"),
-        F.when(kind != "error", parts).alias("parts"),
-    ).select(
+        f"CASE WHEN event_type = 'error' THEN {_notice()} END AS notice",
+        f"CASE WHEN event_type <> 'error' THEN {parts} END AS parts",
+    ).selectExpr(
         "file",
         "block",
         "line",
-        F.coalesce("notice", F.concat(F.lit("{"), part[0], embedding, F.lit("}"))).alias("value"),
+        f"coalesce(notice, concat('{{', parts[0], {embedded}, '}}')) AS value",
     )
 
 
