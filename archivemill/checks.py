@@ -151,6 +151,15 @@ def _marked(mid: str, user: str) -> str:
     return f"({mid} % 13 = 0 OR ({user} % 10 < 3 AND {mid} % 11 = 0))"
 
 
+_MINED = f"""
+  SELECT e, ts, 'tweets' AS kind, 'no' AS linked FROM ev WHERE k <> 'error' AND {_marked('e', 'u')}
+  UNION ALL SELECT e, ts, 'users', 'no' FROM ev WHERE k <> 'error' AND u % 50 = 0
+  UNION ALL SELECT e, ts, 'tweets', CASE k WHEN 'click' THEN 'retweeted' ELSE 'quoted' END
+    FROM ev WHERE k IN ('click', 'purchase') AND {_marked('oid', '(oid % 150)')}
+  UNION ALL SELECT e, ts, 'users', CASE k WHEN 'click' THEN 'retweeted' ELSE 'quoted' END
+    FROM ev WHERE k IN ('click', 'purchase') AND (oid % 150) % 50 = 0"""
+
+
 def all_checks() -> dict[str, str]:
     return {
         "json_tolerant_parse": """
@@ -185,15 +194,13 @@ def all_checks() -> dict[str, str]:
         ),
         "message_type": _from_levels("SELECT line, depth, id, tweet_type FROM m"),
         "mine_withheld": _from_events(
-            f"""SELECT e AS line, strftime(ts, '%Y-%m-%d') AS date, kind, linked FROM (
-              SELECT e, ts, 'tweets' AS kind, 'no' AS linked FROM ev
-                WHERE k <> 'error' AND {_marked('e', 'u')}
-              UNION ALL SELECT e, ts, 'users', 'no' FROM ev WHERE k <> 'error' AND u % 50 = 0
-              UNION ALL SELECT e, ts, 'tweets', CASE k WHEN 'click' THEN 'retweeted' ELSE 'quoted' END
-                FROM ev WHERE k IN ('click', 'purchase') AND {_marked('oid', '(oid % 150)')}
-              UNION ALL SELECT e, ts, 'users', CASE k WHEN 'click' THEN 'retweeted' ELSE 'quoted' END
-                FROM ev WHERE k IN ('click', 'purchase') AND (oid % 150) % 50 = 0)"""
+            f"SELECT e AS line, strftime(ts, '%Y-%m-%d') AS date, kind, linked FROM ({_MINED})"
         ),
+        "mined_lines": f"""WITH {_CARRIED}
+            SELECT kind, strftime(ts, '%Y-%m-%d') AS date, e AS id, linked,
+              CAST(NULL AS VARCHAR) AS approx_time FROM ({_MINED})
+            UNION ALL
+            SELECT 'messages', strftime(sec, '%Y-%m-%d'), e, NULL, approx_time FROM notices""",
         "mine_messages": f"""WITH {_CARRIED}
             SELECT e AS line, strftime(sec, '%Y-%m-%d') AS date,
               {_NOTICE} || ',"approx_time":"' || approx_time || '"}}' AS value FROM notices""",

@@ -63,12 +63,6 @@ def reject_reason(value: Column, v: Column) -> Column:
     )
 
 
-def rejects(lines: DataFrame) -> DataFrame:
-    """Lines that become no row anywhere, with their position and the reason."""
-    reason = reject_reason(F.col("value"), F.col("v")).alias("reason")
-    return on_route(lines, "reject", *POSITION, reason, "value")
-
-
 def status_withheld_notices(lines: DataFrame) -> DataFrame:
     return on_route(lines, "status_withheld", *POSITION, "value")
 

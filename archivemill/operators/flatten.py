@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import created_at_to_timestamp
 from archivemill.functions.variants import get, non_null, present, with_default
-from archivemill.operators.decode import POSITION, message_type, routed
+from archivemill.operators.decode import POSITION, decode, message_type, reject_reason, routed
 
 # Levels unnested by plain expressions; deeper chains take the loop in `_rest`.
 PLAIN_LEVELS = 4
@@ -200,12 +200,18 @@ def everything(lines: DataFrame, *, extended: bool = False) -> DataFrame:
     return wide.withColumn("part", part).withColumn("text", text).drop("v", "route")
 
 
-def incomplete(flat: DataFrame) -> DataFrame:
-    """Messages without an id or an author: they go to no table."""
-    missing = get("v", "id", "bigint").isNull() | get("v", "user.id", "bigint").isNull()
-    return flat.filter(missing).select(
-        *POSITION, F.lit("incomplete").alias("reason"), F.to_json("v").alias("value")
+def rejects(stage: DataFrame) -> DataFrame:
+    """What went to no table, out of ``everything``: position, reason and text.
+
+    Only these few lines are decoded again, to tell why they were rejected.
+    """
+    bad = stage.filter(F.col("part").isin("reject", "incomplete")).select(
+        *POSITION, "part", F.col("text").alias("value")
+    )
+    reason = F.when(F.col("part") == "incomplete", "incomplete").otherwise(
+        reject_reason(F.col("value"), F.col("v"))
     )
+    return decode(bad).select(*POSITION, reason.alias("reason"), "value")
 
 
 def type_stats(flat: DataFrame) -> DataFrame:

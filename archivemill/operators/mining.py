@@ -18,54 +18,98 @@ from archivemill.operators.decode import POSITION, decode
 MARKER = "withheld_in_countries"
 
 
-def _emissions(v: str) -> list[Column]:
+def _hit(kind: str, linked: str | None, cond: Column) -> Column:
+    fields = F.struct(F.lit(kind).alias("kind"), F.lit(linked).cast("string").alias("linked"))
+    return F.when(cond, fields)
+
+
+def _withheld_rules(v: str) -> list[Column]:
     dated = present(v, "created_at")
     # The quote is looked at only where there is no usable repeated message.
     no_repeat = non_null(v, "retweeted_status.user").isNull()
-    rules = [
-        ("tweets", "no", dated & present(v, MARKER)),
-        ("users", "no", dated & present(v, f"user.{MARKER}")),
-        ("tweets", "retweeted", dated & present(v, f"retweeted_status.{MARKER}")),
-        ("users", "retweeted", dated & present(v, f"retweeted_status.user.{MARKER}")),
-        ("tweets", "quoted", dated & no_repeat & present(v, f"quoted_status.{MARKER}")),
-        ("users", "quoted", dated & no_repeat & present(v, f"quoted_status.user.{MARKER}")),
-    ]
     return [
-        F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(linked).alias("linked")))
-        for kind, linked, cond in rules
+        _hit("tweets", "no", dated & present(v, MARKER)),
+        _hit("users", "no", dated & present(v, f"user.{MARKER}")),
+        _hit("tweets", "retweeted", dated & present(v, f"retweeted_status.{MARKER}")),
+        _hit("users", "retweeted", dated & present(v, f"retweeted_status.user.{MARKER}")),
+        _hit("tweets", "quoted", dated & no_repeat & present(v, f"quoted_status.{MARKER}")),
+        _hit("users", "quoted", dated & no_repeat & present(v, f"quoted_status.user.{MARKER}")),
     ]
 
 
+def _message_rule(v: str) -> Column:
+    return _hit("messages", None, ~present(v, "created_at") & present(v, MARKER))
+
+
 def mine_withheld(lines: DataFrame) -> DataFrame:
-    """One row per reason to keep a line: ``(position, date, kind, linked, value)``.
+    """One row per reason to keep a dated line: ``(position, date, kind, linked, value)``.
 
     All rules are tried in one pass over the lines; nothing is shuffled.
     """
-    hits = decode(lines).select(*POSITION, "value", F.explode(F.array(*_emissions("v"))).alias("hit"))
+    rules = F.explode(F.array(*_withheld_rules("v")))
+    hits = decode(lines).select(*POSITION, "value", rules.alias("hit"))
     return hits.filter(F.col("hit").isNotNull()).select(
         *POSITION, path_date(F.col("file")).alias("date"), "hit.kind", "hit.linked", "value"
     )
 
 
-def mine_messages(lines: DataFrame) -> DataFrame:
-    """Marked lines without ``created_at``, dated by the nearest earlier line with one.
+def _mine_dated(lines: DataFrame, rules: list[Column]) -> DataFrame:
+    """Lines kept by ``rules``, with the time carried from the lines before them.
 
-    ``approx_time`` falls back to the time in the file's path.  Only what the
-    carry needs is shuffled: the text travels for the kept lines alone.
+    All lines take part in the carry, but the text travels for kept lines only.
     """
     clock = F.when(
         present("v", "created_at"), F.struct(get("v", "created_at", "string").alias("at"))
     )
-    kept = ~present("v", "created_at") & present("v", MARKER)
-    narrow = decode(lines).select(
-        *POSITION, clock.alias("clock"), F.when(kept, F.col("value")).alias("value")
+    tried = decode(lines).select(*POSITION, "value", clock.alias("clock"), F.array(*rules).alias("hits"))
+    kept = F.coalesce(*(F.col("hits")[i] for i in range(len(rules)))).isNotNull()
+    narrow = tried.select(
+        *POSITION,
+        "clock",
+        F.when(kept, F.col("value")).alias("value"),
+        F.when(kept, F.col("hits")).alias("hits"),
     )
     carried = carry_forward(narrow, ["file"], ["line"], "clock", "carried", chunk="block")
     start = path_time(F.col("file"))
     time = F.when(F.col("carried").isNull(), start).otherwise(F.col("carried.at"))
-    return carried.filter(F.col("value").isNotNull()).select(
-        *POSITION, path_date(F.col("file")).alias("date"), time.alias("approx_time"), "value"
+    rows = carried.filter(F.col("value").isNotNull()).select(
+        *POSITION,
+        path_date(F.col("file")).alias("date"),
+        time.alias("time"),
+        "value",
+        F.explode("hits").alias("hit"),
     )
+    undated = F.col("hit.kind") == "messages"
+    return rows.filter(F.col("hit").isNotNull()).select(
+        *POSITION,
+        "date",
+        "hit.kind",
+        "hit.linked",
+        F.when(undated, F.col("time")).alias("approx_time"),
+        "value",
+    )
+
+
+def mine_messages(lines: DataFrame) -> DataFrame:
+    """Marked lines without ``created_at``, dated by the nearest earlier line with one.
+
+    ``approx_time`` falls back to the time in the file's path.
+    """
+    return _mine_dated(lines, [_message_rule("v")]).drop("kind", "linked")
+
+
+def mine(lines: DataFrame) -> DataFrame:
+    """``mine_withheld`` and ``mine_messages`` together, in one pass over the lines."""
+    return _mine_dated(lines, [*_withheld_rules("v"), _message_rule("v")])
+
+
+def as_json(mined: DataFrame) -> DataFrame:
+    """``(kind, date, value)``: the kept lines with ``linked`` or ``approx_time`` added."""
+    value = F.col("value")
+    added = F.when(
+        F.col("kind") == "messages", with_fields(value, F.struct("approx_time"))
+    ).otherwise(with_fields(value, F.struct("linked")))
+    return mined.select("kind", "date", added.alias("value"))
 
 
 def with_fields(value: Column, fields: Column) -> Column:

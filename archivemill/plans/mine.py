@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivemill.operators.mining import mine_messages, mine_withheld
+from archivemill.operators.mining import mine
 from archivemill.plans.sinks import write_mined
 from archivemill.sources.archive import archive_lines
 
 
 def run_mine(lines: DataFrame, folder: str, *, mode: str = "append") -> None:
-    write_mined(mine_withheld(lines), mine_messages(lines), folder, mode=mode)
+    write_mined(mine(lines), folder, mode=mode)
 
 
 def mine_archive(spark: SparkSession, root: str, folder: str, *, mode: str = "append") -> None:

@@ -30,6 +30,15 @@ def table(sightings: DataFrame, name: str, *, timeline: bool = False) -> DataFra
     return without_counts(df) if timeline else df
 
 
+def split_stage(stage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``everything`` -> the sightings, and the other lines as ``(position, part, value)``."""
+    rows = stage.filter(F.col("part") == "message")
+    rest = stage.filter(F.col("part") != "message").select(
+        *POSITION, "part", F.col("text").alias("value")
+    )
+    return rows, rest
+
+
 def deleted_tweets(lines: DataFrame) -> DataFrame:
     return distinct_rows(decode.deletions(lines))
 
@@ -75,21 +84,14 @@ def run_parse(
     """
     spark = lines.sparkSession
     stage = staged(flatten.everything(lines, extended=extended), "sightings")
-    rows = stage.filter(F.col("part") == "message")
-    rest = stage.filter(F.col("part") != "message").select(
-        *POSITION, "part", F.col("text").alias("value")
-    )
+    rows, rest = split_stage(stage)
     built = tables(rest, timeline=timeline, hydrated=hydrated, sightings=rows)
     for name, df in built.items():
         # The three latest-row tables are written even when empty.
         held_back = skip_empty and name not in LATEST_TABLES
         write_table(df, f"{folder}/{name}", fmt=fmt, skip_empty=held_back)
     write_notices(rest.filter(F.col("part") == "status_withheld"), f"{folder}/become_withheld")
-    broken = decode.rejects(rest.filter(F.col("part") == "reject"))
-    partial = rest.filter(F.col("part") == "incomplete").select(
-        *POSITION, F.col("part").alias("reason"), "value"
-    )
-    write_table(broken.unionByName(partial), f"{folder}/rejects")
+    write_table(flatten.rejects(stage), f"{folder}/rejects")
     if views:
         stored = {
             name: read_table(spark, folder, name, fmt=fmt, timeline=timeline, optional=True)
@@ -100,10 +102,6 @@ def run_parse(
     return flatten.type_stats(rows)
 
 
-def all_rejects(lines: DataFrame) -> DataFrame:
-    return decode.rejects(lines).unionByName(flatten.incomplete(flatten.levels(lines)))
-
-
 def parse_folder(spark, source: str, folder: str, **options) -> DataFrame:
     """``run_parse`` over a folder of JSON-lines files."""
     return run_parse(json_lines(spark, source), folder, **options)

@@ -3,26 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import as_text
-from archivemill.operators.mining import with_fields
+from archivemill.operators.mining import as_json
 
 
-def write_mined(withheld: DataFrame, messages: DataFrame, folder: str, *, mode: str = "append") -> None:
-    """JSON lines under ``kind=.../date=...``, with ``linked`` or ``approx_time`` added.
+def write_mined(mined: DataFrame, folder: str, *, mode: str = "append") -> None:
+    """JSON lines under ``kind=.../date=...``.
 
     The rebalance keeps the file count low and lets AQE split a heavy date.
     """
-    linked = withheld.select(
-        "kind", "date", with_fields(F.col("value"), F.struct("linked")).alias("value")
-    )
-    dated = messages.select(
-        F.lit("messages").alias("kind"),
-        "date",
-        with_fields(F.col("value"), F.struct("approx_time")).alias("value"),
-    )
-    rows = linked.unionByName(dated).hint("rebalance", "kind", "date")
+    rows = as_json(mined).hint("rebalance", "kind", "date")
     rows.write.mode(mode).partitionBy("kind", "date").text(folder)
 
 

@@ -17,6 +17,7 @@ from archivemill.operators import decode, flags, flatten, latest, mining, rollup
 from archivemill.operators.carry import carry_forward
 from archivemill.operators.tables import linked_tweet, linked_user, without_counts
 from archivemill.plans import parse
+from archivemill.plans.staging import staged
 from archivemill.session import configure
 from archivemill.sources.events import lines_from_events
 
@@ -58,8 +59,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return parse.table(_sightings(spark, sf_dir), name)
 
 
-def _withheld_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "withheld_tweets").select("id")
+# What a query needs when it uses the sightings more than once: they are then
+# decoded once and written, and each use reads its own columns back.
+_METADATA = [
+    "file", "block", "line", "depth", "access", "tweet_type", "id", "created_at", "lang",
+    "source_anchor", "retweets", "favorites", "reply_count", "quote_count", "sensitive",
+    "author_id", "reply_tweet", "reply_user", "rt_tweet", "rt_user", "qt_tweet", "qt_user",
+]
+
+
+def _staged(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    rows = _sightings(spark, sf_dir)
+    return staged(rows.select(*(c for c in [*_METADATA, *columns] if c in rows.columns)), "sightings")
+
+
+def _metadata_and_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _staged(spark, sf_dir, "withheld")
+    ids = parse.table(rows, "withheld_tweets").select("id").distinct()
+    return staged(parse.table(rows, "tweet_metadata"), "metadata"), staged(ids, "withheld-ids")
 
 
 # --- sources, decoding, routing -------------------------------------------------
@@ -75,7 +92,8 @@ def json_tolerant_parse(spark, sf_dir):
 
 @query("rejected_lines")
 def rejected_lines(spark, sf_dir):
-    return parse.all_rejects(lines_from_events(spark, sf_dir)).select("file", "line", "reason", "value")
+    found = flatten.rejects(flatten.everything(lines_from_events(spark, sf_dir)))
+    return found.select("file", "line", "reason", "value")
 
 
 @query("path_time")
@@ -308,7 +326,7 @@ def supplier_part_edges(spark, sf_dir):
 
 @query("user_stats")
 def user_stats(spark, sf_dir):
-    rows = _sightings(spark, sf_dir)
+    rows = _staged(spark, sf_dir, "screen_name", "rt_name")
     return rollups.user_stats(parse.table(rows, "tweet_metadata"), parse.table(rows, "network_retweet"))
 
 
@@ -333,7 +351,7 @@ def customer_counts(spark, sf_dir):
 
 @query("author_hashtag")
 def author_hashtag(spark, sf_dir):
-    rows = _sightings(spark, sf_dir)
+    rows = _staged(spark, sf_dir, "hashtags")
     return rollups.author_hashtag(
         parse.table(rows, "entities_hashtag"), parse.table(rows, "tweet_metadata")
     )
@@ -341,7 +359,7 @@ def author_hashtag(spark, sf_dir):
 
 @query("author_hashtag_stats")
 def author_hashtag_stats(spark, sf_dir):
-    rows = _sightings(spark, sf_dir)
+    rows = _staged(spark, sf_dir, "hashtags")
     return rollups.author_hashtag_stats(
         parse.table(rows, "entities_hashtag"), parse.table(rows, "tweet_metadata")
     )
@@ -349,9 +367,19 @@ def author_hashtag_stats(spark, sf_dir):
 
 @query("activity_log")
 def activity_log(spark, sf_dir):
-    return rollups.activity_log(
-        _table(spark, sf_dir, "tweet_metadata"),
-        parse.deleted_tweets(lines_from_events(spark, sf_dir)),
+    whole = flatten.everything(lines_from_events(spark, sf_dir))
+    stage = staged(whole.select("part", "text", *_METADATA), "stage")
+    rows, rest = parse.split_stage(stage)
+    return rollups.activity_log(parse.table(rows, "tweet_metadata"), parse.deleted_tweets(rest))
+
+
+@query("mined_lines")
+def mined_lines(spark, sf_dir):
+    """Both kinds of mining in one pass, as the JSON lines that are written."""
+    return mining.as_json(mining.mine(lines_from_events(spark, sf_dir))).select(
+        "kind", "date", get(F.try_parse_json("value"), "id", "bigint").alias("id"),
+        get(F.try_parse_json("value"), "linked", "string").alias("linked"),
+        get(F.try_parse_json("value"), "approx_time", "string").alias("approx_time"),
     )
 
 
@@ -360,8 +388,7 @@ def activity_log(spark, sf_dir):
 
 @query("flag_propagation")
 def flag_propagation(spark, sf_dir):
-    metadata = _table(spark, sf_dir, "tweet_metadata")
-    flagged = flags.flag_propagation(metadata, _withheld_ids(spark, sf_dir))
+    flagged = flags.flag_propagation(*_metadata_and_ids(spark, sf_dir))
     return flagged.select(
         "id", "author_id", "linked_tweet", "withheld", "linked_withheld", "user_withheld"
     )
@@ -369,8 +396,7 @@ def flag_propagation(spark, sf_dir):
 
 @query("linked_flag")
 def linked_flag(spark, sf_dir):
-    metadata = _table(spark, sf_dir, "tweet_metadata")
-    flagged = flags.linked_flag(metadata, _withheld_ids(spark, sf_dir))
+    flagged = flags.linked_flag(*_metadata_and_ids(spark, sf_dir))
     return flagged.select("id", "linked_tweet", "linked_withheld")
 
 
@@ -392,13 +418,9 @@ def users_with_errors(spark, sf_dir):
 
 @query("withheld_authors")
 def withheld_authors(spark, sf_dir):
-    return flags.withheld_authors(
-        _table(spark, sf_dir, "tweet_metadata"), _withheld_ids(spark, sf_dir)
-    )
+    return flags.withheld_authors(*_metadata_and_ids(spark, sf_dir))
 
 
 @query("inferred_authors")
 def inferred_authors(spark, sf_dir):
-    return flags.withheld_owners(
-        _table(spark, sf_dir, "tweet_metadata"), _withheld_ids(spark, sf_dir)
-    )
+    return flags.withheld_owners(*_metadata_and_ids(spark, sf_dir))

@@ -54,6 +54,16 @@ def _readable(spark: SparkSession, paths: list[str]) -> list[str]:
     return _readable(spark, paths[:half]) + _readable(spark, paths[half:])
 
 
+def whole_file_lines(files: DataFrame) -> DataFrame:
+    """``(file, value)`` with a whole file per row -> its lines, blank ones left out."""
+    lines = files.select(
+        "file",
+        F.lit(0).cast("long").alias("block"),
+        F.posexplode(F.split("value", LINE_END)).alias("line", "value"),
+    )
+    return lines.withColumn("line", F.col("line").cast("long")).filter(F.length("value") > 0)
+
+
 def archive_lines(
     spark: SparkSession, root: str, *, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
@@ -64,22 +74,15 @@ def archive_lines(
     so it is read by splits, after a check that it can be read to its end.
     """
     whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
-    small = (
-        whole.filter(F.col("_metadata.file_size") <= whole_file_bytes)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.lit(0).cast("long").alias("block"),
-            F.posexplode(F.split("value", LINE_END)).alias("line", "value"),
-        )
-        .withColumn("line", F.col("line").cast("long"))
-    )
+    bounded = whole.filter(F.col("_metadata.file_size") <= whole_file_bytes)
+    lines = whole_file_lines(bounded.select(F.col("_metadata.file_path").alias("file"), "value"))
     oversize = archive_files(spark, root).filter(F.col("length") > whole_file_bytes)
     paths = [row.path for row in oversize.select("path").collect()]
     readable = _readable(spark, paths) if paths else []
-    lines = small
     if readable:
-        lines = lines.unionByName(_by_split(spark, readable, "*.bz2", skip_broken=False))
-    return lines.filter(F.length("value") > 0)
+        large = _by_split(spark, readable, "*.bz2", skip_broken=False)
+        lines = lines.unionByName(large.filter(F.length("value") > 0))
+    return lines
 
 
 def skipped_files(spark: SparkSession, root: str) -> DataFrame:
