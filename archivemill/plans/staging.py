@@ -7,10 +7,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="archivemill-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,10 +26,7 @@ def staging_root(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="archivemill-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

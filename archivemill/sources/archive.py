@@ -6,6 +6,7 @@ lines of a file; ``block`` also cuts it into pieces of bounded size.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 LINE_END = "\r\n|\n|\r"
 # A compressed file up to this size is read as one value, a larger one by splits.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
+# Files up to this size are checked for the end mark of their format.
+CHECKED_BYTES = 1024 * 1024 * 1024
 UNREADABLE = "FAILED_READ_FILE"
+# Fixed value of the bzip2 format: the 48 bits that end a stream.
+END_OF_STREAM = "000101110111001001000101001110000101000010010000"
+
+
+Paths = str | list[str]
 
 
 def _reader(spark: SparkSession, pattern: str, *, skip_broken: bool):
@@ -24,13 +32,34 @@ def _reader(spark: SparkSession, pattern: str, *, skip_broken: bool):
     )
 
 
-def archive_files(spark: SparkSession, root: str) -> DataFrame:
+def _binary(spark: SparkSession, root: Paths) -> DataFrame:
+    return _reader(spark, "*.bz2", skip_broken=False).format("binaryFile").load(root)
+
+
+def archive_files(spark: SparkSession, root: Paths) -> DataFrame:
     """The archive's files with their sizes; no content is read."""
-    files = _reader(spark, "*.bz2", skip_broken=False).format("binaryFile").load(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), "length")
+    return _binary(spark, root).select(F.col("_metadata.file_path").alias("path"), "length")
+
+
+def cut_off_files(spark: SparkSession, root: Paths) -> DataFrame:
+    """Files without an end-of-stream mark.
+
+    The reader notices a file cut inside a block, but not one cut between two.
+    The mark stands 80 bits before the end, which is padded to a full byte.
+    """
+    tail = F.hex(F.substring("content", -11, 11))
+    halves = [F.lpad(F.conv(F.substr(tail, F.lit(i), F.lit(11)), 16, 2), 44, "0") for i in (1, 12)]
+    ended = F.lit(False)
+    for start in range(2, 10):
+        ended = ended | (F.substr("bits", F.lit(start), F.lit(48)) == END_OF_STREAM)
+    checked = _binary(spark, root).filter(F.col("length") <= CHECKED_BYTES)
+    tails = checked.select(
+        F.col("_metadata.file_path").alias("path"), "length", F.concat(*halves).alias("bits")
+    )
+    return tails.filter((F.col("length") < 11) | ~ended).select("path")
 
 
-def _by_split(spark: SparkSession, root: str | list[str], pattern: str, *, skip_broken: bool) -> DataFrame:
+def _by_split(spark: SparkSession, root: Paths, pattern: str, *, skip_broken: bool) -> DataFrame:
     text = _reader(spark, pattern, skip_broken=skip_broken).text(root)
     return text.select(
         F.col("_metadata.file_path").alias("file"),
@@ -45,7 +74,7 @@ def _readable(spark: SparkSession, paths: list[str]) -> list[str]:
     try:
         _by_split(spark, paths, "*.bz2", skip_broken=False).agg(F.count("value")).collect()
         return paths
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if UNREADABLE not in str(error):
             raise
     if len(paths) == 1:
@@ -65,31 +94,39 @@ def whole_file_lines(files: DataFrame) -> DataFrame:
 
 
 def archive_lines(
-    spark: SparkSession, root: str, *, whole_file_bytes: int = WHOLE_FILE_BYTES
+    spark: SparkSession, root: Paths, *, whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
     """Lines of every ``.bz2`` file below ``root``; a broken file gives none.
 
-    A minute file is read as one value: if it is cut short or damaged the reader
-    drops it as a whole.  A file above ``whole_file_bytes`` would burden one task,
-    so it is read by splits, after a check that it can be read to its end.
+    A minute file is read as one value: if it is damaged the reader drops it as
+    a whole.  A file above ``whole_file_bytes`` would burden one task, so it is
+    read by splits, after a check that it can be read to its end.  Only the
+    names of cut-off and of oversize files come to the driver, which holds the
+    whole file listing anyway.
     """
-    whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
-    bounded = whole.filter(F.col("_metadata.file_size") <= whole_file_bytes)
-    lines = whole_file_lines(bounded.select(F.col("_metadata.file_path").alias("file"), "value"))
+    cut_off = [row.path for row in cut_off_files(spark, root).collect()]
     oversize = archive_files(spark, root).filter(F.col("length") > whole_file_bytes)
-    paths = [row.path for row in oversize.select("path").collect()]
-    readable = _readable(spark, paths) if paths else []
+    large = [row.path for row in oversize.collect() if row.path not in set(cut_off)]
+
+    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
+    whole = whole.filter(size <= whole_file_bytes)
+    if cut_off:
+        whole = whole.filter(~path.isin(cut_off))
+    lines = whole_file_lines(whole.select(path.alias("file"), "value"))
+    readable = _readable(spark, large) if large else []
     if readable:
-        large = _by_split(spark, readable, "*.bz2", skip_broken=False)
-        lines = lines.unionByName(large.filter(F.length("value") > 0))
+        split = _by_split(spark, readable, "*.bz2", skip_broken=False)
+        lines = lines.unionByName(split.filter(F.length("value") > 0))
     return lines
 
 
-def skipped_files(spark: SparkSession, root: str) -> DataFrame:
-    """Archive files that cannot be read to their end and so give no lines."""
+def skipped_files(spark: SparkSession, root: Paths) -> DataFrame:
+    """Archive files that are broken and so give no lines."""
     whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
     read = whole.select(F.col("_metadata.file_path").alias("path"))
-    return archive_files(spark, root).join(read, "path", "left_anti")
+    unread = archive_files(spark, root).select("path").join(read, "path", "left_anti")
+    return unread.union(cut_off_files(spark, root)).distinct()
 
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,8 +29,9 @@ def read_table(
     if fmt == "csv":
         reader = (
             reader.option("header", True)
-            .option("multiLine", False)
             .option("escape", '"')
+            # Stands for the unquoted empty field; a quoted one is empty text.
+            .option("nullValue", "\0")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
         )
     try:

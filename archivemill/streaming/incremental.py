@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from archivemill.operators.mining import mine
 from archivemill.plans.sinks import write_mined
-from archivemill.sources.archive import whole_file_lines
+from archivemill.sources.archive import archive_lines
 
 
-def mine_new_files(spark: SparkSession, root: str, folder: str, checkpoint: str) -> None:
+def mine_new_files(
+    spark: SparkSession, root: str, folder: str, checkpoint: str, *, files_per_batch: int = 10_000
+) -> None:
     """Mine the files that came since the last call, then stop.
 
-    The files of a batch are complete, so the carried times are too.  A batch
+    A stream of file names only: a batch reads its files like any archive.  It
     owns one subfolder and replaces it, so a repeated batch leaves no doubles.
     """
     files = (
-        spark.readStream.option("recursiveFileLookup", True)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.bz2")
-        .option("ignoreCorruptFiles", True)
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(root)
+        .select(F.col("_metadata.file_path").alias("path"))
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mined = mine(whole_file_lines(batch))
-        write_mined(mined, f"{folder}/batch={batch_id}", mode="overwrite")
+        paths = [row.path for row in batch.collect()]
+        write_mined(mine(archive_lines(spark, paths)), f"{folder}/batch={batch_id}", mode="overwrite")
 
     query = (
         files.writeStream.foreachBatch(write)
