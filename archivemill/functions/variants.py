@@ -1,7 +1,7 @@
-"""Access to decoded messages (VARIANT columns).
+"""Access to VARIANT columns.
 
-A key can be absent, JSON null, or hold a value; the pipeline needs all three
-apart, which is why messages are kept as VARIANT and not as fixed structs.
+A key can be absent, JSON null, or hold a value.  A field decoded as VARIANT
+keeps the three apart: NULL, a variant null, or the value.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ def get(v: Column | str, path: str, dtype: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", dtype)
 
 
-def present(v: Column | str, path: str) -> Column:
-    """True when the key exists, even with a JSON null."""
-    return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+def scalar(v: Column | str, dtype: str) -> Column:
+    """The variant itself as ``dtype``; NULL when it is JSON null or of another type."""
+    return F.try_variant_get(v, "$", dtype)
 
 
 def non_null(v: Column | str, path: str) -> Column:
-    """The value as VARIANT; NULL when absent or JSON null."""
+    """The value at ``$.path`` as VARIANT; NULL when absent or JSON null."""
     found = F.try_variant_get(v, f"$.{path}", "variant")
     return F.when(~F.is_variant_null(found), found)
 
 
-def with_default(value: Column, v: Column | str, path: str, default) -> Column:
+def with_default(v: Column | str, dtype: str, default) -> Column:
     """``default`` for an absent key only: a JSON null stays NULL."""
-    return F.when(value.isNull() & ~present(v, path), F.lit(default)).otherwise(value)
+    return F.when(F.isnull(v), F.lit(default)).otherwise(scalar(v, dtype))

@@ -6,41 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import epoch_ms_to_timestamp
-from archivemill.functions.variants import get, non_null, present
+from archivemill.functions.variants import get
 
 POSITION = ["file", "block", "line"]
 
 # Routes in the order they are tried; the first key found decides.
 NOTICE_KEYS = ["delete", "scrub_geo", "limit", "status_withheld"]
 
+# VARIANT fields tell a JSON null (not NULL) from an absent key (NULL).
+ROUTE_FIELDS = ", ".join(f"{key} variant" for key in [*NOTICE_KEYS, "text", "full_text"])
 
-def decode(lines: DataFrame) -> DataFrame:
-    """Add ``v``: the message as VARIANT, NULL unless the line is one JSON object.
 
-    The line is parsed inside ``[...]``: parsed alone, text after a complete
-    object would be ignored, yet two records run together are a broken line.
+def decode(lines: DataFrame, fields: str) -> DataFrame:
+    """Add ``v``: the wanted fields of the line, NULL unless it is one JSON object.
+
+    The line is read as the only element of an array: read alone, text after a
+    complete object would be ignored, yet two records run together are a broken
+    line.  Of two equal keys the last counts; a value of another type is NULL.
     """
-    is_object = F.startswith(F.ltrim(F.col("value"), F.lit(" \t")), F.lit("{"))
-    wrapped = F.when(is_object, F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    single = F.try_variant_get("_root", "$[1]", "variant").isNull()
-    return (
-        lines.withColumn("_root", F.try_parse_json(wrapped))
-        .withColumn("v", F.when(single, F.try_variant_get("_root", "$[0]", "variant")))
-        .drop("_root")
-    )
+    wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    records = F.from_json(wrapped, f"array<struct<{fields}>>")
+    single = F.when(F.size("_records") == 1, F.get("_records", F.lit(0)))
+    return lines.withColumn("_records", records).withColumn("v", single).drop("_records")
 
 
-def route(v: Column | str) -> Column:
+def route(v: str) -> Column:
     """delete, scrub_geo, limit, status_withheld, message or reject."""
-    has_text = present(v, "text") | present(v, "full_text")
     column = F.when(F.isnull(v), "reject")
     for key in NOTICE_KEYS:
-        column = column.when(present(v, key), key)
+        column = column.when(F.col(f"{v}.{key}").isNotNull(), key)
+    has_text = F.coalesce(f"{v}.text", f"{v}.full_text").isNotNull()
     return column.when(has_text, "message").otherwise("reject")
 
 
-def routed(lines: DataFrame) -> DataFrame:
-    return decode(lines).withColumn("route", route("v"))
+def routed(lines: DataFrame, fields: str = "") -> DataFrame:
+    """Decoded lines with their ``route``; ``fields`` are read besides the routing keys."""
+    wanted = f"{ROUTE_FIELDS}, {fields}" if fields else ROUTE_FIELDS
+    return decode(lines, wanted).withColumn("route", route("v"))
 
 
 def on_route(lines: DataFrame, wanted: str, *columns: Column | str) -> DataFrame:
@@ -55,12 +57,8 @@ def on_route(lines: DataFrame, wanted: str, *columns: Column | str) -> DataFrame
 
 
 def reject_reason(value: Column, v: Column) -> Column:
-    other_json = F.try_parse_json(value).isNotNull() & ~F.startswith(
-        F.ltrim(value, F.lit(" \t")), F.lit("{")
-    )
-    return (
-        F.when(v.isNotNull(), "no_text").when(other_json, "not_object").otherwise("bad_json")
-    )
+    other_json = F.try_parse_json(value).isNotNull() & ~F.startswith(F.ltrim(value), F.lit("{"))
+    return F.when(v.isNotNull(), "no_text").when(other_json, "not_object").otherwise("bad_json")
 
 
 def status_withheld_notices(lines: DataFrame) -> DataFrame:
@@ -73,12 +71,10 @@ def counts_probe(lines: DataFrame) -> DataFrame:
     Messages with ``in_reply_to_status_id`` but without ``reply_count`` come
     from a source without these counts (timeline mode).
     """
-    reply_key = present("v", "in_reply_to_status_id")
-    count_key = present("v", "reply_count")
-    flags = routed(lines).select(
+    flags = routed(lines, "in_reply_to_status_id variant, reply_count variant").select(
         (F.col("route") == "message").alias("is_message"),
-        reply_key.alias("reply_key"),
-        count_key.alias("count_key"),
+        F.col("v.in_reply_to_status_id").isNotNull().alias("reply_key"),
+        F.col("v.reply_count").isNotNull().alias("count_key"),
     )
     full = F.col("is_message") & F.col("reply_key") & F.col("count_key")
     bare = F.col("is_message") & F.col("reply_key") & ~F.col("count_key")
@@ -90,30 +86,14 @@ def counts_probe(lines: DataFrame) -> DataFrame:
     ).withColumn("timeline", (F.col("with_counts") == 0) & (F.col("without_counts") > 0))
 
 
-def message_type(v: Column | str) -> Column:
-    """retweet before quote before reply: a reply that quotes is a quote.
-
-    A JSON null under an embedding key counts as absent.
-    """
-    def filled(key: str) -> Column:
-        return non_null(v, key).isNotNull()
-
-    return (
-        F.when(filled("retweeted_status"), "retweet")
-        .when(filled("quoted_status"), "quote")
-        .when(filled("in_reply_to_status_id"), "reply")
-        .otherwise("tweet")
-    )
-
-
 def deletions(lines: DataFrame) -> DataFrame:
     """Deletion notices as rows; not de-duplicated."""
-    millis = get("v", "delete.timestamp_ms", "string")
+    millis = get("v.delete", "timestamp_ms", "string")
     return on_route(
         lines,
         "delete",
-        get("v", "delete.status.id", "bigint").alias("id"),
-        get("v", "delete.status.user_id", "bigint").alias("author_id"),
+        get("v.delete", "status.id", "bigint").alias("id"),
+        get("v.delete", "status.user_id", "bigint").alias("author_id"),
         millis.try_cast("bigint").alias("timestamp_ms"),
         epoch_ms_to_timestamp(millis).alias("deletion_time"),
     )

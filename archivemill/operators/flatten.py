@@ -10,167 +10,229 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import created_at_to_timestamp
-from archivemill.functions.variants import get, non_null, present, with_default
-from archivemill.operators.decode import POSITION, decode, message_type, reject_reason, routed
+from archivemill.functions.variants import get, non_null, scalar, with_default
+from archivemill.operators.decode import POSITION, ROUTE_FIELDS, decode, reject_reason, route
 
-# Levels unnested by plain expressions; deeper chains take the loop in `_rest`.
+# Levels decoded with the line; what lies deeper takes the loop in `_chain`.
 PLAIN_LEVELS = 4
 
+_MEDIA = "media: array<struct<id_str: string, type: string, media_url_https: string>>"
+_ENTITIES = (
+    "struct<hashtags: array<struct<text: string>>, urls: array<struct<expanded_url: string>>, "
+    f"user_mentions: array<struct<id_str: string, screen_name: string>>, {_MEDIA}>"
+)
+_USER = (
+    "struct<id: bigint, id_str: string, created_at: string, lang: string, name: string, "
+    "screen_name: string, location: string, description: string, url: string, "
+    "followers_count: bigint, friends_count: bigint, favourites_count: bigint, "
+    "listed_count: bigint, statuses_count: bigint, protected: boolean, verified: boolean, "
+    "default_profile: boolean, default_profile_image: boolean, "
+    "profile_background_image_url_https: string, profile_image_url_https: string, "
+    "profile_image_url: string, profile_banner_url: variant, time_zone: string, utc_offset: bigint>"
+)
+# Fields of one message; VARIANT where an absent key differs from a JSON null.
+MESSAGE = {
+    "id": "bigint",
+    "created_at": "string",
+    "text": "variant",
+    "full_text": "variant",
+    "lang": "variant",
+    "source": "string",
+    "retweet_count": "variant",
+    "favorite_count": "variant",
+    "reply_count": "bigint",
+    "quote_count": "bigint",
+    "in_reply_to_status_id": "bigint",
+    "in_reply_to_user_id": "bigint",
+    "in_reply_to_screen_name": "string",
+    "possibly_sensitive": "variant",
+    "place": "struct<country_code: string, name: string, place_type: string>",
+    "withheld_in_countries": "array<string>",
+    "entities": _ENTITIES,
+    "extended_entities": f"struct<{_MEDIA}>",
+    "extended_text": "variant",
+    "extended_tweet": f"struct<full_text: string, entities: {_ENTITIES}, "
+    f"extended_entities: struct<{_MEDIA}>>",
+    "user": _USER,
+}
+EMBEDDING = ["retweeted_status", "quoted_status"]
+
 
-def _child(v: Column | str) -> Column:
-    """The embedded message: what it repeats, else what it quotes."""
-    return F.coalesce(non_null(v, "retweeted_status"), non_null(v, "quoted_status"))
+def _fields(level: int) -> str:
+    """DDL of a message at ``level`` with the levels below it; the last keeps them raw."""
+    below = f"struct<{_fields(level + 1)}>" if level + 1 < PLAIN_LEVELS else "variant"
+    own = [f"{name}: {dtype}" for name, dtype in MESSAGE.items()]
+    return ", ".join(own + [f"{key}: {below}" for key in EMBEDDING])
 
 
 def _chain(v: Column) -> Column:
-    """Array of ``v`` and everything below it, of any depth.
+    """Array of the raw message ``v`` and everything below it, of any depth.
 
     Each level takes more than 16 characters of JSON, which bounds the loop.
     """
     steps = F.sequence(F.lit(1), F.floor(F.length(F.to_json(v)) / 16).cast("int") + 1)
 
     def step(acc: Column, _: Column) -> Column:
-        below = _child(F.element_at(acc, -1))
+        last = F.element_at(acc, -1)
+        below = F.coalesce(*(non_null(last, key) for key in EMBEDDING))
         return F.when(below.isNull(), acc).otherwise(F.array_append(acc, below))
 
     return F.aggregate(steps, F.array(v), step)
 
 
+def _row(m: Column, *, raw: bool) -> Column:
+    """One message as a struct of its own fields and the ids of what it embeds."""
+
+    def link(key: str, name: str) -> Column:
+        below = m[key]
+        if raw:
+            below = F.when(~F.is_variant_null(below), below)
+            parts = [get(below, "id", "bigint"), get(below, "user.id", "bigint"),
+                     get(below, "user.screen_name", "string")]
+        else:
+            parts = [below["id"], below["user"]["id"], below["user"]["screen_name"]]
+        named = F.struct(*(p.alias(n) for p, n in zip(parts, ("tweet", "user", "name"), strict=True)))
+        return F.when(below.isNotNull(), named).alias(name)
+
+    own = [m[name].alias(name) for name in MESSAGE]
+    return F.when(m.isNotNull(), F.struct(*own, link("retweeted_status", "rt"), link("quoted_status", "qt")))
+
+
+def message_type(m: str) -> Column:
+    """retweet before quote before reply: a reply that quotes is a quote.
+
+    A JSON null under an embedding key counts as absent.
+    """
+    return (
+        F.when(F.col(f"{m}.rt").isNotNull(), "retweet")
+        .when(F.col(f"{m}.qt").isNotNull(), "quote")
+        .when(F.col(f"{m}.in_reply_to_status_id").isNotNull(), "reply")
+        .otherwise("tweet")
+    )
+
+
 def levels(lines: DataFrame, *, others: bool = False) -> DataFrame:
-    """Archive lines -> ``(file, block, line, depth, access, tweet_type, v)``.
+    """Archive lines -> ``(file, block, line, depth, access, tweet_type, m)``.
 
     With ``others`` the lines that are no messages stay too, as one row with
     their ``route`` and text, so that one pass can feed every output.
     """
-    extra = ["route", "text"] if others else []
+    extra = ["route", "other"] if others else []
+    notices = ", ".join(f for f in ROUTE_FIELDS.split(", ") if f.split()[0] not in MESSAGE)
     is_message = F.col("route") == "message"
-    df = routed(lines).select(
-        *POSITION,
-        get("v", "created_at", "string").alias("seen"),
-        F.when(is_message, F.col("v")).alias("l0"),
-        "route",
-        F.when(~is_message, F.col("value")).alias("text"),
+    df = (
+        decode(lines, f"{notices}, {_fields(0)}")
+        .withColumn("route", route("v"))
+        .select(
+            *POSITION,
+            F.col("v.created_at").alias("seen"),
+            "route",
+            F.when(~is_message, F.col("value")).alias("other"),
+            F.when(is_message, F.col("v")).alias("l0"),
+        )
     )
+    # The embedded message: what it repeats, else what it quotes.
     for depth in range(1, PLAIN_LEVELS):
-        df = df.withColumn(f"l{depth}", _child(f"l{depth - 1}"))
-    plain = F.posexplode(F.array(*(f"l{d}" for d in range(PLAIN_LEVELS))))
-    df = df.select(*POSITION, "seen", *extra, plain.alias("depth", "v"))
-    kept = F.col("v").isNotNull()
+        above = f"l{depth - 1}"
+        df = df.withColumn(f"l{depth}", F.coalesce(*(F.col(f"{above}.{key}") for key in EMBEDDING)))
+    last = F.col(f"l{PLAIN_LEVELS - 1}")
+    rest = F.coalesce(*(F.when(~F.is_variant_null(last[key]), last[key]) for key in EMBEDDING))
+    df = df.withColumn("rest", rest)
+
+    rows = [_row(F.col(f"l{d}"), raw=d + 1 == PLAIN_LEVELS) for d in range(PLAIN_LEVELS)]
+    last_level = f"struct<{_fields(PLAIN_LEVELS - 1)}>"
+    deeper = F.transform(
+        F.transform(_chain(F.col("rest")), lambda x: F.from_json(F.to_json(x), last_level)),
+        lambda m: _row(m, raw=True),
+    )
+    unnested = F.when(F.col("rest").isNull(), F.array(*rows)).otherwise(
+        F.concat(F.array(*rows), deeper)
+    )
+    df = df.select(*POSITION, "seen", *extra, F.posexplode(unnested).alias("depth", "m"))
+    kept = F.col("m").isNotNull()
     if others:
         kept = kept | ((F.col("depth") == 0) & (F.col("route") != "message"))
-    df = df.filter(kept)
-
-    # Only a message at the last plain level can have more below it.
-    last = F.col("depth") == PLAIN_LEVELS - 1
-    below = F.posexplode(F.when(last, _chain(F.col("v"))).otherwise(F.array("v")))
-    df = df.select(*POSITION, "seen", *extra, "depth", below.alias("more", "v"))
-    return df.select(
+    return df.filter(kept).select(
         *POSITION,
-        (F.col("depth") + F.col("more")).alias("depth"),
+        "depth",
         created_at_to_timestamp(F.col("seen")).alias("access"),
-        message_type("v").alias("tweet_type"),
+        message_type("m").alias("tweet_type"),
         *extra,
-        "v",
+        "m",
     )
 
 
-# Fields read from a message: column -> (path, type).
-_MEDIA = "array<struct<id_str:bigint,type:string,media_url_https:string>>"
-_TAGS = "array<struct<text:string>>"
-_URLS = "array<struct<expanded_url:string>>"
-_MENTIONS = "array<struct<id_str:bigint,screen_name:string>>"
-FIELDS: dict[str, tuple[str, str]] = {
-    "id": ("id", "bigint"),
-    "created_text": ("created_at", "string"),
-    "plain_text": ("text", "string"),
-    "full_text": ("full_text", "string"),
-    "extended_text": ("extended_tweet.full_text", "string"),
-    "lang_value": ("lang", "string"),
-    "source_anchor": ("source", "string"),
-    "retweets": ("retweet_count", "bigint"),
-    "favorites": ("favorite_count", "bigint"),
-    "reply_count": ("reply_count", "bigint"),
-    "quote_count": ("quote_count", "bigint"),
-    "sensitive_value": ("possibly_sensitive", "boolean"),
-    "reply_tweet": ("in_reply_to_status_id", "bigint"),
-    "reply_user": ("in_reply_to_user_id", "bigint"),
-    "reply_name": ("in_reply_to_screen_name", "string"),
-    "rt_tweet": ("retweeted_status.id", "bigint"),
-    "rt_user": ("retweeted_status.user.id", "bigint"),
-    "rt_name": ("retweeted_status.user.screen_name", "string"),
-    "qt_tweet": ("quoted_status.id", "bigint"),
-    "qt_user": ("quoted_status.user.id", "bigint"),
-    "qt_name": ("quoted_status.user.screen_name", "string"),
-    "place": ("place", "struct<country_code:string,name:string,place_type:string>"),
-    "withheld": ("withheld_in_countries", "array<string>"),
-    "hashtags": ("entities.hashtags", _TAGS),
-    "urls": ("entities.urls", _URLS),
-    "mentions": ("entities.user_mentions", _MENTIONS),
-    "plain_media": ("entities.media", _MEDIA),
-    "extended_media": ("extended_entities.media", _MEDIA),
-    "x_hashtags": ("extended_tweet.entities.hashtags", _TAGS),
-    "x_urls": ("extended_tweet.entities.urls", _URLS),
-    "x_mentions": ("extended_tweet.entities.user_mentions", _MENTIONS),
-    "x_plain_media": ("extended_tweet.entities.media", _MEDIA),
-    "x_extended_media": ("extended_tweet.extended_entities.media", _MEDIA),
-    "author_id": ("user.id", "bigint"),
-    "author_id_str": ("user.id_str", "bigint"),
-    "user_created_text": ("user.created_at", "string"),
-    "user_lang": ("user.lang", "string"),
-    "user_name": ("user.name", "string"),
-    "screen_name": ("user.screen_name", "string"),
-    "user_location": ("user.location", "string"),
-    "user_description": ("user.description", "string"),
-    "user_url": ("user.url", "string"),
-    "followers_count": ("user.followers_count", "bigint"),
-    "friends_count": ("user.friends_count", "bigint"),
-    "favourites_count": ("user.favourites_count", "bigint"),
-    "listed_count": ("user.listed_count", "bigint"),
-    "statuses_count": ("user.statuses_count", "bigint"),
-    "protected": ("user.protected", "boolean"),
-    "verified": ("user.verified", "boolean"),
-    "default_profile": ("user.default_profile", "boolean"),
-    "default_profile_image": ("user.default_profile_image", "boolean"),
-    "background_image": ("user.profile_background_image_url_https", "string"),
-    "profile_image_https": ("user.profile_image_url_https", "string"),
-    "profile_image": ("user.profile_image_url", "string"),
-    "banner_value": ("user.profile_banner_url", "string"),
-    "time_zone": ("user.time_zone", "string"),
-    "utc_offset": ("user.utc_offset", "bigint"),
+# Columns of the sightings frame that are plain fields of the message.
+_PLAIN = {
+    "id": "id",
+    "source_anchor": "source",
+    "reply_count": "reply_count",
+    "quote_count": "quote_count",
+    "reply_tweet": "in_reply_to_status_id",
+    "reply_user": "in_reply_to_user_id",
+    "reply_name": "in_reply_to_screen_name",
+    "rt_tweet": "rt.tweet",
+    "rt_user": "rt.user",
+    "rt_name": "rt.name",
+    "qt_tweet": "qt.tweet",
+    "qt_user": "qt.user",
+    "qt_name": "qt.name",
+    "place": "place",
+    "withheld": "withheld_in_countries",
+    "extended_text": "extended_tweet.full_text",
+    "author_id": "user.id",
+    "user_lang": "user.lang",
+    "user_name": "user.name",
+    "screen_name": "user.screen_name",
+    "user_location": "user.location",
+    "user_description": "user.description",
+    "user_url": "user.url",
+    "followers_count": "user.followers_count",
+    "friends_count": "user.friends_count",
+    "favourites_count": "user.favourites_count",
+    "listed_count": "user.listed_count",
+    "statuses_count": "user.statuses_count",
+    "protected": "user.protected",
+    "verified": "user.verified",
+    "default_profile": "user.default_profile",
+    "default_profile_image": "user.default_profile_image",
+    "background_image": "user.profile_background_image_url_https",
+    "profile_image_https": "user.profile_image_url_https",
+    "profile_image": "user.profile_image_url",
+    "time_zone": "user.time_zone",
+    "utc_offset": "user.utc_offset",
 }
 
 
 def _typed(flat: DataFrame, extended: bool) -> DataFrame:
-    """Every field of FIELDS as a typed column, defaults applied; ``v`` stays."""
-    df = flat.selectExpr(
-        "*",
-        *(f"try_variant_get(v, '$.{path}', '{dtype}') AS {name}" for name, (path, dtype) in FIELDS.items()),
-    )
-
-    use_extended = present("v", "extended_text")
+    """Every field as a typed column, defaults applied."""
+    use_extended = F.col("m.extended_text").isNotNull()
     if extended:
-        use_extended = use_extended | present("v", "extended_tweet.entities")
-
-    def entity(name: str) -> Column:
-        return F.when(use_extended, F.col(f"x_{name}")).otherwise(F.col(name)).alias(name)
-
-    def default(name: str, value, out: str) -> Column:
-        return with_default(F.col(name), "v", FIELDS[name][0], value).alias(out)
-
-    derived = {
-        "lang_value": default("lang_value", "unknown", "lang"),
-        "retweets": default("retweets", -1, "retweets"),
-        "favorites": default("favorites", -1, "favorites"),
-        "sensitive_value": default("sensitive_value", False, "sensitive"),
-        "banner_value": default("banner_value", "", "banner"),
-        "created_text": created_at_to_timestamp(F.col("created_text")).alias("created_at"),
-        "user_created_text": created_at_to_timestamp(F.col("user_created_text")).alias(
-            "user_created_at"
-        ),
-        **{n: entity(n) for n in ("hashtags", "urls", "mentions", "plain_media", "extended_media")},
-    }
-    fields = (derived.get(name, F.col(name)) for name in FIELDS if not name.startswith("x_"))
-    return df.select(*flat.columns, *fields)
+        use_extended = use_extended | F.col("m.extended_tweet.entities").isNotNull()
+
+    def entity(path: str, name: str) -> Column:
+        extended_form = F.col(f"m.extended_tweet.{path}")
+        return F.when(use_extended, extended_form).otherwise(F.col(f"m.{path}")).alias(name)
+
+    derived = [
+        created_at_to_timestamp(F.col("m.created_at")).alias("created_at"),
+        scalar("m.text", "string").alias("plain_text"),
+        scalar("m.full_text", "string").alias("full_text"),
+        with_default("m.lang", "string", "unknown").alias("lang"),
+        with_default("m.retweet_count", "bigint", -1).alias("retweets"),
+        with_default("m.favorite_count", "bigint", -1).alias("favorites"),
+        with_default("m.possibly_sensitive", "boolean", False).alias("sensitive"),
+        with_default("m.user.profile_banner_url", "string", "").alias("banner"),
+        created_at_to_timestamp(F.col("m.user.created_at")).alias("user_created_at"),
+        F.col("m.user.id_str").try_cast("bigint").alias("author_id_str"),
+        entity("entities.hashtags", "hashtags"),
+        entity("entities.urls", "urls"),
+        entity("entities.user_mentions", "mentions"),
+        entity("entities.media", "plain_media"),
+        entity("extended_entities.media", "extended_media"),
+    ]
+    plain = [F.col(f"m.{path}").alias(name) for name, path in _PLAIN.items()]
+    return flat.select(*flat.columns, *plain, *derived)
 
 
 def _complete() -> Column:
@@ -180,11 +242,10 @@ def _complete() -> Column:
 def sightings(flat: DataFrame, *, extended: bool = False) -> DataFrame:
     """``levels`` -> wide typed frame, messages with an id and an author only.
 
-    Every field is its own path lookup, so Catalyst drops the ones a query does
-    not use.  ``extended`` prefers the entities of the extended form; without it
-    they count only under the (unusual) key ``extended_text``.
+    ``extended`` prefers the entities of the extended form; without it they
+    count only under the (unusual) key ``extended_text``.
     """
-    return _typed(flat, extended).filter(_complete()).drop("v")
+    return _typed(flat, extended).filter(_complete()).drop("m")
 
 
 def everything(lines: DataFrame, *, extended: bool = False) -> DataFrame:
@@ -196,8 +257,8 @@ def everything(lines: DataFrame, *, extended: bool = False) -> DataFrame:
     wide = _typed(levels(lines, others=True), extended)
     is_message = F.col("route") == "message"
     part = F.when(is_message & ~_complete(), "incomplete").otherwise(F.col("route"))
-    text = F.when(F.col("part") == "incomplete", F.to_json("v")).otherwise(F.col("text"))
-    return wide.withColumn("part", part).withColumn("text", text).drop("v", "route")
+    text = F.when(F.col("part") == "incomplete", F.to_json("m")).otherwise(F.col("other"))
+    return wide.withColumn("part", part).withColumn("text", text).drop("m", "route", "other")
 
 
 def rejects(stage: DataFrame) -> DataFrame:
@@ -211,7 +272,7 @@ def rejects(stage: DataFrame) -> DataFrame:
     reason = F.when(F.col("part") == "incomplete", "incomplete").otherwise(
         reject_reason(F.col("value"), F.col("v"))
     )
-    return decode(bad).select(*POSITION, reason.alias("reason"), "value")
+    return decode(bad, ROUTE_FIELDS).select(*POSITION, reason.alias("reason"), "value")
 
 
 def type_stats(flat: DataFrame) -> DataFrame:

@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import path_date, path_time
-from archivemill.functions.variants import get, non_null, present
+from archivemill.functions.variants import scalar
 from archivemill.operators.carry import carry_forward
 from archivemill.operators.decode import POSITION, decode
 
 MARKER = "withheld_in_countries"
+# Only these fields are decoded; a VARIANT is NULL just when its key is absent.
+_MARKED = f"{MARKER}: variant, user: struct<{MARKER}: variant>"
+FIELDS = (
+    f"created_at: variant, {_MARKED}, retweeted_status: struct<{_MARKED}>, "
+    f"quoted_status: struct<{_MARKED}>"
+)
 
 
 def _hit(kind: str, linked: str | None, cond: Column) -> Column:
@@ -23,22 +29,27 @@ def _hit(kind: str, linked: str | None, cond: Column) -> Column:
     return F.when(cond, fields)
 
 
-def _withheld_rules(v: str) -> list[Column]:
-    dated = present(v, "created_at")
+def _marked(message: str) -> Column:
+    """The key counts as soon as it is there, whatever its value."""
+    return F.col(f"{message}.{MARKER}").isNotNull()
+
+
+def _withheld_rules() -> list[Column]:
+    dated = F.col("v.created_at").isNotNull()
     # The quote is looked at only where there is no usable repeated message.
-    no_repeat = non_null(v, "retweeted_status.user").isNull()
+    quote = dated & F.col("v.retweeted_status.user").isNull()
     return [
-        _hit("tweets", "no", dated & present(v, MARKER)),
-        _hit("users", "no", dated & present(v, f"user.{MARKER}")),
-        _hit("tweets", "retweeted", dated & present(v, f"retweeted_status.{MARKER}")),
-        _hit("users", "retweeted", dated & present(v, f"retweeted_status.user.{MARKER}")),
-        _hit("tweets", "quoted", dated & no_repeat & present(v, f"quoted_status.{MARKER}")),
-        _hit("users", "quoted", dated & no_repeat & present(v, f"quoted_status.user.{MARKER}")),
+        _hit("tweets", "no", dated & _marked("v")),
+        _hit("users", "no", dated & _marked("v.user")),
+        _hit("tweets", "retweeted", dated & _marked("v.retweeted_status")),
+        _hit("users", "retweeted", dated & _marked("v.retweeted_status.user")),
+        _hit("tweets", "quoted", quote & _marked("v.quoted_status")),
+        _hit("users", "quoted", quote & _marked("v.quoted_status.user")),
     ]
 
 
-def _message_rule(v: str) -> Column:
-    return _hit("messages", None, ~present(v, "created_at") & present(v, MARKER))
+def _message_rule() -> Column:
+    return _hit("messages", None, F.col("v.created_at").isNull() & _marked("v"))
 
 
 def mine_withheld(lines: DataFrame) -> DataFrame:
@@ -46,8 +57,8 @@ def mine_withheld(lines: DataFrame) -> DataFrame:
 
     All rules are tried in one pass over the lines; nothing is shuffled.
     """
-    rules = F.explode(F.array(*_withheld_rules("v")))
-    hits = decode(lines).select(*POSITION, "value", rules.alias("hit"))
+    rules = F.explode(F.array(*_withheld_rules()))
+    hits = decode(lines, FIELDS).select(*POSITION, "value", rules.alias("hit"))
     return hits.filter(F.col("hit").isNotNull()).select(
         *POSITION, path_date(F.col("file")).alias("date"), "hit.kind", "hit.linked", "value"
     )
@@ -58,10 +69,11 @@ def _mine_dated(lines: DataFrame, rules: list[Column]) -> DataFrame:
 
     All lines take part in the carry, but the text travels for kept lines only.
     """
-    clock = F.when(
-        present("v", "created_at"), F.struct(get("v", "created_at", "string").alias("at"))
+    created = F.col("v.created_at")
+    clock = F.when(created.isNotNull(), F.struct(scalar(created, "string").alias("at")))
+    tried = decode(lines, FIELDS).select(
+        *POSITION, "value", clock.alias("clock"), F.array(*rules).alias("hits")
     )
-    tried = decode(lines).select(*POSITION, "value", clock.alias("clock"), F.array(*rules).alias("hits"))
     kept = F.coalesce(*(F.col("hits")[i] for i in range(len(rules)))).isNotNull()
     narrow = tried.select(
         *POSITION,
@@ -95,12 +107,12 @@ def mine_messages(lines: DataFrame) -> DataFrame:
 
     ``approx_time`` falls back to the time in the file's path.
     """
-    return _mine_dated(lines, [_message_rule("v")]).drop("kind", "linked")
+    return _mine_dated(lines, [_message_rule()]).drop("kind", "linked")
 
 
 def mine(lines: DataFrame) -> DataFrame:
     """``mine_withheld`` and ``mine_messages`` together, in one pass over the lines."""
-    return _mine_dated(lines, [*_withheld_rules("v"), _message_rule("v")])
+    return _mine_dated(lines, [*_withheld_rules(), _message_rule()])
 
 
 def as_json(mined: DataFrame) -> DataFrame:

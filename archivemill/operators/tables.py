@@ -74,8 +74,9 @@ def entities_hashtag(s: DataFrame) -> DataFrame:
 
 
 def entities_mention(s: DataFrame) -> DataFrame:
-    return _own_content(s).select(
-        "id", F.inline("mentions").alias("mentioned_id", "mentioned_screen_name")
+    mentions = _own_content(s).select("id", F.inline("mentions").alias("mid", "mentioned_screen_name"))
+    return mentions.select(
+        "id", F.col("mid").try_cast("bigint").alias("mentioned_id"), "mentioned_screen_name"
     )
 
 
@@ -88,7 +89,8 @@ def entities_media(s: DataFrame) -> DataFrame:
     media = F.when(F.size("extended_media") > 0, F.col("extended_media")).otherwise(
         F.col("plain_media")
     )
-    return _own_content(s).select("id", F.inline(media).alias("media_id", "type", "url"))
+    items = _own_content(s).select("id", F.inline(media).alias("mid", "type", "url"))
+    return items.select("id", F.col("mid").try_cast("bigint").alias("media_id"), "type", "url")
 
 
 def twitter_user(s: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ def _metadata_and_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 @query("json_tolerant_parse")
 def json_tolerant_parse(spark, sf_dir):
     events = _read(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
-    return decode.decode(events).select(
-        "event_id", F.col("v").isNotNull().alias("is_object"), get("v", "k", "bigint").alias("k")
+    return decode.decode(events, "k bigint").select(
+        "event_id", F.col("v").isNotNull().alias("is_object"), "v.k"
     )
 
 

@@ -1,6 +1,5 @@
 import json
 
-from archivemill.functions.variants import get, present
 from archivemill.operators import decode, flatten
 from archivemill.plans import parse
 from tests.messages import ABSENT, deletion, message
@@ -13,16 +12,16 @@ def routes(df):
 def test_one_object_per_line_is_decoded(lines):
     df = lines(
         '{"a": 1}', ' \t{"a": 2}  ', '{"a": 1', "[1]", "5", "", '{"a":1}{"b":2}', '{"a":1},{"b":2}',
-        '{"a":1} x', '{"a": 1, "a": 2}', '{"a": 12345678901234567}',
+        '{"a":1} x', '{"a": 1, "a": 2}', '[{"a": 1}]', '{"a": 1]} x', '{"a": 12345678901234567}',
     )
-    rows = decode.decode(df).select("line", get("v", "a", "bigint").alias("a")).orderBy("line").collect()
-    assert [r.a for r in rows] == [1, 2, None, None, None, None, None, None, None, 2, 12345678901234567]
+    rows = decode.decode(df, "a bigint").select("line", "v.a").orderBy("line").collect()
+    assert [r.a for r in rows] == [1, 2, None, None, None, None, None, None, None, 2, None, None, 12345678901234567]
 
 
 def test_presence_tells_absent_from_null(lines):
-    df = decode.decode(lines({"k": None}, {"k": []}, {"k": ["TR"]}, {"j": 1}))
-    rows = df.select("line", present("v", "k").alias("p")).orderBy("line").collect()
-    assert [r.p for r in rows] == [True, True, True, False]
+    df = decode.decode(lines({"k": None}, {"k": []}, {"k": ["TR"]}, {"j": 1}), "k variant")
+    rows = df.select("line", "v.k").orderBy("line").collect()
+    assert [r.k is not None for r in rows] == [True, True, True, False]
 
 
 def test_first_notice_key_in_order_decides(lines):
@@ -80,5 +79,5 @@ def test_type_priority(lines):
         message(6, retweeted_status=None, quoted_status=None),
         message(7, in_reply_to_status_id=ABSENT),
     )
-    rows = decode.decode(df).select("line", decode.message_type("v").alias("t")).orderBy("line").collect()
-    assert [r.t for r in rows] == ["tweet", "reply", "quote", "quote", "retweet", "tweet", "tweet"]
+    rows = flatten.levels(df).filter("depth = 0").orderBy("line").collect()
+    assert [r.tweet_type for r in rows] == ["tweet", "reply", "quote", "quote", "retweet", "tweet", "tweet"]

