@@ -20,12 +20,6 @@ def scalar(v: Column | str, dtype: str) -> Column:
     return F.try_variant_get(v, "$", dtype)
 
 
-def non_null(v: Column | str, path: str) -> Column:
-    """The value at ``$.path`` as VARIANT; NULL when absent or JSON null."""
-    found = F.try_variant_get(v, f"$.{path}", "variant")
-    return F.when(~F.is_variant_null(found), found)
-
-
 def with_default(v: Column | str, dtype: str, default) -> Column:
     """``default`` for an absent key only: a JSON null stays NULL."""
     return F.when(F.isnull(v), F.lit(default)).otherwise(scalar(v, dtype))

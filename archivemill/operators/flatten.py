@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import created_at_to_timestamp
-from archivemill.functions.variants import get, non_null, scalar, with_default
+from archivemill.functions.variants import scalar, with_default
 from archivemill.operators.decode import POSITION, ROUTE_FIELDS, decode, reject_reason, route
 
 # Levels decoded with the line; what lies deeper takes the loop in `_chain`.
@@ -65,37 +65,47 @@ def _fields(level: int) -> str:
     return ", ".join(own + [f"{key}: {below}" for key in EMBEDDING])
 
 
-def _chain(v: Column) -> Column:
+# Expressions over all fields are put together as SQL text: one call, not hundreds.
+
+
+def _chain(v: str) -> str:
     """Array of the raw message ``v`` and everything below it, of any depth.
 
     Each level takes more than 16 characters of JSON, which bounds the loop.
     """
-    steps = F.sequence(F.lit(1), F.floor(F.length(F.to_json(v)) / 16).cast("int") + 1)
+    last = "element_at(acc, -1)"
+    below = [f"try_variant_get({last}, '$.{key}', 'variant')" for key in EMBEDDING]
+    return f"""aggregate(sequence(1, cast(floor(length(to_json({v})) / 16) AS int) + 1), array({v}),
+        (acc, i) -> coalesce(array_append(acc, {_first_non_null(*below)}), acc))"""
 
-    def step(acc: Column, _: Column) -> Column:
-        last = F.element_at(acc, -1)
-        below = F.coalesce(*(non_null(last, key) for key in EMBEDDING))
-        return F.when(below.isNull(), acc).otherwise(F.array_append(acc, below))
 
-    return F.aggregate(steps, F.array(v), step)
+def _first_non_null(*raw: str) -> str:
+    """The first variant that is there and not JSON null, in a CASE that is NULL without one."""
+    return "CASE " + " ".join(f"WHEN NOT is_variant_null({v}) AND {v} IS NOT NULL THEN {v}" for v in raw) + " END"
 
 
-def _row(m: Column, *, raw: bool) -> Column:
+def _row(m: str, *, raw: bool) -> str:
     """One message as a struct of its own fields and the ids of what it embeds."""
 
-    def link(key: str, name: str) -> Column:
-        below = m[key]
+    def link(key: str) -> str:
+        below = f"{m}.{key}"
         if raw:
-            below = F.when(~F.is_variant_null(below), below)
-            parts = [get(below, "id", "bigint"), get(below, "user.id", "bigint"),
-                     get(below, "user.screen_name", "string")]
+            parts = [
+                f"try_variant_get({below}, '$.id', 'bigint')",
+                f"try_variant_get({below}, '$.user.id', 'bigint')",
+                f"try_variant_get({below}, '$.user.screen_name', 'string')",
+            ]
+            there = f"{below} IS NOT NULL AND NOT is_variant_null({below})"
         else:
-            parts = [below["id"], below["user"]["id"], below["user"]["screen_name"]]
-        named = F.struct(*(p.alias(n) for p, n in zip(parts, ("tweet", "user", "name"), strict=True)))
-        return F.when(below.isNotNull(), named).alias(name)
+            parts = [f"{below}.id", f"{below}.user.id", f"{below}.user.screen_name"]
+            there = f"{below} IS NOT NULL"
+        tweet, user, name = parts
+        return f"""CASE WHEN {there}
+            THEN named_struct('tweet', {tweet}, 'user', {user}, 'name', {name}) END"""
 
-    own = [m[name].alias(name) for name in MESSAGE]
-    return F.when(m.isNotNull(), F.struct(*own, link("retweeted_status", "rt"), link("quoted_status", "qt")))
+    own = ", ".join(f"'{name}', {m}.{name}" for name in MESSAGE)
+    links = f"'rt', {link('retweeted_status')}, 'qt', {link('quoted_status')}"
+    return f"CASE WHEN {m} IS NOT NULL THEN named_struct({own}, {links}) END"
 
 
 def message_type(m: str) -> Column:
@@ -135,18 +145,15 @@ def levels(lines: DataFrame, *, others: bool = False) -> DataFrame:
     for depth in range(1, PLAIN_LEVELS):
         above = f"l{depth - 1}"
         df = df.withColumn(f"l{depth}", F.coalesce(*(F.col(f"{above}.{key}") for key in EMBEDDING)))
-    last = F.col(f"l{PLAIN_LEVELS - 1}")
-    rest = F.coalesce(*(F.when(~F.is_variant_null(last[key]), last[key]) for key in EMBEDDING))
-    df = df.withColumn("rest", rest)
+    last = f"l{PLAIN_LEVELS - 1}"
+    df = df.withColumn("rest", F.expr(_first_non_null(*(f"{last}.{key}" for key in EMBEDDING))))
 
-    rows = [_row(F.col(f"l{d}"), raw=d + 1 == PLAIN_LEVELS) for d in range(PLAIN_LEVELS)]
+    rows = [_row(f"l{d}", raw=d + 1 == PLAIN_LEVELS) for d in range(PLAIN_LEVELS)]
     last_level = f"struct<{_fields(PLAIN_LEVELS - 1)}>"
-    deeper = F.transform(
-        F.transform(_chain(F.col("rest")), lambda x: F.from_json(F.to_json(x), last_level)),
-        lambda m: _row(m, raw=True),
-    )
-    unnested = F.when(F.col("rest").isNull(), F.array(*rows)).otherwise(
-        F.concat(F.array(*rows), deeper)
+    records = f"transform({_chain('rest')}, x -> from_json(to_json(x), '{last_level}'))"
+    unnested = F.expr(
+        f"""CASE WHEN rest IS NULL THEN array({', '.join(rows)})
+        ELSE concat(array({', '.join(rows)}), transform({records}, r -> {_row('r', raw=True)})) END"""
     )
     df = df.select(*POSITION, "seen", *extra, F.posexplode(unnested).alias("depth", "m"))
     kept = F.col("m").isNotNull()
@@ -231,8 +238,8 @@ def _typed(flat: DataFrame, extended: bool) -> DataFrame:
         entity("entities.media", "plain_media"),
         entity("extended_entities.media", "extended_media"),
     ]
-    plain = [F.col(f"m.{path}").alias(name) for name, path in _PLAIN.items()]
-    return flat.select(*flat.columns, *plain, *derived)
+    plain = flat.selectExpr("*", *(f"m.{path} AS {name}" for name, path in _PLAIN.items()))
+    return plain.select("*", *derived)
 
 
 def _complete() -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from archivemill.schema import TABLES
 from archivemill.sources.archive import json_lines
 from archivemill.sources.tables import read_table
 
+PARALLEL_WRITES = 4
+
 
 def sightings_of(lines: DataFrame, *, extended: bool = False) -> DataFrame:
     return flatten.sightings(flatten.levels(lines), extended=extended)
@@ -86,22 +92,32 @@ def run_parse(
     stage = staged(flatten.everything(lines, extended=extended), "sightings")
     rows, rest = split_stage(stage)
     built = tables(rest, timeline=timeline, hydrated=hydrated, sightings=rows)
-    for name, df in built.items():
+    jobs = [
         # The three latest-row tables are written even when empty.
-        held_back = skip_empty and name not in LATEST_TABLES
-        write_table(df, f"{folder}/{name}", fmt=fmt, skip_empty=held_back)
-    write_notices(rest.filter(F.col("part") == "status_withheld"), f"{folder}/become_withheld")
-    write_table(flatten.rejects(stage), f"{folder}/rejects")
+        partial(write_table, df, f"{folder}/{name}", fmt=fmt, skip_empty=skip_empty and name not in LATEST_TABLES)
+        for name, df in built.items()
+    ]
+    notices = rest.filter(F.col("part") == "status_withheld")
+    jobs.append(partial(write_notices, notices, f"{folder}/become_withheld"))
+    jobs.append(partial(write_table, flatten.rejects(stage), f"{folder}/rejects"))
+    _run_all(jobs)
     if views:
         stored = {
             name: read_table(spark, folder, name, fmt=fmt, timeline=timeline, optional=True)
             for name in ("tweet_metadata", "network_retweet", "entities_hashtag", "deleted_tweets")
         }
-        for name, df in build_views(stored).items():
-            write_table(df, f"{folder}/{name}", fmt=fmt)
+        views_built = build_views(stored)
+        _run_all([partial(write_table, df, f"{folder}/{n}", fmt=fmt) for n, df in views_built.items()])
     return flatten.type_stats(rows)
 
 
+def _run_all(jobs: list[Callable[[], object]]) -> None:
+    """Submit independent writes side by side: the short ones fill the others' gaps."""
+    with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def parse_folder(spark, source: str, folder: str, **options) -> DataFrame:
     """``run_parse`` over a folder of JSON-lines files."""
     return run_parse(json_lines(spark, source), folder, **options)
