@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from archivemill.llm.op1_sharding import default_tree, place
+from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op6_token_counts import token_counts
+from archivemill.llm.op7_decontamination import contamination
+from archivemill.llm.op8_line_crf import quality_scores, train
 from archivemill.llm.op9_packing import pack
 from archivemill.llm.shared import prepared, word_count
 from archivemill.plans.staging import staging_root
@@ -43,6 +46,13 @@ def op1_hash_tree_sharding(spark, sf_dir):
     return place(read(spark, sf_dir, "documents"), default_tree(8))
 
 
+@query
+def op2_ngram_ratio_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = trusted_texts(docs, read(spark, sf_dir, "labels"))
+    return quality_rules(docs, log_ratios(docs, trusted))
+
+
 @query
 def op6_digest_cache_counts(spark, sf_dir):
     """Starts from an empty cache of its own, so that every distinct text is encoded."""
@@ -54,6 +64,17 @@ def op6_digest_cache_counts(spark, sf_dir):
     return counts.withColumn("over_limit", counts["n_tokens"] > 512)
 
 
+@query
+def op7_fm_index_decontamination(spark, sf_dir):
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query
+def op8_line_crf_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op9_length_bucket_packing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
