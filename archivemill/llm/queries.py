@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from archivemill.llm.op1_sharding import default_tree, place
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
+from archivemill.llm.op5_ngram_trie import build, held_out, scores
 from archivemill.llm.op6_token_counts import token_counts
 from archivemill.llm.op7_decontamination import contamination
 from archivemill.llm.op8_line_crf import quality_scores, train
@@ -53,6 +54,12 @@ def op2_ngram_ratio_rules(spark, sf_dir):
     return quality_rules(docs, log_ratios(docs, trusted))
 
 
+@query
+def op5_trie_scores(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return scores(docs, build(docs.where(~held_out(docs["doc_id"]))))
+
+
 @query
 def op6_digest_cache_counts(spark, sf_dir):
     """Starts from an empty cache of its own, so that every distinct text is encoded."""
