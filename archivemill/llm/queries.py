@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from archivemill.llm.op1_sharding import default_tree, place
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op3_wrappers import main_text
+from archivemill.llm.op4_chosen_path import similar
 from archivemill.llm.op5_ngram_trie import build, held_out, scores
 from archivemill.llm.op6_token_counts import token_counts
 from archivemill.llm.op7_decontamination import contamination
@@ -60,6 +61,11 @@ def op3_wrapper_extraction(spark, sf_dir):
     return main_text(read(spark, sf_dir, "pages"))
 
 
+@query
+def op4_chosen_path_join(spark, sf_dir):
+    return similar(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_trie_scores(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
