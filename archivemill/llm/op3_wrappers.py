@@ -390,7 +390,7 @@ def _aligned(table: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The wrapper of every host: host and wrapper (JSON).  Pages without html take no part."""
     schema = "host string, wrapper string"
-    usable = pages.where(F.length(html) > 0).select(host_of(pages[url]), html)
+    usable = pages.where(F.length(html) > 0).select(host_of(pages[url]).alias("_host"), html)
     partial = usable.mapInArrow(_partial, schema)
     grouped = partial.withColumn("group", F.pmod(F.xxhash64("wrapper"), F.lit(GROUPS)))
     once = grouped.groupBy("host", "group").applyInArrow(_aligned, schema)

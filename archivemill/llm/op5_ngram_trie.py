@@ -452,4 +452,4 @@ def scores(docs: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text")
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return docs.select(key, held_out(docs[key]), text).mapInArrow(run, schema)
+    return docs.select(key, held_out(docs[key]).alias("_held_out"), text).mapInArrow(run, schema)

@@ -257,7 +257,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Phrases]:
     """The benchmark's distinct windows, in blocks of about ``BLOCK_WORDS`` words."""
     rows = staged(
-        benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), text)
+        benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), text)
         .mapInArrow(lambda batches: _windows(batches, window), "item string, window binary, n bigint")
         .groupBy("window", "n").agg(F.sort_array(F.collect_set("item")).alias("items")),
         "phrases",

@@ -217,7 +217,7 @@ def quality_scores(docs: DataFrame, field: Field, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(score(texts, field))], names=[key, "held_out", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(key, held_out(docs[key]), text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double")
+    scored = docs.select(key, held_out(docs[key]).alias("_held_out"), text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0))
 
 
