@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archivemill.llm.op1_sharding import default_tree, place
+from archivemill.llm.op10_licenses import Matcher, document_frequencies, licenses
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op3_wrappers import main_text
 from archivemill.llm.op4_chosen_path import similar
@@ -98,3 +100,11 @@ def op8_line_crf_quality(spark, sf_dir):
 def op9_length_bucket_packing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return pack(docs, word_count(docs["text"]))
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    """A document lies in the directory of its language in that of its source."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", docs["source"], docs["lang"], docs["doc_id"].cast("string"))
+    return licenses(docs, path, Matcher(*document_frequencies(docs)))
