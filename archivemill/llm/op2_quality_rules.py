@@ -22,7 +22,9 @@ from archivemill.llm.tokens import Texts, Words
 #: Buckets of the multinomials.
 BUCKETS = 10_000
 #: Mean log ratio an n-gram must reach.
-THRESHOLD = -0.25
+THRESHOLD = -0.05
+#: N-grams of the raw distribution added to the trusted ones for each bucket, so that a small trusted corpus says little.
+PRIOR = 20
 #: Base rules.
 LEAST_WORDS = 10
 WINDOW = 5
@@ -94,23 +96,24 @@ def _count(buckets: int):
 
 
 def log_ratios(raw: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Per bucket ``ln p(trusted) - ln p(raw)``, each with one added to every count.
+    """Per bucket ``ln p(trusted) - ln p(raw)``.
 
-    Each task counts into one array of ``buckets`` numbers; those are what shuffles and
-    what reaches the driver.  With no trusted text all ratios are 0.
+    One is added to every raw count, and ``PRIOR`` n-grams for each bucket, dealt like the raw
+    ones, to the trusted counts.  Each task counts into one array of ``buckets`` numbers; those
+    are what shuffles and what reaches the driver.  With no trusted text all ratios are 0.
     """
 
     def counted(docs: DataFrame, name: str) -> DataFrame:
         sums = docs.select(text).mapInArrow(_count(buckets), "bucket bigint, n bigint")
         return sums.select(F.lit(name).alias("corpus"), "bucket", "n")
 
-    totals = {name: np.ones(buckets) for name in ("raw", "trusted")}
+    totals = {name: np.zeros(buckets) for name in ("raw", "trusted")}
     both = counted(raw, "raw").union(counted(trusted, "trusted"))
     for name, bucket, n in both.groupBy("corpus", "bucket").agg(F.sum("n").alias("n")).collect():
         totals[name][bucket] += n
-    if totals["trusted"].sum() == buckets:
-        return np.zeros(buckets)
-    return np.log(totals["trusted"] / totals["trusted"].sum()) - np.log(totals["raw"] / totals["raw"].sum())
+    plain = (totals["raw"] + 1) / (totals["raw"].sum() + buckets)
+    prior = PRIOR * buckets
+    return np.log((totals["trusted"] + prior * plain) / (totals["trusted"].sum() + prior)) - np.log(plain)
 
 
 def judge(texts: Texts, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:

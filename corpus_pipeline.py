@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archivemill.llm import op2_quality_rules, op4_chosen_path, op7_decontamination, op8_line_crf, op9_packing
 from archivemill.llm.shared import prepared, word_count
@@ -38,9 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without the benchmark's passages."""
+    """Rows without the benchmark's passages; n_chars follows the text."""
     prepared(spark)
-    return op7_decontamination.cleaned(docs, _table(spark, sf_dir, "benchmark"))
+    cleaned = op7_decontamination.cleaned(docs, _table(spark, sf_dir, "benchmark"))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
