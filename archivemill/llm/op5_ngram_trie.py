@@ -101,25 +101,33 @@ class EliasFano:
         place = 64 * word + _select(self.high[word], at - self.ones[word])
         return ((place - at).astype(np.uint64) << np.uint64(self.width)) | self._low(at)
 
+    def _upto(self, top: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part of at most ``top`` (-1: none)."""
+        out, some = np.zeros(len(top), np.int64), np.flatnonzero(top >= 0)
+        nth = top[some]
+        word = np.searchsorted(self.zeros, nth, side="right") - 1
+        out[some] = 64 * word + _select(~self.high[word], nth - self.zeros[word]) - nth
+        return out
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Places of numbers in the sequence; -1 where there is none."""
+        """Places of numbers in the sequence; -1 where there is none.
+
+        The numbers with the wanted high part are neighbours, and a frequent context has many
+        of them: they are halved until the successor is found.
+        """
         top = (wanted >> np.uint64(self.width)).astype(np.int64)
         low = wanted & np.uint64((1 << self.width) - 1)
-        bit = np.zeros(len(wanted), np.int64)
-        later = np.flatnonzero(top > 0)
-        before = top[later] - 1  # the numbers of a high part follow the zero that ends the part before
-        word = np.searchsorted(self.zeros, before, side="right") - 1
-        bit[later] = 64 * word + _select(~self.high[word], before - self.zeros[word]) + 1
-        found, live = np.full(len(wanted), -1), np.arange(len(wanted))
+        first, last = self._upto(top - 1), self._upto(top)
+        end, live = last.copy(), np.flatnonzero(first < last)
         while len(live):
-            here = bit[live]
-            live = live[(self.high[here >> 6] >> (here & 63).astype(np.uint64)) & np.uint64(1) == 1]
-            at = bit[live] - top[live]
-            value = self._low(at)
-            same = value == low[live]
-            found[live[same]] = at[same]
-            live = live[value < low[live]]
-            bit[live] += 1
+            middle = (first[live] + last[live]) >> 1
+            less = self._low(middle) < low[live]
+            first[live] = np.where(less, middle + 1, first[live])
+            last[live] = np.where(less, last[live], middle)
+            live = live[first[live] < last[live]]
+        found, here = np.full(len(wanted), -1), np.flatnonzero(first < end)
+        same = here[self._low(first[here]) == low[here]]
+        found[same] = first[same]
         return found
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
