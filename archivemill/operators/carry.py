@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def carry_forward(
@@ -20,9 +23,9 @@ def carry_forward(
     """Add ``out``: the last non-null ``col`` up to and including the row, per ``by``.
 
     ``chunk`` names a column that rises with the order and cuts every group
-    into bounded pieces.  The rows are then filled per piece, and only the last
-    value of each piece crosses to the pieces behind it, so a group that holds
-    a third of all rows is not worked on by one task.  Without ``chunk`` the
+    into bounded pieces (see ``numbered_pieces``).  The rows are then filled per piece, and
+    only the last value of each piece crosses to the pieces behind it, so a group that
+    holds a third of all rows is not worked on by one task.  Without ``chunk`` the
     groups must be small.
     """
     so_far = (Window.unboundedPreceding, Window.currentRow)
@@ -49,3 +52,54 @@ def carry_forward(
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(piece)]
     joined = filled.join(carried, same, "left")
     return joined.select(*df.columns, F.coalesce("_own", "_in").alias(out))
+
+
+def carry_in_order(df: DataFrame, by: str, col: str, out: str) -> DataFrame:
+    """``carry_forward`` for rows that stand in order already, each ``by`` within one partition.
+
+    Lines of the archive do: a task reads a file from its first line to its last.
+    Nothing is shuffled or sorted; a batch is filled at once.
+    """
+    names, kind = df.columns, df.schema[col].dataType
+    key, value = names.index(by), names.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, values = batch.column(key), batch.column(value)
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new = np.r_[keys[0].as_py() != group, codes[1:] != codes[:-1]]
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            there = values.is_valid().to_numpy(zero_copy_only=False)
+            seen = np.maximum.accumulate(np.where(there, np.arange(n), -1))
+            found = values.take(pa.array(seen, mask=seen < start))
+            early = (seen < start) & (start == 0) & ~new[0]  # before the batch's first value, in the group carried in
+            if last is not None and early.any():
+                both = pa.concat_arrays([values, pa.array([last], values.type)])
+                found = both.take(pa.array(np.where(early, n, seen), mask=(seen < start) & ~early))
+            group, last = keys[n - 1].as_py(), found[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+
+
+def numbered_pieces(df: DataFrame, by: Sequence[str], order: str, rows: int = 100_000) -> DataFrame:
+    """Add ``_piece``: it rises with ``order`` and cuts every ``by`` into pieces of about ``rows`` rows.
+
+    The bounds are quantiles of ``order`` per group, taken from a sketch of bounded size; a
+    value of ``order`` that more than ``rows`` rows of a group share stays in one piece.
+    """
+    ranks = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(F.col(order).cast("double"), [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"),
+    )
+    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    every = F.greatest(F.lit(1), F.floor(F.lit(256) / F.ceil(F.col("_n") / rows))).cast("int")
+    cuts = F.filter("_cuts", lambda _, i: (i + 1) % every == 0)
+    bounds = ranks.where(F.col("_n") > rows).select(*keys, cuts.alias("_bounds"))
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    piece = F.size(F.filter("_bounds", lambda x: x < F.col(order).cast("double")))
+    return df.join(bounds, same, "left").select(*df.columns, F.coalesce(piece, F.lit(0)).alias("_piece"))

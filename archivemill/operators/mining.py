@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import path_date, path_time
 from archivemill.functions.variants import scalar
-from archivemill.operators.carry import carry_forward
+from archivemill.operators.carry import carry_forward, carry_in_order
 from archivemill.operators.decode import POSITION, decode
 
 MARKER = "withheld_in_countries"
@@ -64,10 +64,11 @@ def mine_withheld(lines: DataFrame) -> DataFrame:
     )
 
 
-def _mine_dated(lines: DataFrame, rules: list[Column]) -> DataFrame:
+def _mine_dated(lines: DataFrame, rules: list[Column], *, in_order: bool = False) -> DataFrame:
     """Lines kept by ``rules``, with the time carried from the lines before them.
 
     All lines take part in the carry, but the text travels for kept lines only.
+    ``in_order``: the lines of a file stand in order in one partition, as the archive gives them.
     """
     created = F.col("v.created_at")
     clock = F.when(created.isNotNull(), F.struct(scalar(created, "string").alias("at")))
@@ -81,7 +82,10 @@ def _mine_dated(lines: DataFrame, rules: list[Column]) -> DataFrame:
         F.when(kept, F.col("value")).alias("value"),
         F.when(kept, F.col("hits")).alias("hits"),
     )
-    carried = carry_forward(narrow, ["file"], ["line"], "clock", "carried", chunk="block")
+    if in_order:
+        carried = carry_in_order(narrow, "file", "clock", "carried")
+    else:
+        carried = carry_forward(narrow, ["file"], ["line"], "clock", "carried", chunk="block")
     start = path_time(F.col("file"))
     time = F.when(F.col("carried").isNull(), start).otherwise(F.col("carried.at"))
     rows = carried.filter(F.col("value").isNotNull()).select(
@@ -110,24 +114,39 @@ def mine_messages(lines: DataFrame) -> DataFrame:
     return _mine_dated(lines, [_message_rule()]).drop("kind", "linked")
 
 
-def mine(lines: DataFrame) -> DataFrame:
+def mine(lines: DataFrame, *, in_order: bool = False) -> DataFrame:
     """``mine_withheld`` and ``mine_messages`` together, in one pass over the lines."""
-    return _mine_dated(lines, [*_withheld_rules(), _message_rule()])
+    return _mine_dated(lines, [*_withheld_rules(), _message_rule()], in_order=in_order)
+
+
+def mine_read(read: DataFrame) -> DataFrame:
+    """``mine`` over what ``read_archive`` gives; a broken file is one row of kind ``unusable``.
+
+    Its value is a JSON object with the file's path and what is wrong with it.
+    """
+    report = F.to_json(F.struct(F.col("file").alias("path"), "reason"))
+    lines = read.select(*POSITION, F.coalesce("value", report).alias("value"), F.col("reason").isNotNull().alias("broken"))
+    broken = _hit("unusable", None, F.col("broken"))
+    usable = [F.when(~F.col("broken"), rule) for rule in [*_withheld_rules(), _message_rule()]]
+    return _mine_dated(lines, [*usable, broken], in_order=True)
 
 
 def as_json(mined: DataFrame) -> DataFrame:
     """``(kind, date, value)``: the kept lines with ``linked`` or ``approx_time`` added."""
     value = F.col("value")
-    added = F.when(
-        F.col("kind") == "messages", with_fields(value, F.struct("approx_time"))
-    ).otherwise(with_fields(value, F.struct("linked")))
+    added = (
+        F.when(F.col("kind") == "messages", with_fields(value, F.struct("approx_time")))
+        .when(F.col("kind") == "unusable", value)
+        .otherwise(with_fields(value, F.struct("linked")))
+    )
     return mined.select("kind", "date", added.alias("value"))
 
 
 def with_fields(value: Column, fields: Column) -> Column:
-    """The JSON object text ``value`` with the fields of a struct added at its end."""
+    """The JSON object text ``value`` with the fields of a struct added at its end; NULL fields as JSON null."""
+    ended = F.rtrim(value, F.lit(" \t\r\n"))
     return F.concat(
-        F.left(F.rtrim(value), F.length(F.rtrim(value)) - 1),
+        F.left(ended, F.length(ended) - 1),
         F.lit(","),
-        F.substr(F.to_json(fields), F.lit(2)),
+        F.substr(F.to_json(fields, {"ignoreNullFields": "false"}), F.lit(2)),
     )

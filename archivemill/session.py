@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings: text timestamps are UTC, and of two equal keys in one
@@ -15,10 +19,28 @@ SQL_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: some operators run Python there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="run-"), f"{package.name}.zip")  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session somebody else built."""
+    """Apply the SQL settings to a session somebody else built, and send it this package."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_code(spark)
     return spark
 
 

@@ -1,67 +1,142 @@
 """Text sources: the compressed minute archive and JSON-lines folders.
 
-Both give lines as ``(file, block, line, value)``.  ``(block, line)`` orders the
+All give lines as ``(file, block, line, value)``.  ``(block, line)`` orders the
 lines of a file; ``block`` also cuts it into pieces of bounded size.
 """
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import bz2
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE_END = "\r\n|\n|\r"
-# A compressed file up to this size is read as one value, a larger one by splits.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-# Files up to this size are checked for the end mark of their format.
-CHECKED_BYTES = 1024 * 1024 * 1024
-UNREADABLE = "FAILED_READ_FILE"
-# Fixed value of the bzip2 format: the 48 bits that end a stream.
-END_OF_STREAM = "000101110111001001000101001110000101000010010000"
+# Text of a file that a task holds before it knows that the file is whole; a file with
+# more is first read to its end and then read again.
+HELD_BYTES = 128 * 1024 * 1024
+STEP_BYTES = 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
+READ = "file string, block bigint, line bigint, value string, reason string"
 
 Paths = str | list[str]
 
 
-def _reader(spark: SparkSession, pattern: str, *, skip_broken: bool):
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", skip_broken)
-    )
-
+def _steps(content: bytes) -> Iterator[bytes]:
+    with bz2.BZ2File(io.BytesIO(content)) as stream:
+        while step := stream.read(STEP_BYTES):
+            yield step
 
-def _binary(spark: SparkSession, root: Paths) -> DataFrame:
-    return _reader(spark, "*.bz2", skip_broken=False).format("binaryFile").load(root)
 
+def _fault(steps: Iterator[bytes]) -> str | None:
+    """Why the rest of a file cannot be read; None if it can."""
+    try:
+        for _ in steps:
+            pass
+    except EOFError:
+        return "cut off"
+    except (OSError, ValueError):
+        return "damaged"
+    return None
+
+
+def _intact(content: bytes) -> tuple[Iterator[bytes], str | None]:
+    """A file's text in steps, none if the file is broken, and what is wrong with it."""
+    held, size, steps = [], 0, _steps(content)
+
+    def some() -> Iterator[bytes]:
+        nonlocal size
+        for step in steps:
+            held.append(step)
+            size += len(step)
+            if size > HELD_BYTES:
+                return
+            yield step
+
+    fault = _fault(some())
+    if fault is None and size > HELD_BYTES:
+        held.clear()
+        fault = _fault(steps)
+        return (iter(()), fault) if fault else (_steps(content), None)
+    return (iter(()), fault) if fault else (iter(held), None)
+
+
+def _lines(steps: Iterator[bytes]) -> Iterator[bytes]:
+    """Lines ended by a line feed, a carriage return, or both."""
+    rest = b""
+    for step in steps:
+        rest += step
+        cut = max(rest.rfind(b"\n"), rest.rfind(b"\r", 0, len(rest) - 1)) + 1  # a last return may go with a feed
+        if cut:
+            yield from rest[:cut].splitlines()
+            rest = rest[cut:]
+    yield from rest.splitlines()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, content in zip(batch.column(0), batch.column(1), strict=True):
+            steps, fault = _intact(content.as_buffer().to_pybytes())
+            name = file.as_py()
+            if fault:
+                yield _batch(name, [(0, None, None)], fault)
+            held, size, read = [], 0, 0
+            for number, line in enumerate(_lines(steps)):
+                read += len(line) + 1
+                if line:
+                    held.append((read // BLOCK_BYTES, number, line.decode("utf-8", "replace")))
+                    size += len(line)
+                if size >= BATCH_BYTES:
+                    yield _batch(name, held)
+                    held, size = [], 0
+            if held:
+                yield _batch(name, held)
+
+
+def _batch(file: str, rows: list[tuple], reason: str | None = None) -> pa.RecordBatch:
+    block, line, value = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([file] * len(rows), pa.string()), pa.array(block, pa.int64()), pa.array(line, pa.int64()),
+            pa.array(value, pa.string()), pa.array([reason] * len(rows), pa.string()),
+        ],
+        names=["file", "block", "line", "value", "reason"],
+    )
+
+
+def read_archive(spark: SparkSession, root: Paths) -> DataFrame:
+    """Every ``.bz2`` file below ``root``: its lines, or one row with the ``reason`` why it has none.
+
+    A task decompresses its files one after the other, and gives out a file's first line only when it
+    has read the file to its end without a fault; so a broken file gives no line, and memory does
+    not grow with the decompressed size.  The lines of a file stand together in their
+    order.  Blank lines are left out but counted.  An error of the store fails the task, which is
+    tried again: nothing is dropped for it.  A compressed file of 2 GB or more is refused with an
+    error.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.bz2").load(root)
+    )
+    return files.select(F.col("_metadata.file_path").alias("_file"), "content").mapInArrow(_unpack, READ)
 
-def archive_files(spark: SparkSession, root: Paths) -> DataFrame:
-    """The archive's files with their sizes; no content is read."""
-    return _binary(spark, root).select(F.col("_metadata.file_path").alias("path"), "length")
 
+def archive_lines(spark: SparkSession, root: Paths) -> DataFrame:
+    """Lines of every intact ``.bz2`` file below ``root``."""
+    return read_archive(spark, root).where("reason IS NULL").drop("reason")
 
-def cut_off_files(spark: SparkSession, root: Paths) -> DataFrame:
-    """Files without an end-of-stream mark.
 
-    The reader notices a file cut inside a block, but not one cut between two.
-    The mark stands 80 bits before the end, which is padded to a full byte.
-    """
-    tail = F.hex(F.substring("content", -11, 11))
-    halves = [F.lpad(F.conv(F.substr(tail, F.lit(i), F.lit(11)), 16, 2), 44, "0") for i in (1, 12)]
-    ended = F.lit(False)
-    for start in range(2, 10):
-        ended = ended | (F.substr("bits", F.lit(start), F.lit(48)) == END_OF_STREAM)
-    checked = _binary(spark, root).filter(F.col("length") <= CHECKED_BYTES)
-    tails = checked.select(
-        F.col("_metadata.file_path").alias("path"), "length", F.concat(*halves).alias("bits")
-    )
-    return tails.filter((F.col("length") < 11) | ~ended).select("path")
+def skipped_files(spark: SparkSession, root: Paths) -> DataFrame:
+    """``(path, reason)`` of the archive files that are broken and so give no lines."""
+    return read_archive(spark, root).where("reason IS NOT NULL").select(F.col("file").alias("path"), "reason")
 
 
-def _by_split(spark: SparkSession, root: Paths, pattern: str, *, skip_broken: bool) -> DataFrame:
-    text = _reader(spark, pattern, skip_broken=skip_broken).text(root)
-    return text.select(
+def _text_lines(text: DataFrame) -> DataFrame:
+    return text.where(F.length(F.trim("value")) > 0).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -69,72 +144,25 @@ def _by_split(spark: SparkSession, root: Paths, pattern: str, *, skip_broken: bo
     )
 
 
-def _readable(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files that can be read to their end; all of them are tried at once first."""
-    try:
-        _by_split(spark, paths, "*.bz2", skip_broken=False).agg(F.count("value")).collect()
-        return paths
-    except (PySparkException, Py4JJavaError) as error:
-        if UNREADABLE not in str(error):
-            raise
-    if len(paths) == 1:
-        return []
-    half = len(paths) // 2
-    return _readable(spark, paths[:half]) + _readable(spark, paths[half:])
-
-
-def whole_file_lines(files: DataFrame) -> DataFrame:
-    """``(file, value)`` with a whole file per row -> its lines, blank ones left out."""
-    lines = files.select(
-        "file",
-        F.lit(0).cast("long").alias("block"),
-        F.posexplode(F.split("value", LINE_END)).alias("line", "value"),
-    )
-    return lines.withColumn("line", F.col("line").cast("long")).filter(F.length("value") > 0)
-
-
-def archive_lines(
-    spark: SparkSession, root: Paths, *, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """Lines of every ``.bz2`` file below ``root``; a broken file gives none.
+def json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the files in ``folder`` whose name contains ``.json``, less blank ones; files are split."""
+    return _text_lines(spark.read.option("pathGlobFilter", "*.json*").text(folder))
 
-    A minute file is read as one value: if it is damaged the reader drops it as
-    a whole.  A file above ``whole_file_bytes`` would burden one task, so it is
-    read by splits, after a check that it can be read to its end.  Only the
-    names of cut-off and of oversize files come to the driver, which holds the
-    whole file listing anyway.
-    """
-    cut_off = [row.path for row in cut_off_files(spark, root).collect()]
-    oversize = archive_files(spark, root).filter(F.col("length") > whole_file_bytes)
-    large = [row.path for row in oversize.collect() if row.path not in set(cut_off)]
-
-    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
-    whole = whole.filter(size <= whole_file_bytes)
-    if cut_off:
-        whole = whole.filter(~path.isin(cut_off))
-    lines = whole_file_lines(whole.select(path.alias("file"), "value"))
-    readable = _readable(spark, large) if large else []
-    if readable:
-        split = _by_split(spark, readable, "*.bz2", skip_broken=False)
-        lines = lines.unionByName(split.filter(F.length("value") > 0))
-    return lines
 
+# What a mining run writes that is made of messages.
+MINED_KINDS = ("tweets", "users", "messages")
 
-def skipped_files(spark: SparkSession, root: Paths) -> DataFrame:
-    """Archive files that are broken and so give no lines."""
-    whole = _reader(spark, "*.bz2", skip_broken=True).text(root, wholetext=True)
-    read = whole.select(F.col("_metadata.file_path").alias("path"))
-    unread = archive_files(spark, root).select("path").join(read, "path", "left_anti")
-    return unread.union(cut_off_files(spark, root)).distinct()
 
+def mined_lines(spark: SparkSession, folder: str, kinds: tuple[str, ...] = MINED_KINDS) -> DataFrame:
+    """Lines of a mining run's output, whose part files are named anew by every run.
 
-def json_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the files in ``folder`` whose name contains ``.json``; files are split."""
-    text = spark.read.option("pathGlobFilter", "*.json*").text(folder)
-    return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+    So the position of a line comes from its folder and its content: equal times are
+    then decided alike whichever way the same lines were written.
+    """
+    text = spark.read.text(folder)
+    return text.where(F.col("kind").isin(*kinds)).select(
+        F.concat_ws("/", "kind", F.col("date").cast("string")).alias("file"),
+        F.lit(0).cast("long").alias("block"),
+        F.xxhash64("value").alias("line"),
         "value",
     )

@@ -3,8 +3,10 @@ import json
 
 import pytest
 
+from archivemill.operators.mining import mine_read
 from archivemill.plans.mine import mine_archive
-from archivemill.sources.archive import archive_lines, json_lines, skipped_files
+from archivemill.sources import archive as source
+from archivemill.sources.archive import archive_lines, json_lines, read_archive, skipped_files
 from archivemill.streaming.incremental import mine_new_files
 from tests.messages import message
 
@@ -57,25 +59,44 @@ def test_broken_files_give_no_lines(spark, archive):
     assert [(r.line, r.value) for r in rows] == [(0, '{"a": 1}'), (2, '{"a": 2}'), (3, '{"a": 3}')]
 
 
-def test_large_files_are_read_by_splits_with_the_same_result(spark, archive):
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        df = archive_lines(spark, archive, whole_file_bytes=1000)
-        assert {k: v[0] for k, v in per_file(df).items()} == {"2/13/00": 20000, "2/14/03": 3}
-        big = df.filter("file like '%13/00%'")
-        assert big.select("block").distinct().count() > 1
-        rows = big.orderBy("block", "line").collect()
-        assert [json.loads(r.value)["n"] for r in rows] == list(range(20000))
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+def test_a_file_larger_than_what_is_held_gives_the_same_lines(spark, archive, monkeypatch):
+    monkeypatch.setattr(source, "HELD_BYTES", 1000)
+    monkeypatch.setattr(source, "STEP_BYTES", 700)
+    monkeypatch.setattr(source, "BLOCK_BYTES", 5000)
+    for minute, count in (("13/00", 20000), ("13/01", 0), ("13/02", 0), ("13/06", 0), ("14/03", 3)):
+        folder = f"{archive}/2018/05/02/{minute}.json.bz2"
+        with open(folder, "rb") as file:
+            steps, fault = source._intact(file.read())
+        found = [line for line in source._lines(steps) if line]
+        assert len(found) == count and (fault is None) == (count > 0)
+        if minute == "13/00":
+            assert [json.loads(line)["n"] for line in found] == list(range(20000))
+
+
+def test_repetitive_text_is_streamed(spark, tmp_path):
+    """A file whose text is more than fifty times as long."""
+    line = json.dumps(message(1, text="x" * 1000)).encode() + b"\n"
+    packed = bz2.compress(line * 20_000)
+    assert len(line) * 20_000 > 50 * len(packed)
+    put(tmp_path, "00", packed)
+    found = archive_lines(spark, str(tmp_path)).agg({"line": "max", "block": "max", "*": "count"}).first()
+    assert (found["max(line)"], found["count(1)"]) == (19_999, 20_000) and found["max(block)"] > 0
+
+
+def test_line_ends_across_steps():
+    steps = [b"a\r", b"\nb\r", b"c\n\n", b"d\r\n", b"\re"]
+    assert list(source._lines(iter(steps))) == b"".join(steps).splitlines()
+
+
+def test_the_content_is_scanned_once_and_a_mining_run_has_no_shuffle_before_its_result(spark, archive):
+    plan = mine_read(read_archive(spark, archive))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("binaryFile") == 1 and "Exchange" not in plan and "Sort" not in plan
 
 
 def test_skipped_files_are_listed(spark, archive):
-    assert sorted(r.path[-16:-9] for r in skipped_files(spark, archive).collect()) == [
-        f"2/13/0{i}" for i in (1, 2, 5, 6)
-    ]
+    found = {r.path[-16:-9]: r.reason for r in skipped_files(spark, archive).collect()}
+    cut = "cut off"
+    assert found == {"2/13/01": cut, "2/13/02": "damaged", "2/13/05": cut, "2/13/06": cut}, "Spark lists no empty file"
 
 
 def test_json_folder(spark, tmp_path):
@@ -83,7 +104,7 @@ def test_json_folder(spark, tmp_path):
     (tmp_path / "a.json.part").write_text('{"a": 0}\n')
     (tmp_path / "c.txt").write_text('{"a": 9}\n')
     rows = json_lines(spark, str(tmp_path)).orderBy("file", "block", "line").collect()
-    assert [r.value for r in rows] == ['{"a": 0}', '{"a": 1}', "", '{"a": 2}']
+    assert [r.value for r in rows] == ['{"a": 0}', '{"a": 1}', '{"a": 2}']
 
 
 def packed(*messages):
@@ -104,6 +125,12 @@ def test_mine_an_archive_twice_appends(spark, tmp_path):
     assert mined(spark, out) == sorted(once * 2)
 
 
+def test_a_mining_run_lists_the_broken_files(spark, archive, tmp_path):
+    mine_archive(spark, archive, str(tmp_path / "out"))
+    rows = spark.read.text(str(tmp_path / "out")).where("kind = 'unusable'").collect()
+    assert sorted(json.loads(r.value)["path"][-11:-9] for r in rows) == ["01", "02", "05", "06"]
+
+
 def test_new_files_are_mined_once(spark, tmp_path):
     source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     put(source, "00", packed(message(1, **HELD)))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from archivemill.operators.carry import carry_forward
+from archivemill.operators.carry import carry_forward, carry_in_order, numbered_pieces
 from archivemill.operators.latest import distinct_rows, latest_by_key
 
 
@@ -52,3 +52,27 @@ def test_distinct_is_idempotent(spark):
     df = spark.createDataFrame([(1, None), (1, None), (1, "a"), (2, "a")], "a int, b string")
     once = distinct_rows(df)
     assert once.count() == 3 and distinct_rows(once).count() == 3
+
+
+def test_carry_in_order_over_batches(spark):
+    data, _ = rows(spark)
+    data = sorted(data, key=lambda r: (r[0], r[1]))
+    df = spark.createDataFrame(data, "k string, t int, x int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = carry_in_order(df, "k", "x", "y").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.t): r.y for r in got} == filled(data)
+
+
+def test_pieces_are_bounded_by_rows(spark):
+    """One user holds a third of the rows, all within one day."""
+    data, df = rows(spark, n=6000)
+    cut = numbered_pieces(df, ["k"], "t", rows=200)
+    sizes = cut.groupBy("k", "_piece").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 300
+    order = cut.groupBy("k", "_piece").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("k", "_piece").collect()
+    assert all(x.b < y.a for x, y in zip(order, order[1:]) if x.k == y.k)
+    got = carry_forward(cut, ["k"], ["t"], "x", "y", chunk="_piece").collect()
+    assert {(r.k, r.t): r.y for r in got} == filled(data)

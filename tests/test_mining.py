@@ -88,3 +88,24 @@ def test_json_with_added_fields(lines):
     assert json.loads(values["messages"]) == {
         "id": 3, "note": 'a"}', "withheld_in_countries": None, "approx_time": CREATED
     }
+
+
+def test_added_fields_keep_the_line_valid(lines):
+    """A null time, and a line that ends in a tab."""
+    df = lines(message(8, created_at=None), {"id": 9, **HELD}, json.dumps(message(1, **HELD)) + "\t \r")
+    values = {r.kind: json.loads(r.value) for r in as_json(mine(df)).collect()}
+    assert values["messages"] == {"id": 9, **HELD, "approx_time": None}
+    assert values["tweets"]["linked"] == "no"
+
+
+def test_lines_in_order_need_no_shuffle(spark, lines):
+    rows = [message(1), {"id": 2, **HELD}, message(3, created_at=None), {"id": 4, **HELD}] + [message(i, **HELD) for i in range(5, 30)]
+    other = FILE.replace("07.json", "08.json")
+    df = lines(*rows, {"id": 40, **HELD}).coalesce(1).union(lines({"id": 50, **HELD}, message(51), {"id": 52, **HELD}, file=other)).coalesce(1)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = mine(df, in_order=True)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, mine(df).collect()))
+    finally:
+        df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
