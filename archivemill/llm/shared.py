@@ -3,10 +3,6 @@ and gapless numbering that no hot group can send to one task."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,27 +21,9 @@ BATCH_ROWS = "500"
 PIECES = 1024
 
 
-_SHIPPED: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="run-"), f"{package.name}.zip")  # the driver serves it from here
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings and the code on executors that the operators rely on."""
     configure(spark)
-    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
