@@ -160,7 +160,30 @@ _MINED = f"""
     FROM ev WHERE k IN ('click', 'purchase') AND (oid % 150) % 50 = 0"""
 
 
+# Table by the query that returns it.
+_STORED = {
+    "tweet_metadata": "t_metadata", "tweet_text": "t_text", "entities_hashtag": "t_hashtag", "entities_mention": "t_mention",
+    "entities_url": "t_url", "entities_media": "t_media", "twitter_user": "t_user", "user_timezone": "t_timezone",
+    "user_profile": "t_profile", "user_tweet_career": "t_career", "network_retweet": "t_net_retweet",
+    "network_reply": "t_net_reply", "network_quote": "t_net_quote", "geotagged_tweets": "t_geo",
+    "deleted_tweets": "t_deleted", "withheld_tweets": "t_withheld",
+}
+
+
 def all_checks() -> dict[str, str]:
+    checks = _checks()
+    checks["archive_roundtrip"] = _from_levels("SELECT depth, id, tweet_type FROM m")
+    checks["mined_then_parsed"] = _from_levels(
+        f"SELECT DISTINCT id, usr AS author_id, tweet_type FROM m WHERE line IN (SELECT e FROM ({_MINED}))"
+    )
+    checks["csv_roundtrip"] = checks["t_user"]
+    checks["stored_tables"] = " UNION ALL ".join(
+        f"SELECT '{table}' AS name, (SELECT count(*) FROM ({checks[query]})) AS n_rows" for table, query in _STORED.items()
+    )
+    return checks
+
+
+def _checks() -> dict[str, str]:
     return {
         "json_tolerant_parse": """
             SELECT event_id, props LIKE '{%}' AS is_object,

@@ -63,11 +63,17 @@ def withheld_owners(metadata: DataFrame, withheld: DataFrame) -> DataFrame:
 
 
 def flag_propagation(metadata: DataFrame, withheld: DataFrame) -> DataFrame:
-    """Metadata with ``withheld``, ``linked_withheld`` and ``user_withheld``."""
-    flagged = existence_flag(metadata, withheld, "id", "withheld")
+    """Metadata with ``withheld``, ``linked_withheld`` and ``user_withheld``.
+
+    The flags are found on the three ids they depend on; the wide rows move once.
+    """
+    ids = ["id", "linked_tweet", "author_id"]
+    flagged = existence_flag(metadata.select(*ids).distinct(), withheld, "id", "withheld")
     flagged = linked_flag(flagged, withheld)
-    owners = withheld_owners(metadata, withheld)
-    return existence_flag(flagged, owners, "author_id", "user_withheld")
+    flagged = existence_flag(flagged, withheld_owners(metadata, withheld), "author_id", "user_withheld")
+    keys = flagged.select(*(F.col(c).alias(f"_{c}") for c in ids), "withheld", "linked_withheld", "user_withheld")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+    return metadata.join(keys, same).select(*metadata.columns, "withheld", "linked_withheld", "user_withheld")
 
 
 def withheld_authors(metadata: DataFrame, withheld: DataFrame) -> DataFrame:

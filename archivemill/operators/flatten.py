@@ -13,8 +13,9 @@ from archivemill.functions.scalars import created_at_to_timestamp
 from archivemill.functions.variants import scalar, with_default
 from archivemill.operators.decode import POSITION, ROUTE_FIELDS, decode, reject_reason, route
 
-# Levels decoded with the line; what lies deeper takes the loop in `_chain`.
-PLAIN_LEVELS = 4
+# Levels decoded with the line, as real messages nest: the message, what it repeats or
+# quotes, and what that one quotes.  Anything else stays raw and takes the loop in `_chain`.
+PLAIN_LEVELS = 3
 
 _MEDIA = "media: array<struct<id_str: string, type: string, media_url_https: string>>"
 _ENTITIES = (
@@ -58,11 +59,13 @@ MESSAGE = {
 EMBEDDING = ["retweeted_status", "quoted_status"]
 
 
-def _fields(level: int) -> str:
-    """DDL of a message at ``level`` with the levels below it; the last keeps them raw."""
-    below = f"struct<{_fields(level + 1)}>" if level + 1 < PLAIN_LEVELS else "variant"
-    own = [f"{name}: {dtype}" for name, dtype in MESSAGE.items()]
-    return ", ".join(own + [f"{key}: {below}" for key in EMBEDDING])
+def _fields(level: int, message: dict[str, str]) -> str:
+    """DDL of a message at ``level`` with what is decoded below it."""
+    own = [f"{name}: {dtype}" for name, dtype in message.items()]
+    typed = EMBEDDING[:] if level == 0 else EMBEDDING[1:] if level + 1 < PLAIN_LEVELS else []
+    for key in EMBEDDING:
+        own.append(f"{key}: struct<{_fields(level + 1, message)}>" if key in typed else f"{key}: variant")
+    return ", ".join(own)
 
 
 # Expressions over all fields are put together as SQL text: one call, not hundreds.
@@ -71,39 +74,48 @@ def _fields(level: int) -> str:
 def _chain(v: str) -> str:
     """Array of the raw message ``v`` and everything below it, of any depth.
 
-    Each level takes more than 16 characters of JSON, which bounds the loop.
+    The embedding keys in its JSON bound the loop; it stops growing at the last message.
     """
     last = "element_at(acc, -1)"
-    below = [f"try_variant_get({last}, '$.{key}', 'variant')" for key in EMBEDDING]
-    return f"""aggregate(sequence(1, cast(floor(length(to_json({v})) / 16) AS int) + 1), array({v}),
-        (acc, i) -> coalesce(array_append(acc, {_first_non_null(*below)}), acc))"""
+    below = _first_non_null(*(f"try_variant_get({last}, '$.{key}', 'variant')" for key in EMBEDDING))
+    return f"""aggregate(sequence(1, size(split(to_json({v}), '(retweet|quot)ed_status"'))), array({v}),
+        (acc, i) -> CASE WHEN size(acc) < i THEN acc WHEN {below} IS NULL THEN acc ELSE array_append(acc, {below}) END)"""
 
 
 def _first_non_null(*raw: str) -> str:
     """The first variant that is there and not JSON null, in a CASE that is NULL without one."""
-    return "CASE " + " ".join(f"WHEN NOT is_variant_null({v}) AND {v} IS NOT NULL THEN {v}" for v in raw) + " END"
+    return "CASE " + " ".join(f"WHEN {_there(v)} THEN {v}" for v in raw) + " END"
 
 
-def _row(m: str, *, raw: bool) -> str:
-    """One message as a struct of its own fields and the ids of what it embeds."""
+def _there(raw: str) -> str:
+    return f"({raw} IS NOT NULL AND NOT is_variant_null({raw}))"
+
+
+def _row(m: str, raw: list[str], message: dict[str, str]) -> str:
+    """One message as a struct of its own fields and the ids of what it embeds.
+
+    ``raw``: the embedding keys that hold a VARIANT.
+    """
 
     def link(key: str) -> str:
         below = f"{m}.{key}"
-        if raw:
+        if key in raw:
             parts = [
                 f"try_variant_get({below}, '$.id', 'bigint')",
                 f"try_variant_get({below}, '$.user.id', 'bigint')",
                 f"try_variant_get({below}, '$.user.screen_name', 'string')",
             ]
-            there = f"{below} IS NOT NULL AND NOT is_variant_null({below})"
+            there = _there(below)
         else:
             parts = [f"{below}.id", f"{below}.user.id", f"{below}.user.screen_name"]
             there = f"{below} IS NOT NULL"
+        if "user" not in message:  # only whether there is one
+            return f"CASE WHEN {there} THEN true END"
         tweet, user, name = parts
         return f"""CASE WHEN {there}
             THEN named_struct('tweet', {tweet}, 'user', {user}, 'name', {name}) END"""
 
-    own = ", ".join(f"'{name}', {m}.{name}" for name in MESSAGE)
+    own = ", ".join(f"'{name}', {m}.{name}" for name in message)
     links = f"'rt', {link('retweeted_status')}, 'qt', {link('quoted_status')}"
     return f"CASE WHEN {m} IS NOT NULL THEN named_struct({own}, {links}) END"
 
@@ -121,17 +133,22 @@ def message_type(m: str) -> Column:
     )
 
 
-def levels(lines: DataFrame, *, others: bool = False) -> DataFrame:
+def levels(lines: DataFrame, *, others: bool = False, fields: list[str] | None = None) -> DataFrame:
     """Archive lines -> ``(file, block, line, depth, access, tweet_type, m)``.
 
     With ``others`` the lines that are no messages stay too, as one row with
-    their ``route`` and text, so that one pass can feed every output.
+    their ``route`` and text, so that one pass can feed every output.  ``fields`` are the
+    wanted fields of a message (default: all); without ``user`` among them ``m`` says only
+    whether a message embeds another.
     """
+    message = {name: MESSAGE[name] for name in fields} if fields is not None else MESSAGE
+    needed = {"created_at": MESSAGE["created_at"], "in_reply_to_status_id": MESSAGE["in_reply_to_status_id"], **message}
+    message = needed if fields is not None else MESSAGE
     extra = ["route", "other"] if others else []
-    notices = ", ".join(f for f in ROUTE_FIELDS.split(", ") if f.split()[0] not in MESSAGE)
+    notices = ", ".join(f for f in ROUTE_FIELDS.split(", ") if f.split()[0] not in message)
     is_message = F.col("route") == "message"
     df = (
-        decode(lines, f"{notices}, {_fields(0)}")
+        decode(lines, f"{notices}, {_fields(0, message)}")
         .withColumn("route", route("v"))
         .select(
             *POSITION,
@@ -142,18 +159,19 @@ def levels(lines: DataFrame, *, others: bool = False) -> DataFrame:
         )
     )
     # The embedded message: what it repeats, else what it quotes.
-    for depth in range(1, PLAIN_LEVELS):
-        above = f"l{depth - 1}"
-        df = df.withColumn(f"l{depth}", F.coalesce(*(F.col(f"{above}.{key}") for key in EMBEDDING)))
-    last = f"l{PLAIN_LEVELS - 1}"
-    df = df.withColumn("rest", F.expr(_first_non_null(*(f"{last}.{key}" for key in EMBEDDING))))
-
-    rows = [_row(f"l{d}", raw=d + 1 == PLAIN_LEVELS) for d in range(PLAIN_LEVELS)]
-    last_level = f"struct<{_fields(PLAIN_LEVELS - 1)}>"
+    repeated, quoted = EMBEDDING
+    rest = f"CASE WHEN {_there(f'l1.{repeated}')} THEN l1.{repeated} WHEN {_there(f'l2.{repeated}')} THEN l2.{repeated} WHEN {_there(f'l2.{quoted}')} THEN l2.{quoted} END"
+    df = df.withColumn("l1", F.coalesce(*(F.col(f"l0.{key}") for key in EMBEDDING)))
+    df = df.withColumn("l2", F.expr(f"CASE WHEN NOT {_there(f'l1.{repeated}')} THEN l1.{quoted} END"))
+    df = df.withColumn("rest", F.expr(rest))
+
+    raw = [[], [repeated], EMBEDDING]
+    rows = [_row(f"l{depth}", raw[depth], message) for depth in range(PLAIN_LEVELS)]
+    last_level = f"struct<{_fields(PLAIN_LEVELS - 1, message)}>"
     records = f"transform({_chain('rest')}, x -> from_json(to_json(x), '{last_level}'))"
     unnested = F.expr(
         f"""CASE WHEN rest IS NULL THEN array({', '.join(rows)})
-        ELSE concat(array({', '.join(rows)}), transform({records}, r -> {_row('r', raw=True)})) END"""
+        ELSE concat(filter(array({', '.join(rows)}), m -> m IS NOT NULL), transform({records}, r -> {_row('r', EMBEDDING, message)})) END"""
     )
     df = df.select(*POSITION, "seen", *extra, F.posexplode(unnested).alias("depth", "m"))
     kept = F.col("m").isNotNull()
@@ -282,6 +300,10 @@ def rejects(stage: DataFrame) -> DataFrame:
     return decode(bad, ROUTE_FIELDS).select(*POSITION, reason.alias("reason"), "value")
 
 
+# What the type of a message is told from.
+TYPE_FIELDS = ["in_reply_to_status_id"]
+
+
 def type_stats(flat: DataFrame) -> DataFrame:
     """Messages read per type, embedded ones included, before any de-duplication."""
     return flat.groupBy("tweet_type").agg(F.count("*").alias("sightings"))

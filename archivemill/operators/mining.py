@@ -131,6 +131,16 @@ def mine_read(read: DataFrame) -> DataFrame:
     return _mine_dated(lines, [*usable, broken], in_order=True)
 
 
+def withheld_profiles(mined: DataFrame) -> DataFrame:
+    """Ids of the users whose own profile carries the marker, from mined lines."""
+    users = "user: struct<withheld_in_countries: variant, id: bigint>"
+    fields = f"{users}, retweeted_status: struct<{users}>, quoted_status: struct<{users}>"
+    paths = ("v.user", "v.retweeted_status.user", "v.quoted_status.user")
+    marked = [F.when(_marked(p), F.col(f"{p}.id")) for p in paths]
+    ids = decode(mined, fields).select(F.explode(F.array(*marked)).alias("author_id"))
+    return ids.filter(F.col("author_id").isNotNull()).distinct()
+
+
 def as_json(mined: DataFrame) -> DataFrame:
     """``(kind, date, value)``: the kept lines with ``linked`` or ``approx_time`` added."""
     value = F.col("value")

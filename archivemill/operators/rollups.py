@@ -69,7 +69,8 @@ def user_stats(metadata: DataFrame, network_retweet: DataFrame) -> DataFrame:
     )
 
 
-def _hashtag_counts(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
+def hashtag_counts(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Uses per (author, hashtag), a missing hashtag included: what both hashtag views are built from."""
     return (
         hashtags.join(metadata.select("id", "author_id"), "id")
         .filter(F.col("author_id").isNotNull())
@@ -79,18 +80,24 @@ def _hashtag_counts(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def author_hashtag(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
-    counts = _hashtag_counts(hashtags, metadata).filter(F.col("hashtag").isNotNull())
-    return counts.select(_text("author_id"), "hashtag", "count")
+    return named_counts(hashtag_counts(hashtags, metadata))
+
+
+def named_counts(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("hashtag").isNotNull()).select(_text("author_id"), "hashtag", "count")
 
 
 def author_hashtag_stats(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
+    return count_stats(hashtag_counts(hashtags, metadata))
+
+
+def count_stats(counts: DataFrame) -> DataFrame:
     """Uses and different hashtags per author, rolled up from the pair counts.
 
     A missing hashtag counts as a use, but an author needs one that is not missing.
     """
     return (
-        _hashtag_counts(hashtags, metadata)
-        .groupBy("author_id")
+        counts.groupBy("author_id")
         .agg(
             F.sum("count").alias("total_hashtags"),
             F.count("*").alias("different_hashtags"),

@@ -120,7 +120,7 @@ def twitter_user(s: DataFrame) -> DataFrame:
 def user_timezone(s: DataFrame) -> DataFrame:
     known = F.col("time_zone").isNotNull() | F.col("utc_offset").isNotNull()
     return s.filter(known).select(
-        F.col("author_id_str").alias("author_id"),
+        F.coalesce("author_id_str", "author_id").alias("author_id"),
         F.col("id").alias("tweet_id"),
         "time_zone",
         F.col("utc_offset").cast("int").alias("utc_offset"),
@@ -129,9 +129,8 @@ def user_timezone(s: DataFrame) -> DataFrame:
 
 
 def user_profile(s: DataFrame) -> DataFrame:
-    # A user without ``id_str`` has no key to keep the latest row by.
-    return s.filter(F.col("author_id_str").isNotNull()).select(
-        F.col("author_id_str").alias("id"),
+    return s.select(
+        F.coalesce("author_id_str", "author_id").alias("id"),
         F.col("background_image").alias("profile_background_image_url"),
         F.col("profile_image_https").alias("profile_image_url"),
         F.col("banner").alias("profile_banner_url"),

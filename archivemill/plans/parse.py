@@ -6,18 +6,19 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivemill.operators import decode, flatten
 from archivemill.operators.decode import POSITION
 from archivemill.operators.latest import distinct_rows, latest_sighting
 from archivemill.operators.tables import DISTINCT_TABLES, LATEST_TABLES, without_counts
-from archivemill.plans.sinks import write_notices, write_table
-from archivemill.plans.staging import staged
-from archivemill.plans.views import build_views
-from archivemill.schema import TABLES
-from archivemill.sources.archive import json_lines
+from archivemill.plans.mine import mine_archive
+from archivemill.plans.sinks import remove, write_notices, write_table
+from archivemill.plans.staging import stage_path
+from archivemill.plans.views import VIEWS, build_views
+from archivemill.schema import TABLES, csv_schema
+from archivemill.sources.archive import Paths, json_lines, mined_lines
 from archivemill.sources.tables import read_table
 
 PARALLEL_WRITES = 4
@@ -85,30 +86,61 @@ def run_parse(
 ) -> DataFrame:
     """Write every table, the notices, the rejects and the views below ``folder``.
 
-    The lines are read and decoded once, into a staged columnar frame; every
-    output then reads its own columns of that.  Returns the counts per type.
+    The lines are read and decoded once, into a staged columnar frame by part; every
+    output then reads its own part and columns of that.  What an earlier run wrote to the
+    folder and this one does not is removed, the views are built from this run's tables only, and
+    the stage is dropped at the end.  Returns the counts per type, embedded and incomplete
+    messages included.
     """
     spark = lines.sparkSession
-    stage = staged(flatten.everything(lines, extended=extended), "sightings")
+    path = stage_path(spark, "sightings")
+    flatten.everything(lines, extended=extended).write.partitionBy("part").parquet(path)
+    schema = flatten.everything(lines, extended=extended).schema
+    try:
+        return _write_run(
+            spark.read.schema(schema).parquet(path), folder, fmt=fmt, timeline=timeline, hydrated=hydrated,
+            views=views, skip_empty=skip_empty,
+        )
+    finally:
+        remove(spark, path)
+
+
+def _write_run(
+    stage: DataFrame, folder: str, *, fmt: str, timeline: bool, hydrated: bool, views: bool, skip_empty: bool
+) -> DataFrame:
+    spark = stage.sparkSession
     rows, rest = split_stage(stage)
     built = tables(rest, timeline=timeline, hydrated=hydrated, sightings=rows)
-    jobs = [
+    written: dict[str, bool] = {}
+
+    def write(name: str, df: DataFrame) -> None:
         # The three latest-row tables are written even when empty.
-        partial(write_table, df, f"{folder}/{name}", fmt=fmt, skip_empty=skip_empty and name not in LATEST_TABLES)
-        for name, df in built.items()
-    ]
+        leave_out = skip_empty and name not in LATEST_TABLES
+        written[name] = write_table(df, f"{folder}/{name}", fmt=fmt, skip_empty=leave_out)
+
+    jobs = [partial(write, name, df) for name, df in built.items()]
     notices = rest.filter(F.col("part") == "status_withheld")
     jobs.append(partial(write_notices, notices, f"{folder}/become_withheld"))
     jobs.append(partial(write_table, flatten.rejects(stage), f"{folder}/rejects"))
     _run_all(jobs)
+    for name in TABLES:
+        if not written.get(name):
+            remove(spark, f"{folder}/{name}")
     if views:
         stored = {
-            name: read_table(spark, folder, name, fmt=fmt, timeline=timeline, optional=True)
+            name: read_table(spark, folder, name, fmt=fmt, timeline=timeline)
+            if written.get(name)
+            else spark.createDataFrame([], csv_schema(name, timeline=timeline))
             for name in ("tweet_metadata", "network_retweet", "entities_hashtag", "deleted_tweets")
         }
         views_built = build_views(stored)
         _run_all([partial(write_table, df, f"{folder}/{n}", fmt=fmt) for n, df in views_built.items()])
-    return flatten.type_stats(rows)
+    else:
+        for name in VIEWS:
+            remove(spark, f"{folder}/{name}")
+    messages = stage.filter(F.col("part").isin("message", "incomplete"))
+    counts = flatten.type_stats(messages)
+    return spark.createDataFrame(counts.collect(), counts.schema)  # one row for each type
 
 
 def _run_all(jobs: list[Callable[[], object]]) -> None:
@@ -121,3 +153,14 @@ def _run_all(jobs: list[Callable[[], object]]) -> None:
 def parse_folder(spark, source: str, folder: str, **options) -> DataFrame:
     """``run_parse`` over a folder of JSON-lines files."""
     return run_parse(json_lines(spark, source), folder, **options)
+
+
+def parse_mined(spark: SparkSession, mined: str, folder: str, **options) -> DataFrame:
+    """``run_parse`` over what a mining run wrote."""
+    return run_parse(mined_lines(spark, mined), folder, **options)
+
+
+def mine_and_parse(spark: SparkSession, root: Paths, mined: str, folder: str, **options) -> DataFrame:
+    """Mine an archive, then parse all that is mined below ``mined``."""
+    mine_archive(spark, root, mined)
+    return parse_mined(spark, mined, folder, **options)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from archivemill.functions.scalars import as_text
 from archivemill.operators.mining import as_json
@@ -29,12 +29,20 @@ def write_table(
     if skip_empty and df.isEmpty():
         return False
     if fmt == "csv":
-        as_text(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+        # Line feeds inside a quoted field are kept; the reader takes a file as one stream for them.
+        blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        as_text(df).write.mode(mode).option("header", True).option("escape", '"').options(**blanks).csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
     return True
 
 
-def write_notices(notices: DataFrame, path: str, *, mode: str = "append") -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def write_notices(notices: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Withholding notices as they came, one JSON object per line."""
     notices.select("value").write.mode(mode).text(path)

@@ -29,9 +29,13 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the staging root."""
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table below the staging root."""
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -7,15 +7,20 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from archivemill.operators import rollups
+from archivemill.plans.staging import staged
+
+
+VIEWS = ("view_retweet_graph", "view_user_stats", "view_author_hashtag", "view_author_hashtag_stats", "view_activity")
 
 
 def build_views(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The views, lazily but for the pair counts, which two views share and which are staged."""
     metadata, network = tables["tweet_metadata"], tables["network_retweet"]
-    hashtags = tables["entities_hashtag"]
+    counts = staged(rollups.hashtag_counts(tables["entities_hashtag"], metadata), "hashtag-counts")
     return {
         "view_retweet_graph": rollups.retweet_graph(network),
         "view_user_stats": rollups.user_stats(metadata, network),
-        "view_author_hashtag": rollups.author_hashtag(hashtags, metadata),
-        "view_author_hashtag_stats": rollups.author_hashtag_stats(hashtags, metadata),
+        "view_author_hashtag": rollups.named_counts(counts),
+        "view_author_hashtag_stats": rollups.count_stats(counts),
         "view_activity": rollups.activity_log(metadata, tables.get("deleted_tweets")),
     }

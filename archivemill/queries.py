@@ -7,6 +7,7 @@ also on other tables.  Timestamps are returned as text in UTC.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,18 @@ from pyspark.sql import functions as F
 from archivemill.functions import scalars
 from archivemill.functions.variants import get
 from archivemill.operators import decode, flags, flatten, latest, mining, rollups
-from archivemill.operators.carry import carry_forward
+from archivemill.operators.carry import carry_forward, numbered_pieces
 from archivemill.operators.tables import linked_tweet, linked_user, without_counts
 from archivemill.plans import parse
-from archivemill.plans.staging import staged
+from archivemill.plans.mine import run_mine
+from archivemill.plans.sinks import write_table
+from archivemill.plans.staging import stage_path, staged
+from archivemill.schema import TABLES
 from archivemill.session import configure
+from archivemill.sources.archive import archive_lines
+from archivemill.sources.archive import mined_lines as stored_mined_lines
 from archivemill.sources.events import lines_from_events
+from archivemill.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -160,10 +167,10 @@ def carry_forward_events(spark, sf_dir):
     """Amount of each user's latest purchase so far."""
     events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     bought = F.when(F.col("event_type") == "purchase", F.col("value"))
-    rows = events.select(
-        "event_id", "user_id", "ts", F.to_date("ts").alias("day"), bought.alias("bought")
-    )
-    filled = carry_forward(rows, ["user_id"], ["ts", "event_id"], "bought", "last_bought", chunk="day")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("event_id", "user_id", "ts", at.alias("at"), bought.alias("bought"))
+    cut = numbered_pieces(rows, ["user_id"], "at")
+    filled = carry_forward(cut, ["user_id"], ["ts", "event_id"], "bought", "last_bought", chunk="_piece")
     return filled.select("event_id", "user_id", "last_bought")
 
 
@@ -225,6 +232,50 @@ def t_deleted(spark, sf_dir):
     return parse.deleted_tweets(lines_from_events(spark, sf_dir))
 
 
+# --- sources and sinks: written, read back --------------------------------------
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as a folder of compressed files."""
+    folder = stage_path(spark, "archive")
+    lines = lines_from_events(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
+    lines.select("value").write.option("compression", "bzip2").text(folder)
+    return folder
+
+
+@query("archive_roundtrip")
+def archive_roundtrip(spark, sf_dir):
+    lines = archive_lines(spark, _packed(spark, sf_dir))
+    return parse.sightings_of(lines).select("depth", "id", "tweet_type")
+
+
+@query("mined_then_parsed")
+def mined_then_parsed(spark, sf_dir):
+    folder = stage_path(spark, "mined")
+    run_mine(lines_from_events(spark, sf_dir), folder)
+    rows = parse.sightings_of(stored_mined_lines(spark, folder))
+    return rows.select("id", "author_id", "tweet_type").distinct()
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    folder = stage_path(spark, "csv")
+    write_table(_table(spark, sf_dir, "twitter_user"), f"{folder}/twitter_user", fmt="csv")
+    return read_table(spark, folder, "twitter_user", fmt="csv")
+
+
+@query("stored_tables")
+def stored_tables(spark, sf_dir):
+    """Rows of every table that a whole run has stored."""
+    folder = stage_path(spark, "run")
+    parse.run_parse(lines_from_events(spark, sf_dir), folder, views=False)
+    counts = [
+        read_table(spark, folder, name, optional=True).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        for name in TABLES
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query("timeline_projection")
 def timeline_projection(spark, sf_dir):
     return without_counts(_table(spark, sf_dir, "tweet_metadata"))
@@ -307,7 +358,7 @@ def distinct_rows(spark, sf_dir):
 
 @query("type_stats")
 def type_stats(spark, sf_dir):
-    return flatten.type_stats(_levels(spark, sf_dir))
+    return flatten.type_stats(flatten.levels(lines_from_events(spark, sf_dir), fields=flatten.TYPE_FIELDS))
 
 
 # --- views ----------------------------------------------------------------------

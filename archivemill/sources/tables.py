@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from archivemill.schema import TABLES, csv_schema
+from archivemill.schema import csv_schema
 
 
 def read_table(
@@ -30,6 +30,7 @@ def read_table(
         reader = (
             reader.option("header", True)
             .option("escape", '"')
+            .option("multiLine", True)  # a field may hold line feeds
             # Stands for the unquoted empty field; a quoted one is empty text.
             .option("nullValue", "\0")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
@@ -42,6 +43,3 @@ def read_table(
         df = spark.createDataFrame([], schema)
     return df.select(*columns) if columns else df
 
-
-def table_names() -> list[str]:
-    return list(TABLES)

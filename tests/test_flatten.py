@@ -1,3 +1,5 @@
+import time
+
 from archivemill.operators import flatten
 from archivemill.operators.flatten import levels, sightings
 from tests.messages import ABSENT, CREATED, deletion, message
@@ -29,6 +31,21 @@ def test_any_depth(lines):
     assert [(r.depth, r.id) for r in rows] == [(i, i + 1) for i in range(40)] + [(0, 100)]
 
 
+def test_a_repeat_inside_a_repeat(lines):
+    deep = message(3, retweeted_status=message(4, quoted_status=message(5)))
+    df = lines(message(1, retweeted_status=message(2, retweeted_status=deep, quoted_status=message(99))), message(6, quoted_status=message(7, retweeted_status=message(8))))
+    assert [(d, i) for _, d, i, _ in seen(df)] == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 6), (1, 7), (2, 8)]
+
+
+def test_a_long_message_below_the_typed_levels_takes_bounded_time(lines):
+    nested = message(9, text="x" * 1_000_000)
+    for mid in range(8, 0, -1):
+        nested = message(mid, quoted_status=nested)
+    start = time.time()
+    assert len(seen(lines(nested))) == 9
+    assert time.time() - start < 20
+
+
 def test_all_rows_carry_the_outer_time(lines):
     inner = message(2, created_at="Tue May 01 00:00:00 +0000 2018")
     rows = sightings(levels(lines(message(1, retweeted_status=inner)))).collect()

@@ -1,3 +1,4 @@
+import datetime
 import os
 
 import pytest
@@ -5,10 +6,13 @@ from pyspark.sql import functions as F
 
 from archivemill import schema
 from archivemill.operators import rollups
+from archivemill.operators.mining import withheld_profiles
+from archivemill.plans import staging
 from archivemill.plans.infer import run_infer
 from archivemill.plans.parse import run_parse, tables
 from archivemill.plans.sinks import write_table
 from archivemill.sources.tables import read_table
+from archivemill.streaming.incremental import fold_run
 from tests.messages import ABSENT, deletion, message, user
 
 HELD = {"withheld_in_countries": ["TR"]}
@@ -34,7 +38,7 @@ def some(lines):
 def test_a_whole_run(spark, some, tmp_path, fmt, timeline):
     out = str(tmp_path / "out")
     counts = run_parse(some, out, fmt=fmt, timeline=timeline)
-    assert {r.tweet_type: r.sightings for r in counts.collect()} == {"tweet": 3, "retweet": 1}
+    assert {r.tweet_type: r.sightings for r in counts.collect()} == {"tweet": 4, "retweet": 1}
     for name, df in tables(some, timeline=timeline).items():
         stored = read_table(spark, out, name, fmt=fmt, timeline=timeline)
         assert stored.columns == schema.columns(name, timeline=timeline)
@@ -56,6 +60,77 @@ def test_a_run_replaces_the_one_before(spark, some, lines, tmp_path):
     assert [r.id for r in read_table(spark, out, "tweet_metadata").collect()] == [9]
 
 
+def test_nothing_of_the_run_before_stays(spark, some, lines, tmp_path):
+    out = str(tmp_path / "out")
+    run_parse(some, out)
+    run_parse(lines(message(9)), out, skip_empty=True, hydrated=True)
+    assert not os.path.exists(f"{out}/network_retweet") and not os.path.exists(f"{out}/user_tweet_career")
+    assert spark.read.parquet(f"{out}/view_retweet_graph").count() == 0
+    assert spark.read.text(f"{out}/become_withheld").count() == 0
+    run_parse(lines(message(9)), out, views=False)
+    assert not any(name.startswith("view_") for name in os.listdir(out))
+
+
+def test_the_same_input_twice_gives_the_same_folder(spark, some, tmp_path, monkeypatch):
+    stages = tmp_path / "stages"
+    monkeypatch.setattr(staging, "staging_root", lambda spark: str(stages))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        run_parse(some, out, views=False)
+        assert spark.read.text(f"{out}/become_withheld").count() == 1
+        assert spark.read.parquet(f"{out}/rejects").count() == 3
+    assert os.listdir(stages) == [], "the stage is dropped"
+
+
+AWKWARD = ["An\nkara", 'say "hi", \\ you', "", None, " x ", "a,b", "#", "\n", '"', "é\t"]
+
+
+@pytest.mark.parametrize("name", list(schema.TABLES))
+def test_csv_keeps_every_table(spark, tmp_path, name):
+    fields = [f.strip().split() for f in schema.TABLES[name].split(",")]
+    makers = {
+        "string": lambda i, j: AWKWARD[(i + j) % len(AWKWARD)], "timestamp": lambda i, j: datetime.datetime(2018, 5, 2, 3, i),
+        "boolean": lambda i, j: [True, False, None][(i + j) % 3],
+    }
+    rows = [tuple(makers.get(kind, lambda i, j: i * 7 + j if i else None)(i, j) for j, (_, kind) in enumerate(fields)) for i in range(10)]
+    df = spark.createDataFrame(rows, schema.TABLES[name])
+    write_table(df, str(tmp_path / name), fmt="csv")
+    stored = read_table(spark, str(tmp_path), name, fmt="csv")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, df.collect()))
+
+
+def test_new_rows_are_folded_into_stored_tables(spark, lines, tmp_path):
+    early = message(1, uid=7, created_at="Wed May 02 10:00:00 +0000 2018")
+    late = message(1, uid=7, text="changed", retweet_count=50)
+    first, second = tables(lines(early, message(2))), tables(lines(late, message(3)))
+    both = fold_run(first, second)
+    expected = tables(lines(early, message(2)).union(lines(late, message(3), block=1)))
+    for name in ("tweet_metadata", "tweet_text", "user_tweet_career"):
+        assert sorted(map(str, both[name].collect())) == sorted(map(str, expected[name].collect())), name
+    again = fold_run(both, second)
+    assert sorted(map(str, again["tweet_metadata"].collect())) == sorted(map(str, both["tweet_metadata"].collect()))
+
+
+def test_known_withheld_users_are_not_inferred(spark, some, tmp_path):
+    metadata, ids = tables(some)["tweet_metadata"], spark.createDataFrame([(2,)], "id bigint")
+    run_infer(metadata, ids, str(tmp_path), profiles=spark.createDataFrame([(8,)], "author_id bigint"))
+    assert spark.read.parquet(f"{tmp_path}/users_inferred").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/all_users").count() == 1
+
+
+def test_profiles_that_are_withheld_as_a_whole(lines):
+    df = lines(
+        message(1, user=user(7, **HELD)), message(2, uid=9, retweeted_status=message(3, user=user(8, **HELD))),
+        message(4, uid=9, quoted_status=message(5, uid=6, **HELD)), message(6, uid=5, quoted_status=message(7, user=user(7, **HELD))),
+    )
+    assert sorted(r.author_id for r in withheld_profiles(df).collect()) == [7, 8]
+
+
+def test_a_user_without_the_text_id_is_kept(lines):
+    found = tables(lines(message(1, user=user(7, id_str=None))))
+    assert [r.id for r in found["user_profile"].collect()] == [7]
+
+
 def test_empty_tables_can_be_left_out(spark, lines, tmp_path):
     out = str(tmp_path / "out")
     run_parse(lines(deletion()), out, skip_empty=True)

@@ -48,6 +48,11 @@ def test_other_outputs_parse_once(stored):
         assert parses(optimized(df)) == 1
 
 
+def test_types_are_counted_without_decoding_users(stored):
+    plan = optimized(flatten.type_stats(flatten.levels(stored, fields=flatten.TYPE_FIELDS)))
+    assert "screen_name" not in plan and "profile" not in plan and parses(plan) == 1
+
+
 def test_mining_has_no_shuffle(stored):
     assert "Exchange" not in physical(mining.mine_withheld(stored))
 
