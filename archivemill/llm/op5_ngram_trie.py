@@ -36,11 +36,11 @@ DISCOUNT = 0.75
 #: Steps of a stored probability's negative decimal logarithm.
 STEP = 4096
 #: Rows for each range of words.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 8_000
 #: Slices of a range's successors.
 SLICES = 4
 #: Tokens that are counted or scored at once, as far as whole texts allow.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: Hash of the token that ends every text.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -296,24 +296,39 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 7 == 2, F.lit(False))
 
 
-_PART = "part bigint, keys binary, counts binary, texts bigint"
+_PART = "part bigint, n bigint, keys binary, counts binary, texts bigint"
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values, compressed byte plane by byte plane: the high planes are nearly empty."""
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
 
 
 def _parts(part: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int) -> Iterator[pa.RecordBatch]:
     """Counted keys, sorted by part, as one row for each part."""
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-    rows = [(int(part[a]), keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+    rows = [
+        (int(part[a]), b - a, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(counts[a:b].astype(np.uint64)))
+        for a, b in zip(edges, edges[1:], strict=False)
+    ]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-         pa.array([r[2] for r in rows], pa.binary()), pa.array([texts] + [0] * (len(rows) - 1), pa.int64())],
-        names=["part", "keys", "counts", "texts"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+         pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()),
+         pa.array([texts] + [0] * (len(rows) - 1), pa.int64())],
+        names=["part", "n", "keys", "counts", "texts"],
     )
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their summed counts."""
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")])
+    sizes = table.column("n").to_pylist()
+    keys = np.concatenate([np.cumsum(_unpack(x.as_py(), n), dtype=np.uint64) for x, n in zip(table.column("keys"), sizes, strict=True)])
+    counts = np.concatenate([_unpack(x.as_py(), n) for x, n in zip(table.column("counts"), sizes, strict=True)])
     distinct, number = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
 
@@ -408,7 +423,8 @@ def build(docs: DataFrame, text: str = "text", ranges: int | None = None, folder
     if trie.words:
         pairs = docs.select(text).mapInArrow(_count_pairs(trie), _PART)
         every = spark.range(ranges * trie.slices).select(  # every file is written, also without a pair
-            F.col("id").alias("part"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"), F.lit(0).cast("long").alias("texts")
+            F.col("id").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"),
+            F.lit(0).cast("long").alias("texts"),
         )
         pairs.union(every).groupBy("part").applyInArrow(_write_pairs(trie), "part bigint, pairs bigint").agg(F.sum("pairs")).collect()
     return trie

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once, as far as texts allow.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
