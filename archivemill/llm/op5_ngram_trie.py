@@ -160,10 +160,13 @@ def read_arrays(path: str) -> dict[str, np.ndarray]:
         store, place = stores.FileSystem.from_uri(path)
         source = store.open_input_file(place)
     batch = pa.ipc.open_file(source).get_batch(0)
-    return {
-        f.name: np.frombuffer(batch.column(i)[0].as_buffer(), np.dtype(f.metadata[b"dtype"].decode()))
-        for i, f in enumerate(batch.schema)
-    }
+    out = {}
+    for i, f in enumerate(batch.schema):
+        _, edges, data = batch.column(i).buffers()  # a scalar would be a copy
+        size = int(np.frombuffer(edges, np.int64, 2)[1])
+        dtype = np.dtype(f.metadata[b"dtype"].decode())
+        out[f.name] = np.frombuffer(data, dtype, size // dtype.itemsize) if size else np.zeros(0, dtype)
+    return out
 
 
 @dataclass
