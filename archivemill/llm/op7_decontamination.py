@@ -414,21 +414,30 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
 
     A span is cut out of the text from its first word to its last, and one line feed stands
     for it; a text left without a word goes.  Texts without a hit stay byte for byte.
-    Of a benchmark of several blocks each is searched in what the blocks before have left.
+    Every block of a large benchmark is searched in the original words; the spans are cut once.
     """
     place, spark = docs.columns.index(text), docs.sparkSession
-    for block in phrase_blocks(benchmark):
-        docs = docs.mapInArrow(_cutter(spark.sparkContext.broadcast(block), place), docs.schema)
-    return docs
+    blocks = [spark.sparkContext.broadcast(block) for block in phrase_blocks(benchmark)]
+    return docs.mapInArrow(_cutter(blocks, place), docs.schema)
+
 
+def _blocks(broadcasts: list) -> Iterator[Phrases]:
+    """The blocks one after another; of several, each is let go before the next is loaded."""
+    for one in broadcasts:
+        yield one.value
+        if len(broadcasts) > 1 and one._path is not None:  # read from its file again when wanted
+            del one._value
 
-def _cutter(phrases, place: int):
+
+def _cutter(blocks: list, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: Phrases = phrases.value
         for shard in shards(batches, place, bytes_too=True):
             index = shard.index()
-            phrase, at = index.occurrences(wanted)
-            first, last = index.spans(at, wanted.lengths[phrase])
+            first = last = np.zeros(0, np.int64)
+            for wanted in _blocks(blocks):
+                phrase, at = index.occurrences(wanted)
+                a, b = index.spans(at, wanted.lengths[phrase])
+                first, last = index.spans(np.r_[first, a], np.r_[last - first, b - a])
             owner = np.searchsorted(index.firsts, first, side="right") - 1
             spans: dict[int, list[tuple[int, int]]] = {}
             for number, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):

@@ -82,6 +82,23 @@ def test_passages_are_cut_out(spark):
     assert not any(r[5] for r in found(again, benchmark))
 
 
+@pytest.mark.parametrize("block", [30, 200])
+def test_blocks_cut_what_one_block_cuts(spark, monkeypatch, block):
+    passages = [" ".join(f"p{i}w{j}" for j in range(n)) for i, n in enumerate([12, 10, 25, 40, 13])]
+    passages.append("p0w11 after that come words from another item altogether so there")
+    texts = [f"before it {p} behind it" for p in passages] + passages
+    texts += [f"{passages[0]} after that come words", f"p3w1 p3w2 {passages[2]} p3w3 p3w4 p3w5 p3w6 p3w7 p3w8 p3w9 p3w10", "clean text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id int, text string")
+    one = sorted(op.cleaned(docs, benchmark).collect())
+    monkeypatch.setattr(op, "BLOCK_WORDS", block)
+    assert sum(1 for _ in op.phrase_blocks(benchmark)) > 1
+    assert sorted(op.cleaned(docs, benchmark).collect()) == one
+    hits = {r.doc_id: r.n_words - r.n_hit for r in op.contamination(docs, benchmark).collect()}
+    left = {r.doc_id: len(words_of(r.text)) for r in one}
+    assert {k: left.get(k, 0) for k in hits} == hits
+
+
 def test_odd_rows(spark, odd):
     benchmark = odd.selectExpr("doc_id AS item_id", "text").where("doc_id IN (0, 1, 3, 6)")
     wanted = brute([(r.doc_id, r.text) for r in odd.collect()], [tuple(r) for r in benchmark.collect()])
