@@ -7,14 +7,18 @@ into a repeated one, a part that only one side has becomes optional, and texts t
 become a slot.  Every page takes part; each task aligns its own pages of a host, and the
 results are aligned again, in two rounds.
 
-What the wrapper says of a host is then two rules: which texts at which places are template,
-and, for pages that do not mark their article, the element that holds most varying text.
+Two rules of a host follow: which texts at which places are template (by the share of the
+pages with the enclosing part, counted exactly beside the wrapper, so that a page of another
+layout does not matter), and, for pages that do not mark their article, the wrapper's element
+that holds most varying text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,12 +28,16 @@ from pyspark.sql import functions as F
 
 from archivemill.llm.shared import staged
 
-#: Pages that must have a text at a place, all the same, to call it template.
-TEMPLATE_PAGES = 20
+#: Share of the pages with a part that must have the same text in it, to call it template,
+#: and the fewest pages that can show it: two pages may agree by chance.
+TEMPLATE_SHARE = 0.8
+TEMPLATE_PAGES = 3
 #: Share of the varying text that an element must hold to be the main one.
 MAIN_SHARE = 0.6
-#: Longest text that can be template.
+#: Longer texts are kept in wrappers as their digests.
 TEMPLATE_CHARS = 200
+#: Counts of texts that a task holds before it gives them out.
+HELD_COUNTS = 1 << 17
 #: Partial wrappers of a host are aligned in so many groups first.
 GROUPS = 32
 #: Bytes of all hosts' rules that are broadcast; more are joined by shuffling.
@@ -194,8 +202,7 @@ def _same(nodes: list[Node]) -> Node:
     """Nodes of one page with equal signs as one; the page counts once."""
     first = nodes[0]
     for other in nodes[1:]:
-        first = align(first, other)
-        first.pages = 1
+        first = align(first, other, same_page=True)
     return first
 
 
@@ -207,21 +214,21 @@ def as_wrapper(page: Node) -> Node:
         out.text = " ".join(out.text.split())
         out.chars = len(out.text)
         if out.chars > TEMPLATE_CHARS:
-            out.text = None
+            out.text = f"#{hashlib.sha256(out.text.encode(errors='surrogatepass')).hexdigest()}"
     else:
         out.chars = sum(c.chars for c in out.children)
     return out
 
 
-def align(a: Node, b: Node) -> Node:
-    """One wrapper for what both match; their signs are equal."""
+def align(a: Node, b: Node, same_page: bool = False) -> Node:
+    """One wrapper for what both match; their signs are equal.  A page counts once."""
     out = Node(a.name, a.marks, text=a.text if a.text == b.text else None)
     out.many, out.optional = a.many or b.many, a.optional or b.optional
-    out.pages, out.chars = a.pages + b.pages, a.chars + b.chars
+    out.pages, out.chars = 1 if same_page else a.pages + b.pages, a.chars + b.chars
     left, right = a.children, b.children
     for x, y in _matches([n.sign for n in left], [n.sign for n in right]):
         if x is not None and y is not None:
-            out.children.append(align(left[x], right[y]))
+            out.children.append(align(left[x], right[y], same_page))
         else:
             only = left[x] if x is not None else right[y]
             only.optional = True
@@ -263,22 +270,43 @@ def expression(node: Node) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
-def rules(wrapper: Node) -> dict:
-    """Template texts with their places, and the place of the main element or None."""
-    template, slots = [], 0
+def _digest(place: str, text: str = "") -> int:
+    """A signed 64-bit number for a text at a place, or for a place."""
+    source = f"{place}\n{text}".encode(errors="surrogatepass")
+    return int.from_bytes(hashlib.blake2b(source, digest_size=8).digest(), "big", signed=True)
+
+
+def texts_of(page: Node) -> tuple[set[int], set[tuple[int, int]]]:
+    """The places of a page, and its texts with the places they stand in, each once.
+
+    A text between others in an element, such as a comma after a link, counts only where the
+    page has one element at that place.
+    """
+    seen: Counter[str] = Counter()
+    alone: set[tuple[str, str]] = set()
+    mixed: set[tuple[str, str]] = set()
 
     def walk(node: Node, place: str) -> None:
-        nonlocal slots
+        seen[place] += 1
+        texts = [t for c in node.children if c.name == "#" and (t := " ".join(c.text.split()))]
+        rest = len(texts) > 1 or any(c.name != "#" and c.name not in BLOCK for c in node.children)
+        (mixed if rest and texts else alone).update((place, t) for t in texts)
         for child in node.children:
-            here = place if child.name.startswith("(") else f"{place}/{child.sign}"
-            if child.name == "#":
-                slots += child.text is None
-                if child.text and child.pages == wrapper.pages >= TEMPLATE_PAGES:
-                    template.append([here, child.text])
-            elif not _excluded(child, False):
-                walk(child, here)
+            if child.name != "#" and child.name not in NOT_TEXT and not child.hidden:
+                walk(child, f"{place}/{child.sign}")
+
+    walk(page, "")
+    alone.update((place, t) for place, t in mixed if seen[place] == 1)
+    return {_digest(p) for p in seen}, {(_digest(p), _digest(p, t)) for p, t in alone}
+
 
-    walk(wrapper, "")
+def varies(wrapper: Node) -> bool:
+    """Whether a wrapper has a slot; else its pages are one page again and again."""
+    return wrapper.name == "#" and wrapper.text is None or any(map(varies, wrapper.children))
+
+
+def main_place(wrapper: Node) -> str | None:
+    """The place of the main element."""
 
     def varying(node: Node) -> int:
         if node.name == "#":
@@ -294,7 +322,7 @@ def rules(wrapper: Node) -> dict:
         node = most[1]
         place = place if node.name.startswith("(") else f"{place}/{node.sign}"
         main = place
-    return {"template": template if slots else [], "main": main}
+    return main
 
 
 # --- extraction -------------------------------------------------------------------
@@ -327,11 +355,11 @@ def _articles(node: Node, place: str, main: str | None) -> Iterator[tuple[int, N
             yield 0, child, here
 
 
-def _blocks(node: Node, place: str, inside: bool, template: set[tuple[str, str]], out: list[list[str]]) -> None:
+def _blocks(node: Node, place: str, inside: bool, template: set[int], out: list[list[str]]) -> None:
     for child in node.children:
         here = f"{place}/{child.sign}"
         if child.name == "#":
-            if (here, " ".join(child.text.split())) not in template:
+            if not template or _digest(place, " ".join(child.text.split())) not in template:
                 out[-1].append(child.text)
         elif not _excluded(child, inside):
             if child.name in BLOCK:
@@ -346,7 +374,7 @@ def extract(html: str | None, known: dict | None = None) -> str:
     if not html:
         return ""
     page, known = parse(html), known or {"template": [], "main": None}
-    template = {(a, b) for a, b in known["template"]}
+    template = set(known["template"])
     best = (-1, -1, "")
     found = list(_articles(page, "", known["main"]))
     top = max((rank for rank, _, _ in found), default=-1)
@@ -368,14 +396,31 @@ def host_of(url: Column) -> Column:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of each host's pages of a task; how many pages have a place, or a text at a place."""
     wrappers: dict[str, Node] = {}
+    counts: Counter[tuple[str, int, int | None]] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        hosts, places, texts = zip(*counts, strict=True) if counts else ([], [], [])
+        columns = [pa.array(hosts, pa.string()), pa.nulls(len(counts), pa.string()), *(pa.array(x, pa.int64()) for x in (places, texts, counts.values()))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["host", "wrapper", "place", "text", "n"])
+
     for batch in batches:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = as_wrapper(parse(html))
+            parsed = parse(html)
+            places, texts = texts_of(parsed)
+            counts.update((host, p, None) for p in places)
+            counts.update((host, *t) for t in texts)
+            if len(counts) > HELD_COUNTS:
+                yield counted()
+            page = as_wrapper(parsed)
             wrappers[host] = align(wrappers[host], page) if host in wrappers else page
+    yield counted()
+    none = pa.nulls(len(wrappers), pa.int64())
+    packed = pa.array([json.dumps(w.pack()) for w in wrappers.values()], pa.string())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w.pack()) for w in wrappers.values()], pa.string())],
-        names=["host", "wrapper"],
+        [pa.array(list(wrappers), pa.string()), packed, none, none, none], names=["host", "wrapper", "place", "text", "n"]
     )
 
 
@@ -387,16 +432,34 @@ def _aligned(table: pa.Table) -> pa.Table:
     return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(wrapper.pack())]})
 
 
-def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The wrapper of every host: host and wrapper (JSON).  Pages without html take no part."""
-    schema = "host string, wrapper string"
+def _partials(pages: DataFrame, url: str, html: str) -> DataFrame:
     usable = pages.where(F.length(html) > 0).select(host_of(pages[url]).alias("_host"), html)
-    partial = usable.mapInArrow(_partial, schema)
+    return usable.mapInArrow(_partial, "host string, wrapper string, place bigint, text bigint, n bigint")
+
+
+def _wrappers(partial: DataFrame) -> DataFrame:
+    schema = "host string, wrapper string"
+    partial = partial.where(F.col("wrapper").isNotNull()).select("host", "wrapper")
     grouped = partial.withColumn("group", F.pmod(F.xxhash64("wrapper"), F.lit(GROUPS)))
     once = grouped.groupBy("host", "group").applyInArrow(_aligned, schema)
     return once.groupBy("host").applyInArrow(_aligned, schema)
 
 
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The wrapper of every host: host and wrapper (JSON).  Pages without html take no part."""
+    return _wrappers(_partials(pages, url, html))
+
+
+def _templates(partial: DataFrame) -> DataFrame:
+    """The template texts of every host that has some: host and an array of digests."""
+    counts = partial.where(F.col("place").isNotNull())
+    places = counts.where(F.col("text").isNull()).groupBy("host", "place").agg(F.sum("n").alias("pages"))
+    texts = counts.where(F.col("text").isNotNull()).groupBy("host", "place", "text").agg(F.sum("n").alias("n"))
+    often = texts.where(F.col("n") >= TEMPLATE_PAGES).join(places, ["host", "place"])
+    often = often.where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("template"))
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Every page's ``key``, ``url``, text and n_chars (code points).
 
@@ -407,7 +470,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [json.dumps(rules(Node.unpack(json.loads(w)))) for w in batch.column(1).to_pylist()]
+            known = []
+            for packed, template in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wrapper = Node.unpack(json.loads(packed))
+                known.append(json.dumps({"template": template or [] if varies(wrapper) else [], "main": main_place(wrapper)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string())], names=["_host", "_rules"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +485,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 names=[key, url, "text", "n_chars"],
             )
 
-    known = staged(wrappers(pages, url, html).mapInArrow(write, "_host string, _rules string"), "wrapper-rules")
+    partial = staged(_partials(pages, url, html), "wrappers")
+    both = _wrappers(partial).join(_templates(partial), "host", "left").select("host", "wrapper", "template")
+    known = staged(both.mapInArrow(write, "_host string, _rules string"), "wrapper-rules")
     size = known.agg(F.sum(F.octet_length("_rules") + F.octet_length("_host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         known = F.broadcast(known)

@@ -26,6 +26,19 @@ def test_template_texts_go_and_the_main_element_is_found(spark):
     assert all(found[i] == (f"text number {i} & more " * 20).strip() for i in range(40))
 
 
+def test_template_texts_of_small_hosts_and_uneven_pages(spark):
+    notice = "This long notice stands on every page of the host. " * 8
+    html = "<article><div class=top>Top line</div><p>{0}</p><ul><li><p>Read</p><b>{0} b</b></li><li><p>Read</p><b>{0} c</b></li></ul>{1}<p>{0}, x</p></article><div>{0}</div>"
+    part = f"<div class=low><span>{notice}</span></div>"
+    own = [f"words {i} of their own" for i in range(8)]
+    rows = [(i, "http://small/", html.format(own[i], part if i < 6 else "")) for i in range(7)]
+    rows += [(7, "http://small/", "x"), (8, "http://single/", html.format(own[0], part)), (9, "http://twin/", "<p>a</p>"), (10, "http://twin/", "<p>a</p>")]
+    found = {r.page_id: r.text for r in op.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(7):
+        assert found[i].split("\n") == [own[i], f"{own[i]} b", f"{own[i]} c", f"{own[i]}, x"]
+    assert found[7] == "x" and found[9] == "a" and "Top line" in found[8] and notice.strip() in found[8]
+
+
 def test_parts_that_are_no_article():
     html = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
     <header>Top</header><nav><a>Home</a></nav><div class="cookie-notice">Cookies</div>
