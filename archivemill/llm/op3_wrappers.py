@@ -64,6 +64,8 @@ PARTS = frozenset(
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags teaser toolbar tooltip widget widgets".split()
 )
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS_OUTSIDE = frozenset("header masthead topbar".split())
 # Which open elements a start tag ends, and what stops the search for them.
 ENDS = {
@@ -85,13 +87,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element or a text (name ``#``), of a page or of a wrapper."""
 
-    __slots__ = ("name", "marks", "hidden", "children", "text", "many", "optional", "pages", "chars")
+    __slots__ = ("name", "marks", "hidden", "children", "text", "many", "optional", "pages", "chars", "named")
 
     def __init__(self, name: str, marks: tuple[str, ...] = (), hidden: bool = False, text: str | None = None):
         self.name, self.marks, self.hidden, self.text = name, marks, hidden, text
         self.children: list[Node] = []
         self.many = self.optional = False
         self.pages, self.chars = 1, len(text or "")
+        self.named: tuple[str, ...] = ()  # the words that only the id has
 
     @property
     def sign(self) -> str:
@@ -109,19 +112,24 @@ class Node:
         return node
 
 
-def _attributes(source: str) -> tuple[tuple[str, ...], bool]:
-    """The words of class, id and role; whether the element is hidden."""
-    marks, hidden = [], False
+def _attributes(source: str) -> tuple[tuple[str, ...], bool, tuple[str, ...]]:
+    """The words of class, id and role; whether the element is hidden; the words that only the id has."""
+    marks, hidden, named, others = [], False, [], set()
     if source.strip(" /\t\r\n\f"):
         for key, *values in _ATTRIBUTE.findall(source):
             key, value = key.lower(), unescape("".join(values))
             if key in ("class", "id", "role"):
-                marks += [w.lower() for w in _WORD.findall(value)]
+                words = [w.lower() for w in _WORD.findall(value)]
+                marks += words
+                if key == "id":
+                    named += words
+                else:
+                    others.update(words)
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-    return tuple(dict.fromkeys(marks)), hidden
+    return tuple(dict.fromkeys(marks)), hidden, tuple(w for w in named if w not in others)
 
 
 def parse(html: str) -> Node:
@@ -156,8 +164,9 @@ def parse(html: str) -> Node:
                 close(*ENDS[name])
             if name in ENDS_PARAGRAPH:
                 close({"p"}, {"article", "table", "td", "li", "div", "section", "blockquote"})
-            marks, hidden = _attributes(found["attributes"])
+            marks, hidden, named = _attributes(found["attributes"])
             node = Node(name, marks, hidden)
+            node.named = named
             stack[-1].children.append(node)
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -334,14 +343,40 @@ def _excluded(node: Node, inside: bool) -> bool:
         return True
     if node.name in ("html", "body", "article", "main", "#page") and not {"comment", "comments", "reply"} & set(node.marks):
         return False
-    return any(m in PARTS or not inside and m in PARTS_OUTSIDE for m in node.marks)
+    named = set(node.named) if inside else set()
+    if any(m in PARTS or not inside and m in PARTS_OUTSIDE for m in node.marks if m not in named):
+        return True
+    if not named & PARTS or node.name == "p" or node.name in HEADINGS:  # an id there is an anchor
+        return False
+    return named <= PARTS or bool(named & COMMENTS) or _mostly_links(node)
+
+
+def _mostly_links(node: Node) -> bool:
+    """Whether an element has no text, or at least half of it in links."""
+
+    def chars(node: Node, link: bool) -> tuple[int, int]:
+        if node.name == "#":
+            n = len("".join(node.text.split()))
+            return n, n if link else 0
+        own = [chars(c, link or c.name == "a") for c in node.children if c.name not in NOT_TEXT]
+        return sum(a for a, _ in own), sum(b for _, b in own)
+
+    total, linked = chars(node, False)
+    return 2 * linked >= total
 
 
 def _articles(node: Node, place: str, main: str | None) -> Iterator[tuple[int, Node, str]]:
-    """Elements that may hold the article, with their rank."""
+    """Elements that may hold the article, with their rank.
+
+    An article within a part that its words exclude ranks with the body, so the longer text is taken.
+    """
     for child in node.children:
         here = f"{place}/{child.sign}"
-        if child.name == "#" or _excluded(child, False):
+        if child.name == "#" or child.name in NOT_TEXT or child.hidden:
+            continue
+        if _excluded(child, False):
+            if child.name != "article":
+                yield from ((0, c, p) for _, c, p in _articles(child, here, None) if c.name == "article")
             continue
         if child.name == "article" or "articlebody" in "".join(child.marks):
             yield 3, child, here
@@ -375,16 +410,18 @@ def extract(html: str | None, known: dict | None = None) -> str:
         return ""
     page, known = parse(html), known or {"template": [], "main": None}
     template = set(known["template"])
-    best = (-1, -1, "")
-    found = list(_articles(page, "", known["main"]))
-    top = max((rank for rank, _, _ in found), default=-1)
-    for rank, node, place in found or [(0, page, "")]:
-        if rank >= top:
-            blocks: list[list[str]] = [[]]
-            _blocks(node, place, rank >= 2, template, blocks)
-            text = "\n".join(line for b in blocks if (line := " ".join("".join(b).split())))
-            best = max(best, (rank, len(text), text), key=lambda x: x[:2])
-    return best[2]
+    found = list(_articles(page, "", known["main"])) or [(0, page, "")]
+    for top in sorted({rank for rank, _, _ in found}, reverse=True):  # lower ones where the higher have no text
+        best = ""
+        for rank, node, place in found:
+            if rank == top:
+                blocks: list[list[str]] = [[]]
+                _blocks(node, place, rank >= 2 or node.name == "article", template, blocks)
+                text = "\n".join(line for b in blocks if (line := " ".join("".join(b).split())))
+                best = max(best, text, key=len)
+        if best:
+            return best
+    return ""
 
 
 # --- on Spark ---------------------------------------------------------------------

@@ -51,6 +51,18 @@ def test_parts_that_are_no_article():
     assert op.extract(None) == op.extract("") == op.extract("<nav>x</nav>") == ""
 
 
+def test_ids_of_sections_are_kept_and_articles_in_widgets_are_found():
+    html = """<body><article><h2 id="share">Share</h2><p id="notice">Note</p><section id="related-work"><h3>Related work</h3>
+    <p>Others did this.</p></section><div id="search-methods">We asked <a>one</a> base.</div>
+    <div id="related-posts"><h3><a>One post</a></h3><a>Another post</a></div><div id="comment-list">nice text!</div>
+    <div id="share">on x</div><div class="related-links">see</div></article></body>"""
+    assert op.extract(html).split("\n") == ["Share", "Note", "Related work", "Others did this.", "We asked one base."]
+    assert op.extract("<body><p>Top</p><div class='widget'><article><p>The article</p></article></div></body>") == "The article"
+    teaser = "<body><p>The text of the page</p><div class='related'><article>teaser</article></div></body>"
+    assert op.extract(teaser) == "The text of the page"
+    assert op.extract("<body><main></main><p>The text</p></body>") == "The text"
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = {r.page_id: r for r in op.main_text(pages).collect()}
