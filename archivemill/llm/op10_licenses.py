@@ -2,8 +2,8 @@
 
 Every line of a text is compared with the notices and the text as a whole with the notices
 and licence texts, as sparse TF-IDF vectors of words.  A word's weight falls with the number
-of documents that have it, counted over all documents; words that no template has weigh as
-words of no document.  A text that is a licence as a whole is a licence file of its directory; rows
+of documents that have it, counted over all documents, whether a template has it or not: words
+that no template has are counted where a line or text may be a notice at their least weight.  A text that is a licence as a whole is a licence file of its directory; rows
 without a notice of their own inherit from the nearest directory above them that has one.
 """
 
@@ -112,54 +112,125 @@ class Matcher:
         self.names = [name for name, _ in templates]
         self.vocabulary, owner, number = _vocabulary(templates)
         self.weights = np.log((1 + documents) / (1 + frequencies)) + 1
-        self.other = np.log(1.0 + documents) + 1
+        self.documents = documents
         matrix = np.zeros((len(templates), len(self.vocabulary)))
         np.add.at(matrix, (owner, number), self.weights[number])
         self.matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
-    def best(self, words: Words, unit: np.ndarray, units: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each unit (line or text) its best template, or -1 below ``least``, and the cosine.
+    def candidates(self, words: Words, unit: np.ndarray, units: int, least: float, whole: bool) -> Iterator[tuple[int, dict]]:
+        """Units (lines or texts) that reach ``least`` if their other words weigh 1, which is the least weight.
 
-        A unit whose words of templates are too light for the cosine is left out before the
-        products: a projection bounds the cosine.
+        Each comes with its best template, their dot product, the squared norm of its words of
+        templates, and its other words, from whose weights the cosine follows.
         """
         terms = _terms(words.hashes, self.vocabulary)
         keys = tokens.chained([words.hashes, unit.astype(np.uint64)])
         _, first, times = np.unique(keys, return_index=True, return_counts=True)
         term, of = terms[first], unit[first]
         known = term >= 0
-        weight = times * np.where(known, self.weights[np.maximum(term, 0)] if len(self.weights) else 0.0, self.other)
+        weight = times * np.where(known, self.weights[np.maximum(term, 0)] if len(self.weights) else 0.0, 1.0)
         norm = np.bincount(of, weights=weight**2, minlength=units)
         inside = np.bincount(of[known], weights=weight[known] ** 2, minlength=units)
-        may = inside >= least**2 * np.maximum(norm, 1e-300)
+        may = (inside > 0) & (inside >= (least - 1e-9) ** 2 * norm)
+        if not len(self.names) or not may.any():
+            return
         use = np.flatnonzero(known & may[of])
         row = np.cumsum(may) - 1
         dots = np.zeros((int(may.sum()), len(self.names)))
         np.add.at(dots, row[of[use]], weight[use, None] * self.matrix[:, term[use]].T)
-        cosine = dots / np.sqrt(np.maximum(norm[may], 1e-300))[:, None]
-        out, value = np.full(units, -1), np.zeros(units)
-        if len(self.names) and len(cosine):
-            top = cosine.argmax(axis=1)
-            score = cosine[np.arange(len(top)), top]
-            out[may] = np.where(score >= least, top, -1)
-            value[may] = score
-        return out, value
+        top = dots.argmax(axis=1)
+        dot = dots[np.arange(len(top)), top]
+        at = np.flatnonzero(may)
+        good = dot >= (least - 1e-9) * np.sqrt(norm[at])
+        other = np.flatnonzero(~known)
+        other = other[np.argsort(of[other], kind="stable")]
+        edges = np.searchsorted(of[other], np.arange(units + 1)) if good.any() else None
+        for i, t, d in zip(at[good].tolist(), top[good].tolist(), dot[good].tolist(), strict=True):
+            own = other[edges[i] : edges[i + 1]]
+            yield i, {
+                "whole": whole, "name": self.names[t], "least": least, "dot": d, "inside": float(inside[i]),
+                "others": [{"word": w, "times": n} for w, n in zip(words.hashes[first[own]].view(np.int64).tolist(), times[own].tolist(), strict=True)],
+            }
 
 
-def _found(texts: Texts, matcher: Matcher) -> dict[str, list]:
+_UNITS = pa.list_(pa.struct([
+    ("whole", pa.bool_()), ("name", pa.string()), ("least", pa.float64()), ("dot", pa.float64()), ("inside", pa.float64()),
+    ("others", pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())]))),
+]))
+_UNITS_SQL = "array<struct<whole: boolean, name: string, least: double, dot: double, inside: double, others: array<struct<word: bigint, times: bigint>>>>"
+
+
+def _found(texts: Texts, matcher: Matcher) -> list[list[dict]]:
+    """For each text its candidates, in order."""
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
     words = texts.words(tokens.ALNUM, lower=True)
     starts, ends = texts.spans(_IN_LINE)
     line_of_word = np.searchsorted(starts, words.starts, side="right") - 1
-    best, cosine = matcher.best(words, line_of_word, len(starts), HEADER_COSINE)
     owner = texts.owner(starts)
-    header, header_cosine = [None] * len(texts), [None] * len(texts)
-    for i in np.flatnonzero(best >= 0):
-        text = owner[i]
-        if header[text] is None or cosine[i] > header_cosine[text]:
-            header[text], header_cosine[text] = matcher.names[best[i]], float(cosine[i])
-    whole, whole_cosine = matcher.best(words, words.owner, len(texts), FILE_COSINE)
-    file = [matcher.names[t] if t >= 0 else None for t in whole]
-    return {"header": header, "header_cosine": header_cosine, "file": file, "file_cosine": [float(c) if t >= 0 else None for t, c in zip(whole, whole_cosine, strict=True)]}
+    for i, unit in matcher.candidates(words, line_of_word, len(starts), HEADER_COSINE, False):
+        out[owner[i]].append(unit)
+    for i, unit in matcher.candidates(words, words.owner, len(texts), FILE_COSINE, True):
+        out[i].append(unit)
+    return out
+
+
+#: Words whose counts a task holds before it gives them out.
+HELD_WORDS = 1 << 20
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each word is."""
+    held, size = [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        word, number = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return word, np.bincount(number, weights=np.concatenate([n for _, n in held]), minlength=len(word)).astype(np.int64)
+
+    def rows() -> pa.RecordBatch:
+        word, n = summed()
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for batch in batches:
+        for texts in tokens.slices(batch.column(0)):
+            words = texts.words(tokens.ALNUM, lower=True)
+            _, first = np.unique(tokens.chained([words.hashes, words.owner.astype(np.uint64)]), return_index=True)
+            word, n = np.unique(words.hashes[first], return_counts=True)
+            held.append((word, n))
+            size += len(word)
+            if size > HELD_WORDS:
+                held = [summed()]
+                size = len(held[0][0])
+                if 2 * size > HELD_WORDS:
+                    yield rows()
+                    held, size = [], 0
+    if held:
+        yield rows()
+
+
+def _scored(rows: DataFrame, docs: DataFrame, text: str, documents: int) -> DataFrame:
+    """The best notice and the best licence of each row that has one, by cosines with all words' weights."""
+    units = rows.select("_row", F.posexplode("units").alias("at", "u")).select("_row", "at", "u.*")
+    words = units.withColumn("other", F.explode_outer("others")).select(
+        "_row", "at", "whole", "name", "least", "dot", "inside", "other.word", "other.times"
+    )
+    wanted = staged(words.where(F.col("word").isNotNull()).select("word").distinct(), "words-of-candidates")
+    counts = docs.select(text).mapInArrow(_word_counts, "word bigint, n bigint")
+    counts = staged(counts.join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")), "document-counts")
+    n = F.least(F.coalesce("n", F.lit(0)), F.lit(documents))
+    weight = F.log(F.lit(1.0 + documents) / (1 + n)) + 1
+    square = F.when(F.col("word").isNull(), 0.0).otherwise(F.pow(F.col("times") * weight, F.lit(2)))
+    norms = (
+        words.join(counts, "word", "left").groupBy("_row", "at", "whole", "name", "least", "dot", "inside")
+        .agg(F.sum(square).alias("outside"))
+        .withColumn("cosine", F.least(F.round(F.col("dot") / F.sqrt(F.col("inside") + F.col("outside")), 12), F.lit(1.0)))
+        .where(F.col("cosine") >= F.col("least"))
+    )
+    order = F.struct("cosine", -F.col("at"))
+    best = {
+        kind: F.max_by(F.struct("name", "cosine"), F.when(F.col("whole") == whole, order))
+        for kind, whole in (("header", False), ("file", True))
+    }
+    return norms.groupBy("_row").agg(*(value.alias(kind) for kind, value in best.items()))
 
 
 def _directory(path: Column) -> Column:
@@ -177,19 +248,22 @@ def licenses(docs: DataFrame, path: Column, matcher: Matcher, key: str = "doc_id
     only inherit; a null path is at the top; repeated rows come back each; an empty table
     gives no rows; other columns are not read.
     """
-    columns = {"header": pa.string(), "header_cosine": pa.float64(), "file": pa.string(), "file_cosine": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in tokens.slices(batch.column(2)):
-                found = _found(texts, matcher)
                 keys = [batch.column(i).slice(texts.first, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(found[c], t) for c, t in columns.items())], names=[key, "path", *columns])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(_found(texts, matcher), _UNITS)], names=[key, "path", "units"])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, path string, header string, header_cosine double, file string, file_cosine double"
-    rows = docs.select(key, path.alias("_path"), text).mapInArrow(run, schema)
-    rows = staged(rows.withColumn("directory", _directory(F.col("path"))), "licences")
+    rows = docs.select(key, path.alias("_path"), text).mapInArrow(run, f"`{key}` {kind}, path string, units {_UNITS_SQL}")
+    rows = staged(rows.withColumn("directory", _directory(F.col("path"))).withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    scored = staged(_scored(rows.where(F.size("units") > 0), docs, text, matcher.documents), "licences")
+    rows = rows.drop("units").join(scored, "_row", "left").select(
+        key, "path", "directory", F.col("header.name").alias("header"), F.col("header.cosine").alias("header_cosine"),
+        F.col("file.name").alias("file"), F.col("file.cosine").alias("file_cosine"),
+    )
+    rows = staged(rows, "notices")
     best = F.struct(-F.col("file_cosine"), F.col("path"))
     files = (
         rows.where(F.col("file").isNotNull()).groupBy(F.col("directory").alias("above"))

@@ -56,3 +56,17 @@ def test_the_nearest_directory_above_decides(spark, odd):
     }
     assert op.licenses(odd, odd["path"], matcher).count() == odd.count()
     assert op.licenses(odd.limit(0), odd["path"], matcher).count() == 0
+
+
+def test_other_words_weigh_by_their_documents(spark):
+    notice = "Released under the MIT License"
+    texts = [f"{notice} often" if i % 10 == 0 else "often seen" if i % 2 else "plain text" for i in range(1000)] + [f"{notice} rarely\n" + "filler " * 99]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = op.licenses(docs, F.lit("d/x"), op.Matcher(*op.document_frequencies(docs))).collect()
+    df = {w: sum(w in words_of(t) for t in texts) for t in texts for w in words_of(t)}
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    wanted = cosine(words_of(texts[0]), words_of(notice), idf)
+    assert wanted > op.HEADER_COSINE > cosine(words_of(f"{notice} rarely"), words_of(notice), idf)
+    for row in rows:
+        if row.doc_id % 10 == 0 and row.doc_id < 1000:
+            assert (row.licence, row.how, row.cosine) == ("MIT", "file", pytest.approx(wanted))
