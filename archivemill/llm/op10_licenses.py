@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from directories.
 
-Every line of a text is compared with the notices and the text as a whole with the notices
-and licence texts, as sparse TF-IDF vectors of words.  A word's weight falls with the number
+Every line of a text and every run of words as long as a notice, across lines, is compared with
+the notices, and the text as a whole with the notices and full licence texts, as sparse TF-IDF vectors of words.  A word's weight falls with the number
 of documents that have it, counted over all documents, whether a template has it or not: words
 that no template has are counted where a line or text may be a notice at their least weight.  A text that is a licence as a whole is a licence file of its directory; rows
 without a notice of their own inherit from the nearest directory above them that has one.
@@ -10,6 +10,8 @@ without a notice of their own inherit from the nearest directory above them that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from archivemill.llm.tokens import Texts, Words
 #: Least cosine of a line and a notice, and of a text and a licence.
 HEADER_COSINE = 0.75
 FILE_COSINE = 0.6
+#: Least cosine of a text and a full licence text, whose common words alone are like those of other long texts.
+LICENCE_COSINE = 0.85
 
 # Wordings of notices and openings of licences, with SPDX names.
 TEMPLATES: list[tuple[str, str]] = [
@@ -65,6 +69,22 @@ TEMPLATES: list[tuple[str, str]] = [
 _IN_LINE = tokens.table(lambda b: b != 0x0A)
 
 
+# What the AGPL adds to the text of the GPL 3.
+_AFFERO = """Remote Network Interaction; Use with the GNU General Public License.  Notwithstanding any other provision
+of this License, if you modify the Program, your modified version must prominently offer all users interacting with it
+remotely through a computer network (if your version supports such interaction) an opportunity to receive the
+Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge,
+through some standard or customary means of facilitating copying of software."""
+
+
+@lru_cache(maxsize=1)
+def licence_texts() -> list[tuple[str, str]]:
+    """Full licence texts with SPDX names; read on the driver only."""
+    out = [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
+    affero = dict(out)["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    return [*out, ("AGPL-3.0", f"{affero}\n{_AFFERO}")]
+
+
 def _vocabulary(templates: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of the templates' words; template and word number of every word in them."""
     column = pa.array([text for _, text in templates], pa.string())
@@ -85,7 +105,7 @@ def _terms(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 def document_frequencies(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> tuple[np.ndarray, int]:
     """For each word of the templates the number of documents that have it; the number of documents."""
-    vocabulary, _, _ = _vocabulary(templates)
+    vocabulary, _, _ = _vocabulary(templates + licence_texts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(len(vocabulary) + 1, np.int64)
@@ -109,16 +129,19 @@ class Matcher:
     """The templates as unit vectors."""
 
     def __init__(self, frequencies: np.ndarray, documents: int, templates: list[tuple[str, str]] = TEMPLATES):
+        self.notices, self.licences = slice(0, len(templates)), slice(len(templates), None)
+        templates = templates + licence_texts()
         self.names = [name for name, _ in templates]
         self.vocabulary, owner, number = _vocabulary(templates)
         self.weights = np.log((1 + documents) / (1 + frequencies)) + 1
         self.documents = documents
         matrix = np.zeros((len(templates), len(self.vocabulary)))
         np.add.at(matrix, (owner, number), self.weights[number])
+        self.lengths = np.bincount(owner, minlength=len(templates))
         self.matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
-    def candidates(self, words: Words, unit: np.ndarray, units: int, least: float, whole: bool) -> Iterator[tuple[int, dict]]:
-        """Units (lines or texts) that reach ``least`` if their other words weigh 1, which is the least weight.
+    def candidates(self, words: Words, unit: np.ndarray, units: int, least: float, whole: bool, rows: slice) -> Iterator[tuple[int, dict]]:
+        """Units (lines, runs of words or texts) that reach ``least`` if their other words weigh 1, which is the least weight.
 
         Each comes with its best template, their dot product, the squared norm of its words of
         templates, and its other words, from whose weights the cosine follows.
@@ -131,13 +154,17 @@ class Matcher:
         weight = times * np.where(known, self.weights[np.maximum(term, 0)] if len(self.weights) else 0.0, 1.0)
         norm = np.bincount(of, weights=weight**2, minlength=units)
         inside = np.bincount(of[known], weights=weight[known] ** 2, minlength=units)
-        may = (inside > 0) & (inside >= (least - 1e-9) ** 2 * norm)
-        if not len(self.names) or not may.any():
+        names, matrix = self.names[rows], self.matrix[rows]
+        own = known.copy()
+        own[known] = matrix.any(axis=0)[term[known]]
+        shared = np.bincount(of[own], weights=weight[own] ** 2, minlength=units)
+        may = (shared > 0) & (shared >= (least - 1e-9) ** 2 * norm)
+        if not names or not may.any():
             return
-        use = np.flatnonzero(known & may[of])
+        use = np.flatnonzero(own & may[of])
         row = np.cumsum(may) - 1
-        dots = np.zeros((int(may.sum()), len(self.names)))
-        np.add.at(dots, row[of[use]], weight[use, None] * self.matrix[:, term[use]].T)
+        dots = np.zeros((int(may.sum()), len(names)))
+        np.add.at(dots, row[of[use]], weight[use, None] * matrix[:, term[use]].T)
         top = dots.argmax(axis=1)
         dot = dots[np.arange(len(top)), top]
         at = np.flatnonzero(may)
@@ -148,10 +175,31 @@ class Matcher:
         for i, t, d in zip(at[good].tolist(), top[good].tolist(), dot[good].tolist(), strict=True):
             own = other[edges[i] : edges[i + 1]]
             yield i, {
-                "whole": whole, "name": self.names[t], "least": least, "dot": d, "inside": float(inside[i]),
+                "whole": whole, "name": names[t], "least": least, "dot": d, "inside": float(inside[i]),
                 "others": [{"word": w, "times": n} for w, n in zip(words.hashes[first[own]].view(np.int64).tolist(), times[own].tolist(), strict=True)],
             }
 
+    def runs(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ends of the runs of words as long as a notice that may reach it; a shorter text is one run.
+
+        Both sums grow word by word: counting each occurrence of a word alone can only raise the cosine.
+        """
+        terms, edges = _terms(words.hashes, self.vocabulary), words.firsts()
+        squares = np.r_[0, np.cumsum(np.append(self.weights**2, 1.0)[terms])]
+        start, first, last = np.arange(len(words)), edges[words.owner], edges[words.owner + 1]
+        lengths = self.lengths[self.notices]
+        for length in np.unique(lengths[lengths > 0]):
+            end = np.minimum(start + length, last)
+            whole = (end - start == length) | (start == first)
+            may = np.zeros(len(words), bool)
+            bound = (HEADER_COSINE - 1e-6) * np.sqrt(squares[end] - squares[start])
+            for t in np.flatnonzero(lengths == length):
+                dots = np.r_[0, np.cumsum(np.append(self.weights * self.matrix[t], 0.0)[terms])]
+                may |= dots[end] - dots[start] >= bound
+            at = np.flatnonzero(may & whole)
+            if len(at):
+                yield at, end[at]
+
 
 _UNITS = pa.list_(pa.struct([
     ("whole", pa.bool_()), ("name", pa.string()), ("least", pa.float64()), ("dot", pa.float64()), ("inside", pa.float64()),
@@ -167,10 +215,18 @@ def _found(texts: Texts, matcher: Matcher) -> list[list[dict]]:
     starts, ends = texts.spans(_IN_LINE)
     line_of_word = np.searchsorted(starts, words.starts, side="right") - 1
     owner = texts.owner(starts)
-    for i, unit in matcher.candidates(words, line_of_word, len(starts), HEADER_COSINE, False):
+    for i, unit in matcher.candidates(words, line_of_word, len(starts), HEADER_COSINE, False, matcher.notices):
         out[owner[i]].append(unit)
-    for i, unit in matcher.candidates(words, words.owner, len(texts), FILE_COSINE, True):
-        out[i].append(unit)
+    for first, last in matcher.runs(words):
+        size = last - first
+        run = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(run)) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
+        part = Words(run, words.starts[at], words.ends[at], words.hashes[at], len(size))
+        for i, unit in matcher.candidates(part, run, len(size), HEADER_COSINE, False, matcher.notices):
+            out[words.owner[first[i]]].append(unit)
+    for least, rows in ((FILE_COSINE, matcher.notices), (LICENCE_COSINE, matcher.licences)):
+        for i, unit in matcher.candidates(words, words.owner, len(texts), least, True, rows):
+            out[i].append(unit)
     return out
 
 
@@ -215,7 +271,7 @@ def _scored(rows: DataFrame, docs: DataFrame, text: str, documents: int) -> Data
     )
     wanted = staged(words.where(F.col("word").isNotNull()).select("word").distinct(), "words-of-candidates")
     counts = docs.select(text).mapInArrow(_word_counts, "word bigint, n bigint")
-    counts = staged(counts.join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")), "document-counts")
+    counts = staged(counts.groupBy("word").agg(F.sum("n").alias("n")).join(wanted, "word", "left_semi"), "document-counts")
     n = F.least(F.coalesce("n", F.lit(0)), F.lit(documents))
     weight = F.log(F.lit(1.0 + documents) / (1 + n)) + 1
     square = F.when(F.col("word").isNull(), 0.0).otherwise(F.pow(F.col("times") * weight, F.lit(2)))
@@ -225,7 +281,7 @@ def _scored(rows: DataFrame, docs: DataFrame, text: str, documents: int) -> Data
         .withColumn("cosine", F.least(F.round(F.col("dot") / F.sqrt(F.col("inside") + F.col("outside")), 12), F.lit(1.0)))
         .where(F.col("cosine") >= F.col("least"))
     )
-    order = F.struct("cosine", -F.col("at"))
+    order = F.struct(F.col("name") != "Proprietary", "cosine", -F.col("at"))  # "All rights reserved" stands beside other notices
     best = {
         kind: F.max_by(F.struct("name", "cosine"), F.when(F.col("whole") == whole, order))
         for kind, whole in (("header", False), ("file", True))

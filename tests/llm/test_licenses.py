@@ -70,3 +70,23 @@ def test_other_words_weigh_by_their_documents(spark):
     for row in rows:
         if row.doc_id % 10 == 0 and row.doc_id < 1000:
             assert (row.licence, row.how, row.cosine) == ("MIT", "file", pytest.approx(wanted))
+
+
+def test_wrapped_embedded_and_full_texts(spark):
+    import textwrap
+
+    full = dict(op.licence_texts())
+    mit, gpl = (next(x for n, x in op.TEMPLATES if n == name and len(x) > 150) for name in ("MIT", "GPL-3.0"))
+    wrap = lambda x: "\n".join(f"# {line}" for line in textwrap.wrap(x, 76))
+    code = "\n" + "value += other * 3\n" * 300
+    texts = {
+        "a/1.py": ("MIT", "header", "Copyright (c) 2020 Some One. All rights reserved.\n" + wrap(mit) + code),
+        "b/1.py": ("GPL-3.0", "header", wrap(gpl) + code),
+        "c/1.py": ("Apache-2.0", "header", "we say " * 40 + "that it is licensed under the Apache License, Version 2.0 and " + "more of it " * 40),
+        "e/1.py": (None, None, code),
+        **{f"full/{n}/LICENSE": (n, "file", "Copyright 2021 Some One\n\n" + x) for n, x in full.items()},
+        "full/MIT/x.py": ("MIT", "inherited", code),
+    }
+    docs = spark.createDataFrame([(i, p, t) for i, (p, (_, _, t)) in enumerate(texts.items())], "doc_id int, path string, text string")
+    found = {r.path: (r.licence, r.how) for r in op.licenses(docs, docs["path"], op.Matcher(*op.document_frequencies(docs))).collect()}
+    assert found == {p: (name, how) for p, (name, how, _) in texts.items()}
