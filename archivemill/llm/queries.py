@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from archivemill.llm.op1_sharding import default_tree, place
 from archivemill.llm.op10_licenses import Matcher, document_frequencies, licenses
+from archivemill.llm.op11_hard_negatives import hard_negatives
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op3_wrappers import main_text
 from archivemill.llm.op4_chosen_path import similar
@@ -25,7 +26,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 #: DuckDB SQL by query.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op11_strassen_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+                   CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ), positives AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT p.anchor_id, p.other_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+               n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+             AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        QUALIFY rank <= 5
+    """,
+}
 
 
 def query(build: Query) -> Query:
@@ -108,3 +132,10 @@ def op10_license_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     path = F.concat_ws("/", docs["source"], docs["lang"], docs["doc_id"].cast("string"))
     return licenses(docs, path, Matcher(*document_frequencies(docs)))
+
+
+@query
+def op11_strassen_hard_negatives(spark, sf_dir):
+    """Every hundredth row is an anchor; every seventh has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)

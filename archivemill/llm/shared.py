@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archivemill.plans.staging import staged
+from archivemill.plans.staging import stage_path, staged
 from archivemill.session import configure
 
-__all__ = ["gapless", "prepared", "staged", "text_or_empty", "word_count"]
+__all__ = ["gapless", "prepared", "stage_path", "staged", "text_or_empty", "word_count"]
 
 #: Words of the corpus: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
