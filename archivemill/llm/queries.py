@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from archivemill.llm.op1_sharding import default_tree, place
 from archivemill.llm.op10_licenses import Matcher, document_frequencies, licenses
 from archivemill.llm.op11_hard_negatives import hard_negatives
+from archivemill.llm.op12_language import languages, train as train_language
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op3_wrappers import main_text
 from archivemill.llm.op4_chosen_path import similar
@@ -30,10 +31,10 @@ CHECKS: dict[str, str] = {
     "op11_strassen_hard_negatives": """
         WITH usable AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
                    CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
@@ -139,3 +140,9 @@ def op11_strassen_hard_negatives(spark, sf_dir):
     """Every hundredth row is an anchor; every seventh has the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query
+def op12_byte_gru_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return languages(docs, train_language(docs))
