@@ -12,6 +12,7 @@ from archivemill.llm.op1_sharding import default_tree, place
 from archivemill.llm.op10_licenses import Matcher, document_frequencies, licenses
 from archivemill.llm.op11_hard_negatives import hard_negatives
 from archivemill.llm.op12_language import languages, train as train_language
+from archivemill.llm.op13_collocations import collocations
 from archivemill.llm.op2_quality_rules import log_ratios, quality_rules, trusted_texts
 from archivemill.llm.op3_wrappers import main_text
 from archivemill.llm.op4_chosen_path import similar
@@ -50,6 +51,42 @@ CHECKS: dict[str, str] = {
              AND 80 * p.score <= 100 * n.score AND n.score <= p.score
         QUALIFY rank <= 5
     """,
+    "op13_prefix_free_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), runs AS (
+            SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k)
+        ), f AS (
+            SELECT lang, k, list_slice(w, i, i + k - 1) AS words, count(*) AS f FROM runs GROUP BY ALL
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, k, words, f AS a FROM f WHERE k > 1 AND f >= 100
+        ), inside AS (
+            SELECT lang, list_slice(words, i, i + j - 1) AS words, max(a) AS longest
+            FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM candidates))
+            GROUP BY ALL
+        ), kept AS (
+            SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, words) WHERE longest IS NULL OR 100 * longest < 100 * a
+        ), cuts AS (
+            SELECT c.lang, c.words, c.a, c.cut, x.f AS l, y.f AS r, n,
+                   CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+            JOIN f x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, c.cut)
+            JOIN f y ON y.lang = c.lang AND y.words = list_slice(c.words, c.cut + 1, c.k)
+            JOIN totals t ON t.lang = c.lang
+        ), lowest AS (
+            SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest QUALIFY rank <= 2000
+    """,
 }
 
 
@@ -146,3 +183,8 @@ def op11_strassen_hard_negatives(spark, sf_dir):
 def op12_byte_gru_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return languages(docs, train_language(docs))
+
+
+@query
+def op13_prefix_free_collocations(spark, sf_dir):
+    return collocations(read(spark, sf_dir, "documents"))
