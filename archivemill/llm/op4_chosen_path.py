@@ -9,8 +9,9 @@ again, and what is still large at the last level is compared in pairs of blocks.
 repeat as often as the target recall asks.
 
 The comparison within nodes works on the vectors and only leads to groups of texts that may be
-similar; a group is then compared exactly, every pair of it once, on the shingles themselves.
-Neither step hands on pairs: a block gives each text's number of links and a spanning forest.
+similar; a group is then compared exactly, every pair of it, on the shingles themselves.
+Neither step hands on pairs: groups are cut into blocks, one task compares one block with all others of
+its group, and gives a row for each text of its own block and the roots that it connects.
 """
 
 from __future__ import annotations
@@ -174,25 +175,50 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _in_blocks(rows: DataFrame, group: str, pieces, sign: str = "sign") -> DataFrame:
-    """Rows once for each pair of blocks of their group: columns group, low, high, piece, then the others.
-
-    All rows of a pair of blocks come together, sorted, in one task; groups of one piece are one block.
-    """
-    others = [c for c in rows.columns if c not in (group, "pieces")]
+    """Rows dealt to blocks, one block of a group after the other: columns group, piece, pieces, sign, then the others."""
+    others = [c for c in rows.columns if c not in (group, "pieces", sign)]
     dealt = rows.withColumn("pieces", pieces.cast("int")).withColumn("piece", F.pmod(F.xxhash64(sign), F.col("pieces")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    paired = paired.select(group, F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", *others)
-    return paired.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", sign)
-
+    return dealt.select(group, "piece", "pieces", sign, *others).repartition(group, "piece").sortWithinPartitions(group, "piece", sign)
+
+
+def _agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Which vectors of x and y agree enough."""
+    a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDINATES) for v in (x, y))
+    return np.stack([(b == one).sum(axis=1) >= LOOSE * COORDINATES for one in a])
+
+
+def _sharing(similarity: float):
+    """Which shingle sets of x and y have the similarity, exactly."""
+
+    def compare(x: list[bytes], y: list[bytes]) -> np.ndarray:
+        sets = [[np.frombuffer(v, np.uint64) for v in part] for part in (x, y)]
+        sizes = [np.array([len(v) for v in part]) for part in sets]
+        both = np.intersect1d(np.unique(np.concatenate(sets[0])), np.unique(np.concatenate(sets[1])), assume_unique=True)
+        sides = []
+        for part, size in zip(sets, sizes, strict=True):
+            token, owner = np.concatenate(part), np.repeat(np.arange(len(part)), size)
+            number = np.searchsorted(both, token)
+            shared = number < len(both)
+            shared[shared] = both[number[shared]] == token[shared]
+            order = np.argsort(number[shared], kind="stable")
+            sides.append((number[shared][order], owner[shared][order]))
+        common = np.zeros((len(x), len(y)), np.float32)
+        for start in range(0, len(both), 4096):
+            parts = []
+            for (number, owner), part in zip(sides, sets, strict=True):
+                at = slice(*np.searchsorted(number, [start, start + 4096]))
+                tile = np.zeros((len(part), 4096), np.float32)
+                tile[owner[at], number[at] - start] = 1
+                parts.append(tile)
+            common += parts[0] @ parts[1].T
+        return common >= similarity * (sizes[0][:, None] + sizes[1][None, :] - common)
 
-_EDGES = "a binary, b binary, n bigint"
+    return compare
 
 
-def _forest(signs_: list[bytes], a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes, int]]:
-    """Of n texts and their links: each text with its least connected one and its number of links."""
-    root = _roots(len(signs_), a, b)
-    links = np.bincount(np.r_[a, b], minlength=len(signs_))
-    return [(signs_[i], signs_[root[i]], int(links[i])) for i in np.flatnonzero(links)]
+_EDGES = "a binary, b binary, n bigint"
+#: A whole block in a row: signs, the least linked text of the block by place, numbers of links, and the sets or vectors.
+_BLOCKS = "node {kind}, piece int, pieces int, signs array<binary>, root array<int>, links array<bigint>, data array<binary>"
 
 
 def _edges_batch(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
@@ -201,61 +227,113 @@ def _edges_batch(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "n"])
 
 
-def _compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs a pair of blocks compares: all of one block, or those across two."""
-    piece = group.column("piece").to_numpy()
-    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-    return np.flatnonzero(piece == low), np.flatnonzero(piece == high)
+def _inside(compare):
+    """One row per block, its texts compared with each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 2):
+            data = group.column(4).to_pylist()
+            linked = np.triu(compare(data, data), 1)
+            a, b = np.nonzero(linked)
+            root, links = _roots(len(data), a, b), np.bincount(np.r_[a, b], minlength=len(data))
+            cells = [group.column(i)[0].as_py() for i in range(3)] + [group.column(3).to_pylist(), root.tolist(), links.tolist(), data]
+            kinds = [*(group.schema.types[:3]), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            names = ["node", "piece", "pieces", "signs", "root", "links", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
+
+    return run
+
+
+class _Joined:
+    """Which roots are connected already."""
 
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a node whose vectors agree enough."""
-    for group in _groups(batches, 3):
-        left, right = _compared(group)
-        matrix = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        same_block = group.column("low")[0] == group.column("high")[0]
-        a, b = [], []
-        for k, i in enumerate(left):
-            others = right[k + 1 :] if same_block else right
-            near = others[(matrix[others] == matrix[i]).sum(axis=1) >= LOOSE * COORDINATES]
-            a.append(np.full(len(near), i))
-            b.append(near)
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield _edges_batch(_forest(group.column("sign").to_pylist(), a, b))
+    def find(self, x: bytes) -> bytes:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(above, above)
+            x = above
+        return x
 
+    def join(self, x: bytes, y: bytes) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
-def _linked(similarity: float):
-    """Texts of a group whose shingle sets have the similarity, exactly."""
+
+def _across(compare, counted: bool):
+    """One block against the others of its group, its own row first: one row per text of the block that is linked
+    to any, with the block's root and its number of links, and a row for each two roots that a later block connects.
+
+    Where numbers are not asked for, roots are compared first, and texts whose roots are connected not at all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-            size = np.array([len(s) for s in sets])
-            _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            owner = np.repeat(np.arange(len(sets)), size)
-            shared = often[token] > 1
-            token, owner = token[shared], owner[shared]
-            order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            number = np.cumsum(np.r_[0, token[1:] != token[:-1]]) if len(token) else token
-            common = np.zeros((len(sets), len(sets)), np.float32)
-            for start in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-                at = slice(*np.searchsorted(number, [start, start + 4096]))
-                part = np.zeros((len(sets), 4096), np.float32)
-                part[owner[at], number[at] - start] = 1
-                common += part @ part.T
-            left, right = _compared(group)
-            linked = common >= similarity * (size[:, None] + size[None, :] - common)
-            wanted = np.zeros_like(linked)
-            wanted[np.ix_(left, right)] = True
-            a, b = np.nonzero(linked & np.triu(wanted | wanted.T, 1))
-            if len(a):
-                yield _edges_batch(_forest(group.column("sign").to_pylist(), a, b))
+        own, joined, edges = None, _Joined(), []
+
+        def finished():
+            for sign, root, n in zip(own["signs"], own["root"], own["links"], strict=True):
+                if n or own["signs"][root] != sign:
+                    edges.append((sign, own["signs"][root], int(n)))
+            return _edges_batch(edges)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["piece"] == row["own"]:
+                    if own is not None:
+                        yield finished()
+                    own, joined, edges = row, _Joined(), []
+                    own["links"] = np.array(own["links"])
+                    continue
+                later, mine = row["piece"] > own["piece"], np.array(own["root"])
+                theirs = np.array(row["root"])
+
+                def connect(linked, a, b, row=row):
+                    for x, y in {(int(mine[a[i]]), int(theirs[b[j]])) for i, j in zip(*np.nonzero(linked), strict=True)}:
+                        if joined.join(own["signs"][x], row["signs"][y]):
+                            edges.append((own["signs"][x], row["signs"][y], 0))
+
+                if counted:
+                    everything = np.arange(len(mine)), np.arange(len(theirs))
+                    linked = compare(own["data"], row["data"])
+                    own["links"] += linked.sum(axis=1)
+                    if later:
+                        connect(linked, *everything)
+                elif later:
+                    tops = np.unique(mine), np.unique(theirs)
+                    connect(compare(*([d[i] for i in t] for d, t in zip((own["data"], row["data"]), tops, strict=True))), *tops)
+                    for x in tops[0]:
+                        open_ = [y for y in tops[1] if joined.find(own["signs"][x]) != joined.find(row["signs"][y])]
+                        a, b = np.flatnonzero(mine == x), np.flatnonzero(np.isin(theirs, open_))
+                        if len(b):
+                            connect(compare([own["data"][i] for i in a], [row["data"][j] for j in b]), a, b)
+        if own is not None:
+            yield finished()
 
     return run
 
 
+def _links(rows: DataFrame, group: str, compare, counted: bool) -> DataFrame:
+    """Edges between the linked texts of each group, and their numbers of links: a, b, n.
+
+    ``rows``: group, piece, pieces, sign and a set or vector, by block (see ``_in_blocks``).  What goes between
+    tasks are whole blocks, one row each; what comes out is in proportion to the texts and to the roots that meet.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    blocks = rows.mapInArrow(_inside(compare), _BLOCKS.format(kind=kind))
+    blocks = staged(blocks.where(F.expr("pieces > 1 OR exists(links, n -> n > 0)")), "blocks")
+    sent = blocks.where("pieces > 1").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sent = sent.withColumn("first", F.col("own") != F.col("piece"))
+    if not counted:
+        sent = sent.where("piece >= own").drop("links").withColumn("links", F.transform("root", lambda r: F.lit(0).cast("bigint")))
+    dealt = sent.repartition("node", "own").sortWithinPartitions("node", "own", "first", "piece")
+    texts = F.expr("inline(transform(arrays_zip(signs, root, links), t -> struct(t.signs AS a, signs[t.root] AS b, t.links AS n)))")
+    single = blocks.where("pieces = 1").select(texts).where(F.col("n") > 0)
+    return single.unionByName(dealt.mapInArrow(_across(compare, counted), _EDGES))
+
+
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in tokens.slices(batch.column(0)):
@@ -290,8 +368,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
     rows = small[0]
     for other in small[1:]:
         rows = rows.union(other)
-    blocks = _in_blocks(rows, "node", F.ceil(F.col("n") / SMALL)).select("node", "low", "high", "piece", "sign", "vector")
-    return blocks.mapInArrow(_alike, _EDGES)
+    blocks = _in_blocks(rows, "node", F.ceil(F.col("n") / SMALL)).select("node", "piece", "pieces", "sign", "vector")
+    return _links(blocks, "node", _agreeing, counted=False)
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -327,8 +405,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     full = staged(alike.join(sets, "sign").select("root", "n", "sign", "shingles"), "sets")
     weight = staged(full.groupBy("root").agg(F.sum(F.length("shingles")).alias("bytes")), "weights")
     pieces = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    blocks = _in_blocks(full.join(weight, "root"), "root", pieces).select("root", "low", "high", "piece", "sign", "shingles")
-    links = staged(blocks.mapInArrow(_linked(similarity), _EDGES), "links")
+    blocks = _in_blocks(full.join(weight, "root"), "root", pieces).select("root", "piece", "pieces", "sign", "shingles")
+    links = staged(_links(blocks, "root", _sharing(similarity), counted=True), "links")
     groups = components(links)
     named = groups.join(classes.select(F.col("sign").alias("v"), "class_id"), "v")
     least = named.groupBy("root").agg(
