@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from archivemill.functions import scalars
 from archivemill.functions.variants import get
 from archivemill.operators import decode, flags, flatten, latest, mining, rollups
-from archivemill.operators.carry import carry_forward, numbered_pieces
+from archivemill.operators.carry import carry_in_ranges
 from archivemill.operators.tables import linked_tweet, linked_user, without_counts
 from archivemill.plans import parse
 from archivemill.plans.mine import run_mine
@@ -167,10 +167,8 @@ def carry_forward_events(spark, sf_dir):
     """Amount of each user's latest purchase so far."""
     events = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     bought = F.when(F.col("event_type") == "purchase", F.col("value"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select("event_id", "user_id", "ts", at.alias("at"), bought.alias("bought"))
-    cut = numbered_pieces(rows, ["user_id"], "at")
-    filled = carry_forward(cut, ["user_id"], ["ts", "event_id"], "bought", "last_bought", chunk="_piece")
+    rows = events.select("event_id", "user_id", "ts", bought.alias("bought"))
+    filled = carry_in_ranges(rows, ["user_id"], ["ts", "event_id"], "bought", "last_bought")
     return filled.select("event_id", "user_id", "last_bought")
 
 

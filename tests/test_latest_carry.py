@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from archivemill.operators.carry import carry_forward, carry_in_order, numbered_pieces
+from archivemill.operators.carry import carry_forward, carry_in_order, carry_in_ranges
 from archivemill.operators.latest import distinct_rows, latest_by_key
 
 
@@ -66,13 +66,25 @@ def test_carry_in_order_over_batches(spark):
     assert {(r.k, r.t): r.y for r in got} == filled(data)
 
 
-def test_pieces_are_bounded_by_rows(spark):
-    """One user holds a third of the rows, all within one day."""
-    data, df = rows(spark, n=6000)
-    cut = numbered_pieces(df, ["k"], "t", rows=200)
-    sizes = cut.groupBy("k", "_piece").count()
-    assert sizes.agg({"count": "max"}).first()[0] <= 300
-    order = cut.groupBy("k", "_piece").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("k", "_piece").collect()
-    assert all(x.b < y.a for x, y in zip(order, order[1:]) if x.k == y.k)
-    got = carry_forward(cut, ["k"], ["t"], "x", "y", chunk="_piece").collect()
-    assert {(r.k, r.t): r.y for r in got} == filled(data)
+def test_ranges_are_even_whatever_a_group_holds(spark):
+    """One group has a value once and nothing for many ranges; another holds a third of the rows."""
+    data, _ = rows(spark, n=3000)
+    data += [("z", i, 7 if i == 3 else None) for i in range(2000)]
+    data += [("zz", 0, None), ("zzz", 0, 1)]
+    df = spark.createDataFrame(data, "k string, t int, x int").repartition(5)
+    for n in (1, 7, 40):
+        got = carry_in_ranges(df, ["k"], ["t"], "x", "y", partitions=n)
+        assert {(r.k, r.t): r.y for r in got.collect()} == filled(data)
+    sizes = df.repartitionByRange(40, "k", "t").groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+    assert sizes <= 3 * len(data) / 40
+
+
+def test_ranges_with_null_keys_several_keys_and_clashing_types(spark):
+    data = [(None, "a", i, 1.5 if i == 2 else None) for i in range(50)] + [(1, None, i, None) for i in range(50)]
+    df = spark.createDataFrame(data, "a int, b string, t int, x double")
+    got = carry_in_ranges(df, ["a", "b"], ["t"], "x", "y", partitions=9).collect()
+    assert {(r.a, r.b, r.t): r.y for r in got} == {(a, b, t): 1.5 if b and t >= 2 else None for a, b, t, _ in data}
+    assert carry_in_ranges(df.limit(0), ["a"], ["t"], "x", "y").collect() == []
+    structs = df.select("a", "t", F.when(F.col("x").isNotNull(), F.struct("x", "b")).alias("s"))
+    got = carry_in_ranges(structs, ["a"], ["t"], "s", "last", partitions=4).where("last is not null")
+    assert got.count() == 48 and got.first()["last"].x == 1.5
