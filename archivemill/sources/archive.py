@@ -6,123 +6,80 @@ lines of a file; ``block`` also cuts it into pieces of bounded size.
 
 from __future__ import annotations
 
-import bz2
 import io
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Text of a file that a task holds before it knows that the file is whole; a file with
-# more is first read to its end and then read again.
-HELD_BYTES = 128 * 1024 * 1024
-STEP_BYTES = 1024 * 1024
-BLOCK_BYTES = 16 * 1024 * 1024
-BATCH_BYTES = 4 * 1024 * 1024
-
-READ = "file string, block bigint, line bigint, value string, reason string"
+from archivemill.sources.archive_source import ArchiveSource
+from archivemill.sources.unpacking import STEPS, unpacked
 
 Paths = str | list[str]
 
 
-def _steps(content: bytes) -> Iterator[bytes]:
-    with bz2.BZ2File(io.BytesIO(content)) as stream:
-        while step := stream.read(STEP_BYTES):
-            yield step
-
-
-def _fault(steps: Iterator[bytes]) -> str | None:
-    """Why the rest of a file cannot be read; None if it can."""
-    try:
-        for _ in steps:
-            pass
-    except EOFError:
-        return "cut off"
-    except (OSError, ValueError):
-        return "damaged"
-    return None
-
-
-def _intact(content: bytes) -> tuple[Iterator[bytes], str | None]:
-    """A file's text in steps, none if the file is broken, and what is wrong with it."""
-    held, size, steps = [], 0, _steps(content)
-
-    def some() -> Iterator[bytes]:
-        nonlocal size
-        for step in steps:
-            held.append(step)
-            size += len(step)
-            if size > HELD_BYTES:
-                return
-            yield step
-
-    fault = _fault(some())
-    if fault is None and size > HELD_BYTES:
-        held.clear()
-        fault = _fault(steps)
-        return (iter(()), fault) if fault else (_steps(content), None)
-    return (iter(()), fault) if fault else (iter(held), None)
-
-
-def _lines(steps: Iterator[bytes]) -> Iterator[bytes]:
-    """Lines ended by a line feed, a carriage return, or both."""
-    rest = b""
-    for step in steps:
-        rest += step
-        cut = max(rest.rfind(b"\n"), rest.rfind(b"\r", 0, len(rest) - 1)) + 1  # a last return may go with a feed
-        if cut:
-            yield from rest[:cut].splitlines()
-            rest = rest[cut:]
-    yield from rest.splitlines()
-
-
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, content in zip(batch.column(0), batch.column(1), strict=True):
-            steps, fault = _intact(content.as_buffer().to_pybytes())
-            name = file.as_py()
-            if fault:
-                yield _batch(name, [(0, None, None)], fault)
-            held, size, read = [], 0, 0
-            for number, line in enumerate(_lines(steps)):
-                read += len(line) + 1
-                if line:
-                    held.append((read // BLOCK_BYTES, number, line.decode("utf-8", "replace")))
-                    size += len(line)
-                if size >= BATCH_BYTES:
-                    yield _batch(name, held)
-                    held, size = [], 0
-            if held:
-                yield _batch(name, held)
-
-
-def _batch(file: str, rows: list[tuple], reason: str | None = None) -> pa.RecordBatch:
-    block, line, value = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([file] * len(rows), pa.string()), pa.array(block, pa.int64()), pa.array(line, pa.int64()),
-            pa.array(value, pa.string()), pa.array([reason] * len(rows), pa.string()),
-        ],
-        names=["file", "block", "line", "value", "reason"],
-    )
-
-
-def read_archive(spark: SparkSession, root: Paths) -> DataFrame:
+            data = content.as_buffer().to_pybytes()
+            yield from unpacked(file.as_py(), lambda data=data: io.BytesIO(data))
+
+
+def lines_of(steps: DataFrame) -> DataFrame:
+    """``STEPS`` as ``(file, block, line, value, reason)``: a row per line that is not blank, or per broken file."""
+    cut = F.posexplode_outer(F.split("text", "\r\n|\n|\r")).alias("_at", "value")
+    lines = steps.select("file", "block", "first", cut, "reason")
+    kept = lines.where(F.col("reason").isNotNull() | (F.length("value") > 0))
+    line = F.coalesce(F.col("first") + F.col("_at"), F.lit(0)).cast("long")
+    return kept.select("file", "block", line.alias("line"), "value", "reason")
+
+
+def read_archive(spark: SparkSession, root: Paths, *, direct: bool | None = None) -> DataFrame:
     """Every ``.bz2`` file below ``root``: its lines, or one row with the ``reason`` why it has none.
 
-    A task decompresses its files one after the other, and gives out a file's first line only when it
+    A task decompresses its files one after the other, and gives out a file's first line when it
     has read the file to its end without a fault; so a broken file gives no line, and memory does
     not grow with the decompressed size.  The lines of a file stand together in their
     order.  Blank lines are left out but counted.  An error of the store fails the task, which is
-    tried again: nothing is dropped for it.  A compressed file of 2 GB or more is refused with an
-    error.
+    tried again: nothing is dropped for it.
+
+    ``direct`` reads with the data source of ``archive_source``: files of any size, dealt to tasks by their sizes,
+    empty ones reported.  It is the default for mounted folders.  Other stores are
+    read through Spark, where a compressed file of 2 GB or more is refused with an error, and an empty
+    file is not listed.
     """
+    roots = [root] if isinstance(root, str) else list(root)
+    if direct is None:
+        direct = all(is_mounted(spark, r) for r in roots)
+    if direct:
+        spark.dataSource.register(ArchiveSource)
+        return lines_of(spark.read.format(ArchiveSource.name()).option("roots", json.dumps(roots)).load())
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.bz2").load(root)
+        .option("pathGlobFilter", "*.bz2").load(roots)
     )
-    return files.select(F.col("_metadata.file_path").alias("_file"), "content").mapInArrow(_unpack, READ)
+    return lines_of(files.select(F.col("_metadata.file_path").alias("_file"), "content").mapInArrow(_unpack, STEPS))
+
+
+def stream_archive(spark: SparkSession, root: Paths) -> DataFrame:
+    """``read_archive`` as a stream of the files that appear below mounted folders.
+
+    The offset is the time and path of the latest file read: a file that is written anew, say because it was still
+    being uploaded, is read again, so a file should come under its name when it is whole.
+    """
+    roots = [root] if isinstance(root, str) else list(root)
+    spark.dataSource.register(ArchiveSource)
+    return lines_of(spark.readStream.format(ArchiveSource.name()).option("roots", json.dumps(roots)).load())
+
+
+def is_mounted(spark: SparkSession, path: str) -> bool:
+    """Whether the path, without a pattern in it, lies in a folder of this machine's file system."""
+    if any(c in path for c in "*?[{"):
+        return False
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def archive_lines(spark: SparkSession, root: Paths) -> DataFrame:

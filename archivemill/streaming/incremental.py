@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivemill.operators.latest import distinct_rows, latest_by_key
-from archivemill.operators.mining import mine_read
+from archivemill.operators.mining import as_json, mine_read
 from archivemill.operators.tables import LATEST_TABLES
 from archivemill.plans.sinks import remove, write_mined
 from archivemill.plans.staging import staged
 from archivemill.schema import TABLES
-from archivemill.sources.archive import read_archive
+from archivemill.sources.archive import read_archive, stream_archive
 
 
 def mine_new_files(
@@ -59,6 +59,19 @@ def mine_new_files(
     query.awaitTermination()
 
 
+def stream_mining(spark: SparkSession, root: str, folder: str, checkpoint: str):
+    """A started stream that mines the files appearing below a mounted folder, then stops.
+
+    Written by Spark's file sink, which takes each batch once; read it with ``mined_lines``.  What is wrong with
+    which file stands under ``kind=unusable``; such a file is read again when it is written anew.
+    """
+    rows = as_json(mine_read(stream_archive(spark, root)))
+    return (
+        rows.writeStream.format("text").partitionBy("kind", "date").option("path", folder)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def _run_id(spark: SparkSession, checkpoint: str) -> str:
     """An id kept beside the checkpoint; a new checkpoint has a new one."""
     place = f"{checkpoint}-run"

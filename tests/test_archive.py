@@ -1,5 +1,7 @@
 import bz2
+import io
 import json
+import os
 import shutil
 
 import pytest
@@ -8,10 +10,10 @@ from archivemill.operators.mining import mine_read
 from archivemill.plans.mine import mine_archive
 from archivemill.plans.parse import mine_and_parse
 from archivemill.schema import TABLES
-from archivemill.sources import archive as source
-from archivemill.sources.archive import archive_lines, json_lines, read_archive, skipped_files
+from archivemill.sources import archive_source, unpacking
+from archivemill.sources.archive import archive_lines, json_lines, mined_lines, read_archive, skipped_files
 from archivemill.sources.tables import read_table
-from archivemill.streaming.incremental import mine_new_files
+from archivemill.streaming.incremental import mine_new_files, stream_mining
 from tests.messages import message
 
 HELD = {"withheld_in_countries": ["TR"]}
@@ -56,23 +58,28 @@ def per_file(df):
         {"*": "count", "line": "max"}).withColumnsRenamed({"count(1)": "count", "max(line)": "n"}).collect()}
 
 
-def test_broken_files_give_no_lines(spark, archive):
-    df = archive_lines(spark, archive)
+@pytest.mark.parametrize("direct", [True, False])
+def test_broken_files_give_no_lines(spark, archive, direct):
+    df = read_archive(spark, archive, direct=direct).where("reason IS NULL")
     assert {k: v[0] for k, v in per_file(df).items()} == {"2/13/00": 20000, "2/14/03": 3}
     rows = df.filter("file like '%14/03%'").orderBy("line").collect()
     assert [(r.line, r.value) for r in rows] == [(0, '{"a": 1}'), (2, '{"a": 2}'), (3, '{"a": 3}')]
 
 
 def test_a_file_larger_than_what_is_held_gives_the_same_lines(spark, archive, monkeypatch):
-    monkeypatch.setattr(source, "HELD_BYTES", 1000)
-    monkeypatch.setattr(source, "STEP_BYTES", 700)
-    monkeypatch.setattr(source, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(unpacking, "HELD_BYTES", 1000)
+    monkeypatch.setattr(unpacking, "STEP_BYTES", 700)
+    monkeypatch.setattr(unpacking, "BLOCK_BYTES", 5000)
     for minute, count in (("13/00", 20000), ("13/01", 0), ("13/02", 0), ("13/06", 0), ("14/03", 3)):
         folder = f"{archive}/2018/05/02/{minute}.json.bz2"
-        with open(folder, "rb") as file:
-            steps, fault = source._intact(file.read())
-        found = [line for line in source._lines(steps) if line]
-        assert len(found) == count and (fault is None) == (count > 0)
+        batches = [b.to_pylist()[0] for b in unpacking.unpacked("f", lambda folder=folder: open(folder, "rb"))]
+        assert all(b["reason"] is None for b in batches) == (count > 0)
+        found = []
+        for b in batches if count else []:
+            lines = b["text"].splitlines()
+            assert b["first"] == len(found) or minute == "14/03"
+            found += [line for line in lines if line]
+        assert len(found) == count
         if minute == "13/00":
             assert [json.loads(line)["n"] for line in found] == list(range(20000))
 
@@ -89,18 +96,79 @@ def test_repetitive_text_is_streamed(spark, tmp_path):
 
 def test_line_ends_across_steps():
     steps = [b"a\r", b"\nb\r", b"c\n\n", b"d\r\n", b"\re"]
-    assert list(source._lines(iter(steps))) == b"".join(steps).splitlines()
+    whole = list(unpacking._whole_lines(iter(steps)))
+    assert [line for step in whole for line in step.splitlines()] == b"".join(steps).splitlines()
 
 
 def test_the_content_is_scanned_once_and_a_mining_run_has_no_shuffle_before_its_result(spark, archive):
-    plan = mine_read(read_archive(spark, archive))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("binaryFile") == 1 and "Exchange" not in plan and "Sort" not in plan
+    for direct, scan in ((True, "message_archive"), (False, "binaryFile")):
+        plan = mine_read(read_archive(spark, archive, direct=direct))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(scan) == 1 and "Exchange" not in plan and "Sort" not in plan
 
 
 def test_skipped_files_are_listed(spark, archive):
     found = {r.path[-16:-9]: r.reason for r in skipped_files(spark, archive).collect()}
     cut = "cut off"
-    assert found == {"2/13/01": cut, "2/13/02": "damaged", "2/13/05": cut, "2/13/06": cut}, "Spark lists no empty file"
+    listed = {"2/13/01": cut, "2/13/02": "damaged", "2/13/05": cut, "2/13/06": cut}
+    assert found == {**listed, "2/13/07": "empty"}
+    through_spark = read_archive(spark, archive, direct=False).where("reason IS NOT NULL").collect()
+    assert {r.file[-16:-9]: r.reason for r in through_spark} == listed, "Spark lists no empty file"
+
+
+def test_both_readers_give_the_same_lines(spark, archive):
+    one, other = (read_archive(spark, archive, direct=d).where("reason IS NULL").drop("block") for d in (True, False))
+    a, b = (sorted(map(tuple, d.drop("reason").collect())) for d in (one, other))
+    assert a == b
+    parts = [f"{archive}/2018/05/02/13/00.json.bz2", f"{archive}/2018/05/02/14"]
+    assert archive_lines(spark, parts).count() == 20003
+
+
+def test_files_are_dealt_by_size(tmp_path):
+    files = [archive_source.File(1, f"{i:02}", 100 if i != 3 else 10_000) for i in range(8)]
+    cost = archive_source.OPEN_BYTES + 100
+    dealt = [s.paths for s in archive_source.shares(files, 2 * cost)]
+    assert dealt == [["00", "01"], ["02"], ["03"], ["04", "05"], ["06", "07"]] and archive_source.shares([], 9) == []
+    with pytest.raises(FileNotFoundError):
+        archive_source.files_below([str(tmp_path / "none")])
+
+
+def test_an_error_of_the_store_is_no_broken_file(tmp_path):
+    class Failing(io.RawIOBase):
+        def readable(self):
+            return True
+
+        def readinto(self, _):
+            raise OSError("the disk is gone")
+
+    raw = archive_source._Raw(__file__)
+    raw.file.close()
+    raw.file = Failing()
+    with pytest.raises(archive_source.StoreError):
+        list(unpacking.unpacked("f", lambda: raw))
+    with pytest.raises(archive_source.StoreError):
+        list(archive_source.read_files([str(tmp_path / "gone.bz2")]))
+
+
+def test_a_stream_mines_files_as_they_appear(spark, tmp_path):
+    root, folder, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def step():
+        stream_mining(spark, str(root), folder, checkpoint).awaitTermination()
+        lines = mined_lines(spark, folder)
+        return sorted(json.loads(r.value)["id"] for r in lines.collect())
+
+    put(root, "00", packed(message(1, **HELD), message(2)))
+    whole = packed(message(5, **HELD))
+    put(root, "01", whole[:-4])
+    assert step() == [1] and step() == [1]
+    put(root, "02", packed(message(3, **HELD)))
+    put(root, "01", whole)  # now uploaded to its end
+    assert step() == [1, 3, 5]
+    report = spark.read.text(folder).where("kind = 'unusable'").collect()
+    assert [json.loads(r.value)["reason"] for r in report] == ["cut off"]
+    early = root / "2018" / "05" / "02" / "13" / "02.json.bz2"
+    os.utime(early)  # a file written anew is read again
+    assert step() == [1, 3, 3, 5]
 
 
 def test_json_folder(spark, tmp_path):
@@ -132,7 +200,7 @@ def test_mine_an_archive_twice_appends(spark, tmp_path):
 def test_a_mining_run_lists_the_broken_files(spark, archive, tmp_path):
     mine_archive(spark, archive, str(tmp_path / "out"))
     rows = spark.read.text(str(tmp_path / "out")).where("kind = 'unusable'").collect()
-    assert sorted(json.loads(r.value)["path"][-11:-9] for r in rows) == ["01", "02", "05", "06"]
+    assert sorted(json.loads(r.value)["path"][-11:-9] for r in rows) == ["01", "02", "05", "06", "07"]
 
 
 def test_new_files_are_mined_once(spark, tmp_path):
