@@ -6,6 +6,8 @@ The message queries are restated from ``events`` by the arithmetic rules of
 
 from __future__ import annotations
 
+from archivemill.schema import columns
+
 _TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -170,6 +172,54 @@ _STORED = {
 }
 
 
+# View by the query that returns it, with its columns.
+_VIEWS = {
+    "view_retweet_graph": ("retweet_graph", "source target weight"),
+    "view_user_stats": ("user_stats", "author_id tw_num do_rt_num get_rt_num"),
+    "view_author_hashtag": ("author_hashtag", "author_id hashtag count"),
+    "view_author_hashtag_stats": ("author_hashtag_stats", "author_id total_hashtags different_hashtags"),
+    "view_activity": ("activity_log", "id author_id created_at tweet_type"),
+    "become_withheld": ("status_withheld_notices", "value"),
+}
+
+
+def _rows(name: str, columns: list[str], sql: str) -> str:
+    cells = ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '~')" for c in sorted(columns))
+    return f"SELECT '{name}' AS name, concat_ws('|', {cells}) AS row_text FROM ({sql})"
+
+
+def _whole_runs(checks: dict[str, str]) -> dict[str, str]:
+    """The rows of all tables that a run stores, each as one text."""
+    tables = [_rows(table, columns(table), checks[query]) for table, query in _STORED.items()]
+    views = [_rows(view, names.split(), checks[query]) for view, (query, names) in _VIEWS.items()]
+    flags = "id author_id linked_tweet withheld linked_withheld user_withheld".split()
+    inferred = [
+        _rows("metadata_updated", flags, checks["flag_propagation"]),
+        _rows("all_users", ["author_id"], checks["withheld_authors"]),
+        _rows("users_inferred", ["author_id"], checks["inferred_authors"]),
+    ]
+    return {
+        "stored_contents": " UNION ALL ".join(tables + views),
+        "parsed_in_halves": " UNION ALL ".join(tables),
+        "inferred_run": " UNION ALL ".join(inferred),
+    }
+
+
+# The archive of eight files, of which the first two are broken.
+_BROKEN = {
+    "archive_broken_files": """
+        SELECT event_id % 8 AS slot, CASE event_id % 8 WHEN 0 THEN 'cut off' WHEN 1 THEN 'damaged' END AS reason,
+          CASE WHEN event_id % 8 < 2 THEN 0 ELSE count(*) END AS n_lines,
+          CASE WHEN event_id % 8 < 2 THEN 0 ELSE count(*) - 1 END AS last_line
+        FROM events GROUP BY event_id % 8""",
+    "mined_archive": f"""WITH {_CARRIED}
+        SELECT kind, e AS id, linked, CAST(NULL AS BIGINT) AS broken_slot, CAST(NULL AS VARCHAR) AS reason
+        FROM ({_MINED}) WHERE e % 8 >= 2
+        UNION ALL SELECT 'messages', e, NULL, NULL, NULL FROM notices WHERE e % 8 >= 2
+        UNION ALL SELECT 'unusable', NULL, NULL, 0, 'cut off' UNION ALL SELECT 'unusable', NULL, NULL, 1, 'damaged'""",
+}
+
+
 def all_checks() -> dict[str, str]:
     checks = _checks()
     checks["archive_roundtrip"] = _from_levels("SELECT depth, id, tweet_type FROM m")
@@ -180,7 +230,12 @@ def all_checks() -> dict[str, str]:
     checks["stored_tables"] = " UNION ALL ".join(
         f"SELECT '{table}' AS name, (SELECT count(*) FROM ({checks[query]})) AS n_rows" for table, query in _STORED.items()
     )
-    return checks
+    numbers = """SELECT e, sum(1 + CASE WHEN e % 7 = 0 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY e % 8 ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM ev"""
+    checks["rejected_line_numbers"] = f"""
+        SELECT r.line % 8 AS slot, CAST(coalesce(n.at, 0) AS BIGINT) AS line, r.reason, r.value
+        FROM ({checks['rejected_lines']}) r JOIN ({_from_events(numbers)}) n ON n.e = r.line"""
+    return checks | _BROKEN | _whole_runs(checks)
 
 
 def _checks() -> dict[str, str]:

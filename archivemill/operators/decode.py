@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import epoch_ms_to_timestamp
@@ -61,6 +61,18 @@ def reject_reason(value: Column, v: Column) -> Column:
     return F.when(v.isNotNull(), "no_text").when(other_json, "not_object").otherwise("bad_json")
 
 
+def line_numbers(positions: DataFrame) -> DataFrame:
+    """``(file, block, first, offset)``: the least ``line`` of each block, and the file's lines before the block.
+
+    The lines of a block must have no gaps.  ``offset + line - first`` is then the line's number in its file, from
+    0, however the file was split.  One row a split.
+    """
+    blocks = positions.groupBy("file", "block").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("last") - F.col("first") + 1
+    return blocks.select("file", "block", "first", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("offset"))
+
+
 def status_withheld_notices(lines: DataFrame) -> DataFrame:
     return on_route(lines, "status_withheld", *POSITION, "value")
 

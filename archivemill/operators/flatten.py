@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archivemill.functions.scalars import created_at_to_timestamp
 from archivemill.functions.variants import scalar, with_default
-from archivemill.operators.decode import POSITION, ROUTE_FIELDS, decode, reject_reason, route
+from archivemill.operators.decode import POSITION, ROUTE_FIELDS, decode, line_numbers, reject_reason, route
 
 # Levels decoded with the line, as real messages nest: the message, what it repeats or
 # quotes, and what that one quotes.  Anything else stays raw and takes the loop in `_chain`.
@@ -277,19 +277,21 @@ def everything(lines: DataFrame, *, extended: bool = False) -> DataFrame:
     """Sightings plus all other lines in one frame, made to be written once.
 
     ``part`` is ``message`` for sightings, ``incomplete`` for messages without id
-    or author, else the line's route; ``text`` holds what is no sighting.
+    or author, ``blank`` for lines without text, else the line's route; ``text`` holds what is no sighting.
     """
     wide = _typed(levels(lines, others=True), extended)
     is_message = F.col("route") == "message"
-    part = F.when(is_message & ~_complete(), "incomplete").otherwise(F.col("route"))
+    blank = (F.col("route") == "reject") & (F.length(F.trim("other")) == 0)
+    part = F.when(is_message & ~_complete(), "incomplete").when(blank, "blank").otherwise(F.col("route"))
     text = F.when(F.col("part") == "incomplete", F.to_json("m")).otherwise(F.col("other"))
     return wide.withColumn("part", part).withColumn("text", text).drop("m", "route", "other")
 
 
-def rejects(stage: DataFrame) -> DataFrame:
+def rejects(stage: DataFrame, *, split: bool = False) -> DataFrame:
     """What went to no table, out of ``everything``: position, reason and text.
 
-    Only these few lines are decoded again, to tell why they were rejected.
+    Only these few lines are decoded again, to tell why they were rejected.  ``split``: the lines come from
+    split files, blank ones included, and ``line`` is made their number in the file.
     """
     bad = stage.filter(F.col("part").isin("reject", "incomplete")).select(
         *POSITION, "part", F.col("text").alias("value")
@@ -297,7 +299,11 @@ def rejects(stage: DataFrame) -> DataFrame:
     reason = F.when(F.col("part") == "incomplete", "incomplete").otherwise(
         reject_reason(F.col("value"), F.col("v"))
     )
-    return decode(bad, ROUTE_FIELDS).select(*POSITION, reason.alias("reason"), "value")
+    found = decode(bad, ROUTE_FIELDS).select(*POSITION, reason.alias("reason"), "value")
+    if not split:
+        return found
+    numbered = found.join(line_numbers(stage.select(*POSITION)), ["file", "block"])
+    return numbered.select("file", "block", (F.col("offset") + F.col("line") - F.col("first")).alias("line"), "reason", "value")
 
 
 # What the type of a message is told from.

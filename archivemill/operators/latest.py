@@ -20,10 +20,14 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def sighting_order() -> list[Column]:
+    """Latest ``access`` first; at equal times the line read last, outer before embedded."""
+    return [*(F.col(c).desc() for c in ("access", "file", "block", "line")), F.col("depth").asc()]
+
+
 def latest_sighting(df: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Latest by ``access``; at equal times the line read last, outer before embedded."""
-    order = [F.col(c).desc() for c in ("access", "file", "block", "line")]
-    return latest_by_key(df, keys, [*order, F.col("depth").asc()]).drop(*SIGHTING_ORDER)
+    return latest_by_key(df, keys, sighting_order()).drop(*SIGHTING_ORDER)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -83,13 +83,15 @@ def run_parse(
     extended: bool = False,
     views: bool = True,
     skip_empty: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Write every table, the notices, the rejects and the views below ``folder``.
 
     The lines are read and decoded once, into a staged columnar frame by part; every
     output then reads its own part and columns of that.  What an earlier run wrote to the
     folder and this one does not is removed, the views are built from this run's tables only, and
-    the stage is dropped at the end.  Returns the counts per type, embedded and incomplete
+    the stage is dropped at the end.  ``split``: the lines are those of split files, blank ones included, and
+    rejects get their numbers in the files.  Returns the counts per type, embedded and incomplete
     messages included.
     """
     spark = lines.sparkSession
@@ -99,14 +101,14 @@ def run_parse(
     try:
         return _write_run(
             spark.read.schema(schema).parquet(path), folder, fmt=fmt, timeline=timeline, hydrated=hydrated,
-            views=views, skip_empty=skip_empty,
+            views=views, skip_empty=skip_empty, split=split,
         )
     finally:
         remove(spark, path)
 
 
 def _write_run(
-    stage: DataFrame, folder: str, *, fmt: str, timeline: bool, hydrated: bool, views: bool, skip_empty: bool
+    stage: DataFrame, folder: str, *, fmt: str, timeline: bool, hydrated: bool, views: bool, skip_empty: bool, split: bool
 ) -> DataFrame:
     spark = stage.sparkSession
     rows, rest = split_stage(stage)
@@ -121,7 +123,7 @@ def _write_run(
     jobs = [partial(write, name, df) for name, df in built.items()]
     notices = rest.filter(F.col("part") == "status_withheld")
     jobs.append(partial(write_notices, notices, f"{folder}/become_withheld"))
-    jobs.append(partial(write_table, flatten.rejects(stage), f"{folder}/rejects"))
+    jobs.append(partial(write_table, flatten.rejects(stage, split=split), f"{folder}/rejects"))
     _run_all(jobs)
     for name in TABLES:
         if not written.get(name):
@@ -151,8 +153,8 @@ def _run_all(jobs: list[Callable[[], object]]) -> None:
 
 
 def parse_folder(spark, source: str, folder: str, **options) -> DataFrame:
-    """``run_parse`` over a folder of JSON-lines files."""
-    return run_parse(json_lines(spark, source), folder, **options)
+    """``run_parse`` over a folder of JSON-lines files; rejects name the file and the line's number in it, from 0."""
+    return run_parse(json_lines(spark, source, blanks=True), folder, split=True, **options)
 
 
 def parse_mined(spark: SparkSession, mined: str, folder: str, **options) -> DataFrame:

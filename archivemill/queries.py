@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivemill.functions import scalars
@@ -18,12 +18,15 @@ from archivemill.operators import decode, flags, flatten, latest, mining, rollup
 from archivemill.operators.carry import carry_in_ranges
 from archivemill.operators.tables import linked_tweet, linked_user, without_counts
 from archivemill.plans import parse
-from archivemill.plans.mine import run_mine
+from archivemill.plans.infer import run_infer
+from archivemill.plans.mine import mine_archive, run_mine
 from archivemill.plans.sinks import write_table
 from archivemill.plans.staging import stage_path, staged
+from archivemill.plans.store import parse_more, read_current
+from archivemill.plans.views import VIEWS
 from archivemill.schema import TABLES
 from archivemill.session import configure
-from archivemill.sources.archive import archive_lines
+from archivemill.sources.archive import archive_lines, json_lines, read_archive
 from archivemill.sources.archive import mined_lines as stored_mined_lines
 from archivemill.sources.events import lines_from_events
 from archivemill.sources.tables import read_table
@@ -473,3 +476,114 @@ def withheld_authors(spark, sf_dir):
 @query("inferred_authors")
 def inferred_authors(spark, sf_dir):
     return flags.withheld_owners(*_metadata_and_ids(spark, sf_dir))
+
+
+# --- whole runs: what they store is compared row by row --------------------------
+
+
+def _row_texts(name: str, df: DataFrame) -> DataFrame:
+    """Every row as one text, its columns in the order of their names."""
+    df = scalars.as_text(df)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)]
+    return df.select(F.lit(name).alias("name"), F.concat_ws("|", *cells).alias("row_text"))
+
+
+def _all_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, [_row_texts(name, df) for name, df in tables.items()])
+
+
+@query("stored_contents")
+def stored_contents(spark, sf_dir):
+    """Every row of every table, view and notice that a whole run has stored; an absent table is empty."""
+    folder = stage_path(spark, "run")
+    parse.run_parse(lines_from_events(spark, sf_dir), folder, skip_empty=True)
+    stored = {name: read_table(spark, folder, name, optional=True) for name in TABLES}
+    stored |= {name: spark.read.parquet(f"{folder}/{name}") for name in VIEWS}
+    notices = spark.read.text(f"{folder}/become_withheld")
+    return _all_rows(stored | {"become_withheld": notices})
+
+
+@query("parsed_in_halves")
+def parsed_in_halves(spark, sf_dir):
+    """Every row of every table after two runs over half of the lines each, mixed; the second is then repeated in part."""
+    folder, lines = stage_path(spark, "store"), lines_from_events(spark, sf_dir)
+    parse_more(lines.where("line % 2 = 1"), folder, buckets=8)
+    parse_more(lines.where("line % 2 = 0 OR line % 50 = 1"), folder)
+    return _all_rows({name: read_current(spark, folder, name) for name in TABLES})
+
+
+@query("inferred_run")
+def inferred_run(spark, sf_dir):
+    """What the inference run stores, by table."""
+    folder = stage_path(spark, "inferred")
+    run_infer(*_metadata_and_ids(spark, sf_dir), folder)
+    flagged = spark.read.parquet(f"{folder}/metadata_updated")
+    return _all_rows({
+        "metadata_updated": flagged.select("id", "author_id", "linked_tweet", "withheld", "linked_withheld", "user_withheld"),
+        "all_users": spark.read.parquet(f"{folder}/all_users"),
+        "users_inferred": spark.read.parquet(f"{folder}/users_inferred"),
+    })
+
+
+#: Files of the archive that is then damaged.
+_SLOTS = 8
+
+
+def _damaged_archive(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as eight compressed files, of which the first is cut off and the second damaged."""
+    folder = stage_path(spark, "archive")
+    lines = lines_from_events(spark, sf_dir).withColumn("slot", F.col("line") % _SLOTS)
+    dealt = lines.repartition(_SLOTS, "slot").sortWithinPartitions("slot", "line").select("slot", "value")
+    dealt.write.partitionBy("slot").option("compression", "bzip2").text(folder)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    for slot in (0, 1):
+        place = hadoop.fs.Path(f"{folder}/slot={slot}")
+        store = place.getFileSystem(conf)
+        whole = next(f for f in store.listStatus(place) if f.getPath().getName().endswith(".bz2"))
+        out = store.create(hadoop.fs.Path(place, "broken.json.bz2"), True)
+        for size in ([whole.getLen() // 2], [4, whole.getLen()])[slot]:  # half the file, or its head twice
+            part = store.open(whole.getPath())
+            spark._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, size)
+            part.close()
+        out.close()
+        store.delete(whole.getPath(), False)
+    return folder
+
+
+def _slot(path: Column) -> Column:
+    return F.regexp_extract(path, r"slot=(\d+)", 1).cast("long")
+
+
+@query("archive_broken_files")
+def archive_broken_files(spark, sf_dir):
+    """What each file of an archive gives: its lines, or why it has none."""
+    read = read_archive(spark, _damaged_archive(spark, sf_dir))
+    return read.groupBy(_slot(F.col("file")).alias("slot"), "reason").agg(
+        F.count("value").alias("n_lines"), F.max("line").alias("last_line")
+    )
+
+
+@query("mined_archive")
+def mined_archive(spark, sf_dir):
+    """What is mined from an archive with broken files, and the report of those."""
+    folder = stage_path(spark, "mined")
+    mine_archive(spark, _damaged_archive(spark, sf_dir), folder)
+    lines = spark.read.text(folder)
+    value = F.try_parse_json("value")
+    return lines.select(
+        "kind", get(value, "id", "bigint").alias("id"), get(value, "linked", "string").alias("linked"),
+        _slot(get(value, "path", "string")).alias("broken_slot"), get(value, "reason", "string").alias("reason"),
+    )
+
+
+@query("rejected_line_numbers")
+def rejected_line_numbers(spark, sf_dir):
+    """Rejected lines of a folder of files, with their numbers there; every seventh line is followed by a blank one."""
+    folder = stage_path(spark, "json")
+    lines = lines_from_events(spark, sf_dir).withColumn("slot", F.col("line") % _SLOTS)
+    texts = F.when(F.col("line") % 7 == 0, F.array("value", F.lit(""))).otherwise(F.array("value"))
+    dealt = lines.repartition(_SLOTS, "slot").sortWithinPartitions("slot", "line").select("slot", F.explode(texts).alias("value"))
+    dealt.write.partitionBy("slot").text(folder)
+    read = json_lines(spark, f"{folder}/*", blanks=True, names="*.txt")
+    stage = staged(flatten.everything(read).select(*decode.POSITION, "part", "text"), "numbered")
+    return flatten.rejects(stage, split=True).select(_slot(F.col("file")).alias("slot"), "line", "reason", "value")

@@ -92,18 +92,20 @@ def skipped_files(spark: SparkSession, root: Paths) -> DataFrame:
     return read_archive(spark, root).where("reason IS NOT NULL").select(F.col("file").alias("path"), "reason")
 
 
-def _text_lines(text: DataFrame) -> DataFrame:
-    return text.where(F.length(F.trim("value")) > 0).select(
+def json_lines(spark: SparkSession, folder: str, *, blanks: bool = False, names: str = "*.json*") -> DataFrame:
+    """Lines of the files in ``folder`` whose name contains ``.json``, less blank ones; files are split.
+
+    ``line`` orders the lines of a block of a file and has no gaps there if ``blanks`` are kept; ``decode.line_numbers`` makes
+    line numbers of it.
+    """
+    text = spark.read.option("pathGlobFilter", names).text(folder)
+    lines = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-
-
-def json_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the files in ``folder`` whose name contains ``.json``, less blank ones; files are split."""
-    return _text_lines(spark.read.option("pathGlobFilter", "*.json*").text(folder))
+    return lines if blanks else lines.where(F.length(F.trim("value")) > 0)
 
 
 # What a mining run writes that is made of messages.

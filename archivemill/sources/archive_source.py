@@ -21,6 +21,9 @@ from archivemill.sources.unpacking import STEPS, unpacked
 SPLIT_BYTES = 32 * 1024 * 1024
 OPEN_BYTES = 256 * 1024
 
+# Characters that stand for themselves in the path of a file's URI.
+_PLAIN = "/=:@!$&'()*+,;"
+
 
 @dataclass(frozen=True, order=True)
 class File:
@@ -128,7 +131,7 @@ def shares(files: list[File], split_bytes: int) -> list[Share]:
 
 def read_files(paths: list[str]) -> Iterator[pa.RecordBatch]:
     for path in paths:
-        yield from unpacked(f"file:{quote(path)}", lambda path=path: _Raw(path))
+        yield from unpacked("file:" + quote(path, safe=_PLAIN), lambda path=path: _Raw(path))
 
 
 class ArchiveSource(DataSource):
