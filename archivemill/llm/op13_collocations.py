@@ -8,7 +8,8 @@ a run of words counts in the chunk that owns it, as often as the chunk occurs.
 Counting is by levels.  Tasks add up occurrences in 2**32 buckets by hash; buckets that reach the
 least count set bits in a map of fixed size, which goes to the next level's tasks: longer runs
 count only if all their pairs may be frequent.  Buckets only say what cannot be frequent.  The last
-pass counts what is left by the phrase itself.
+pass counts what is left by 64-bit hashes, and notes for each a chunk that has it, from which the phrase
+is read.  Sums go out packed, a row per range of hashes and task.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ OVERLAP = LONGEST - 1
 PERIOD = 32
 #: Bits of the map; ranges of buckets that are added up together; occurrences a task adds up before it hands them on.
 MAP_BITS = 27
-RANGES = 1024
+RANGE_BITS = 10
+RANGES = 1 << RANGE_BITS
 HELD = 1 << 21
-#: Bytes of chunks, and phrases, that a task works on at once.
+#: Bytes of chunks that a task works on at once, and phrases it holds before it hands them on.
 AT_ONCE = 4 << 20
 PHRASES = 500_000
 
@@ -127,8 +129,8 @@ def marked(maybe: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (maybe[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Texts, pa.Array, Grams]]:
-    """Rows (lang, owned, chunk, times), many batches at once."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Texts, pa.Table, Grams]]:
+    """Rows with lang, owned, chunk and times, many batches at once; the texts are some of the table's."""
 
     def gathered():
         held, size = [], 0
@@ -151,7 +153,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Texts, pa.Array,
         owned, times = rows.column("owned").to_numpy(), rows.column("times").to_numpy()
         for texts in tokens.slices(rows.column("chunk"), limit=AT_ONCE):
             part = slice(texts.first, texts.first + len(texts))
-            yield texts, names.slice(part.start, len(texts)), Grams(texts, lang[part], owned[part], times[part])
+            yield texts, rows, Grams(texts, lang[part], owned[part], times[part])
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,18 +177,27 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def _by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Sorted distinct keys of so many bits, range by range: its number, bounds, and the packed gaps between keys."""
+    shift = np.uint64(bits - RANGE_BITS)
+    edges = np.searchsorted(keys >> shift, np.arange(RANGES + 1, dtype=np.uint64)).tolist()
+    for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b > a:
+            gaps = np.diff(keys[a:b], prepend=np.uint64(r) << shift)
+            yield r, a, b, np.uint32(b - a).tobytes() + packed(gaps)
+
+
+def _keys(r: int, data: bytes, bits: int) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    return np.cumsum(unpacked(data[4:], n)) + (np.uint64(r) << np.uint64(bits - RANGE_BITS))
+
+
 def _handed_on(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Sums by bucket, a row per range: gaps between buckets, and sums less one."""
-    width = (1 << 32) // RANGES
-    edges = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(width))
-    rows = [(r, a, b) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-    gaps = np.r_[keys[:1], np.diff(keys)]
-    gaps[edges[:-1][edges[:-1] < edges[1:]]] = (keys % np.uint64(width))[edges[:-1][edges[:-1] < edges[1:]]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([np.uint32(b - a).tobytes() + packed(gaps[a:b]) for _, a, b in rows], pa.binary()),
-         pa.array([packed(counts[a:b] - 1) for _, a, b in rows], pa.binary())],
-        names=["range", "keys", "counts"],
-    )
+    """Sums by bucket, a row per range."""
+    rows = [(r, gaps, packed(counts[a:b] - 1)) for r, a, b, gaps in _by_range(keys, 32)]
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["range", "keys", "counts"])
 
 
 def _counted(sizes: range, sent=None):
@@ -216,7 +227,7 @@ def _frequent(least: int):
     def bits(r: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, counts = _added(*map(np.concatenate, zip(*held, strict=True)))
         out = np.zeros((1 << MAP_BITS) // RANGES, bool)
-        out[(keys[counts >= least] >> np.uint64(32 - MAP_BITS)).astype(np.int64)] = True
+        out[(keys[counts >= least] >> np.uint64(32 - MAP_BITS)).astype(np.int64) - r * len(out)] = True
         return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], names=["range", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +237,9 @@ def _frequent(least: int):
                 if r != now and held:
                     yield bits(now, held)
                     held, n = [], 0
-                now, size = r, int(np.frombuffer(keys, np.uint32, 1)[0])
-                held.append((np.cumsum(unpacked(keys[4:], size)), unpacked(counts, size).astype(np.int64) + 1))
-                n += size
+                now, own = r, _keys(r, keys, 32)
+                held.append((own, unpacked(counts, len(own)).astype(np.int64) + 1))
+                n += len(own)
                 if n >= HELD:
                     held, n = [_added(*map(np.concatenate, zip(*held, strict=True)))], 0
         if held:
@@ -248,71 +259,112 @@ def _map(chunks: DataFrame, sizes: range, least: int, sent=None) -> np.ndarray:
     return out
 
 
-class Tally:
-    """Counts of phrases by hash, with the phrase of each as it was first met."""
-
-    def __init__(self):
-        self.hashes, self.counts, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.rows: list[tuple[str, int, bytes]] = []
-
-    def add(self, hashes: np.ndarray, times: np.ndarray, phrase) -> None:
-        """Count; ``phrase(i)`` gives the row of the i-th occurrence."""
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        sums = np.zeros(len(distinct), np.int64)
-        np.add.at(sums, which, times)
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == distinct[inside]
-        self.counts[self.number[at[known]]] += sums[known]
-        new = ~known
-        number = np.arange(len(self.rows), len(self.rows) + int(new.sum()))
-        self.rows += [phrase(i) for i in first[new].tolist()]
-        self.counts = np.r_[self.counts, sums[new]]
-        all_hashes, all_numbers = np.r_[self.hashes, distinct[new]], np.r_[self.number, number]
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes, self.number = all_hashes[order], all_numbers[order]
-
-    def batch(self) -> pa.RecordBatch:
-        lang, size, phrase = zip(*self.rows, strict=True) if self.rows else ((), (), ())
-        columns = [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(self.counts)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "f"])
-
-
-def _spelt(sent):
-    """Counts of the phrases that may be frequent, spelt out."""
+def _first(hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, their sums, and the first id of each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts, ids = hashes[order], counts[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[starts], np.add.reduceat(counts, starts) if len(hashes) else counts, ids[starts]
+
+
+def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _first(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _located(sent):
+    """Counts by hash of the phrases that may be frequent, a row per range, each with the id of a chunk that owns one."""
+
+    def rows(hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        found = [(r, gaps, packed(counts[a:b] - 1), ids[a:b].tobytes()) for r, a, b, gaps in _by_range(hashes, 64)]
+        columns = zip(*found, strict=True) if found else ((), (), (), ())
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["range", "keys", "counts", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, tally = sent.value, Tally()
-        for texts, lang, grams in _grams(batches):
-            words, names = grams.words, lang.dictionary.to_pylist()
-            code, raw = lang.indices.to_numpy(), texts.data.tobytes()
-            begin, end = words.starts.tolist(), words.ends.tolist()
+        maybe, held, n = sent.value, [], 0
+        for texts, rows_, grams in _grams(batches):
+            ids = rows_.column("id").to_numpy()[texts.first :][grams.words.owner]
             for size in range(1, LONGEST + 1):
                 at = grams.starts(size, maybe)
                 at = at[marked(maybe, grams.hashes[size - 1][at])]
+                held.append((grams.hashes[size - 1][at], grams.times[at], ids[at]))
+            held = [_joined(held)]
+            if len(held[0][0]) >= PHRASES:
+                yield rows(*held.pop())
+        if held:
+            yield rows(*held.pop())
 
-                def phrase(i, at=at, size=size):
-                    k = at[i]
-                    return names[code[words.owner[k]]], size, b" ".join([raw[begin[j] : end[j]] for j in range(k, k + size)])
+    return run
 
-                if len(at):
-                    tally.add(grams.hashes[size - 1][at], grams.times[at], phrase)
-            if len(tally.rows) > PHRASES:
-                yield tally.batch()
-                tally = Tally()
-        yield tally.batch()
+
+def _summed(least: int):
+    """Counts by hash of each range: of those that reach ``least``, or of all in parts where a range has very many."""
+
+    def rows(held: list[tuple[np.ndarray, ...]], from_: int) -> pa.RecordBatch:
+        hashes, counts, ids = _joined(held)
+        good = counts >= from_
+        return pa.RecordBatch.from_arrays([pa.array(hashes[good].view(np.int64)), pa.array(counts[good]), pa.array(ids[good])], names=["hash", "f", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n, from_ = -1, [], 0, least
+        for batch in batches:
+            for r, keys, counts, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now and held:
+                    yield rows(held, from_)
+                    held, n, from_ = [], 0, least
+                now, hashes = r, _keys(r, keys, 64)
+                held.append((hashes, unpacked(counts, len(hashes)).astype(np.int64) + 1, np.frombuffer(ids, np.int64)))
+                n += len(hashes)
+                if n >= HELD:
+                    held = [_joined(held)]
+                    n = len(held[0][0])
+                    if 2 * n >= HELD:
+                        yield rows(held, 1)
+                        held, n, from_ = [], 0, 1
+        if held:
+            yield rows(held, from_)
 
     return run
 
 
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases that a chunk was noted for: rows (lang, owned, chunk, times, hash, f), the last two lists."""
+    for texts, rows, grams in _grams(batches):
+        part, words, raw = rows.slice(texts.first, len(texts)), grams.words, texts.data.tobytes()
+        noted = part.column("hash").combine_chunks()
+        wanted = noted.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(noted.offsets.to_numpy()))
+        counts, lang = part.column("f").combine_chunks().flatten().to_numpy(), part.column("lang").to_pylist()
+        order = np.argsort(wanted, kind="stable")
+        wanted, owner, counts, found = wanted[order], owner[order], counts[order], []
+        for size in range(1, LONGEST + 1):
+            at = grams.starts(size)
+            hashes = grams.hashes[size - 1][at]
+            # Rows with the same hash, if any, follow each other.
+            low, high = np.searchsorted(wanted, hashes), np.searchsorted(wanted, hashes, side="right")
+            for i in np.flatnonzero(high > low).tolist():
+                for k in range(low[i], high[i]):
+                    if owner[k] == words.owner[at[i]]:
+                        spans = range(at[i], at[i] + size)
+                        found.append((lang[owner[k]], size, b" ".join([raw[words.starts[j] : words.ends[j]] for j in spans]), int(counts[k])))
+        columns = zip(*dict.fromkeys(found), strict=True) if found else ((), (), (), ())
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([arrays[0], arrays[1], arrays[2].cast(pa.string()), arrays[3]], names=["lang", "size", "phrase", "f"])
+
+
 def frequent_phrases(chunks: DataFrame, least: int) -> DataFrame:
     """Every phrase of 1 to 5 words that occurs ``least`` times or more in its language: lang, size, phrase, f."""
     context = chunks.sparkSession.sparkContext
     pairs = _map(chunks, range(1, 3), least)
     longer = _map(chunks, range(3, LONGEST + 1), least, context.broadcast(pairs))
-    found = chunks.mapInArrow(_spelt(context.broadcast(pairs | longer)), "lang string, size int, phrase string, f bigint")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    named = chunks.withColumn("id", F.xxhash64("lang", "owned", "chunk"))
+    sums = named.mapInArrow(_located(context.broadcast(pairs | longer)), "range int, keys binary, counts binary, ids binary")
+    sums = sums.repartition("range").sortWithinPartitions("range").mapInArrow(_summed(least), "hash bigint, f bigint, id bigint")
+    found = sums.groupBy("hash").agg(F.sum("f").alias("f"), F.min("id").alias("id")).where(F.col("f") >= least)
+    noted = found.groupBy("id").agg(F.collect_list(F.struct("hash", "f")).alias("noted"))  # at most the phrases of a chunk
+    told = named.join(noted, "id").select("lang", "owned", "chunk", "times", F.col("noted.hash").alias("hash"), F.col("noted.f").alias("f"))
+    return told.mapInArrow(_spelt, "lang string, size int, phrase string, f bigint").distinct()
 
 
 def _inside(words: Column, size: Column) -> Column:

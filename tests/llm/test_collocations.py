@@ -74,6 +74,7 @@ def test_phrases_are_those_of_all_runs(spark, monkeypatch, period):
 def test_limits_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(op, "PHRASES", 20)
     monkeypatch.setattr(op, "AT_ONCE", 2000)
+    monkeypatch.setattr(op, "HELD", 2)  # so that ranges are summed in parts
     rows = corpus(60, 8)
     assert found(spark, rows, least=9, first=7, share=80) == brute(rows, 9, 7, 80)
     assert found(spark, []) == [] and found(spark, rows[-5:]) == brute(rows[-5:], 100)
@@ -97,12 +98,10 @@ def test_numbers_are_packed_and_unpacked():
     for values in ([], [0, 0], [1, 255, 256], [1 << 40, 3]):
         numbers = np.array(values, np.uint64)
         assert op.unpacked(op.packed(numbers), len(values)).tolist() == values
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 5000).astype(np.uint64))
-    batch = op._handed_on(keys, np.ones(len(keys), np.int64))
-    width, got = (1 << 32) // op.RANGES, []
-    for r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        got += (np.cumsum(op.unpacked(data[4:], int(np.frombuffer(data, np.uint32, 1)[0]))) + np.uint64(r * width)).tolist()
-    assert got == keys.tolist()
+    for bits in (32, 64):
+        keys = np.unique(np.random.default_rng(1).integers(0, 1 << bits, 5000, dtype=np.uint64))
+        got = [op._keys(r, data, bits) for r, _, _, data in op._by_range(keys, bits)]
+        assert np.concatenate(got).tolist() == keys.tolist()
 
 
 def test_scores_beyond_64_bits(spark):
