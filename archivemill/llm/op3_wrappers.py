@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,6 +36,10 @@ TEMPLATE_PAGES = 3
 MAIN_SHARE = 0.6
 #: Longer texts are kept in wrappers as their digests.
 TEMPLATE_CHARS = 200
+#: Elements below this depth stand side by side in the tree; browsers do the same at a depth of 512.
+DEPTH = 256
+#: Parts of an element that a wrapper keeps: those on most pages, of these the longest.
+PARTS_KEPT = 256
 #: Counts of texts that a task holds before it gives them out.
 HELD_COUNTS = 1 << 17
 #: Partial wrappers of a host are aligned in so many groups first.
@@ -77,7 +81,8 @@ ENDS_PARAGRAPH = BLOCK - {"br", "body", "html", "title", "caption", "td", "th",
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    # A tag that another one starts in, outside quotes, is text: so no stretch is searched more than three times.
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/<>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -133,21 +138,39 @@ def _attributes(source: str) -> tuple[tuple[str, ...], bool, tuple[str, ...]]:
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; tags that are left open or never opened are tolerated."""
+    """The tree of a page; tags that are left open or never opened are tolerated.
+
+    Elements nested more than ``DEPTH`` deep stand side by side, in the order of their texts; one in a part that is
+    left out is left out with it.  The time is linear in the page.
+    """
     root = Node("#page")
     stack, at = [root], 0
+    levels: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a name are in the stack
+
+    def attach(node: Node) -> None:
+        if len(stack) <= DEPTH:
+            stack[-1].children.append(node)
+        else:
+            node.hidden = node.hidden or _excluded(stack[-1], True)
+            stack[DEPTH - 1].children.append(node)
 
     def add_text(raw: str, decode: bool = True) -> None:
-        if raw:
-            stack[-1].children.append(Node("#", text=unescape(raw) if decode else raw))
+        if not raw:
+            return
+        top = stack[-1]
+        if len(stack) > DEPTH and stack[DEPTH - 1].children[-1] is not top:  # goes on behind a deeper element
+            again = Node(top.name, top.marks, top.hidden)
+            again.named = top.named
+            stack[DEPTH - 1].children.append(again)
+            stack[-1] = top = again
+        top.children.append(Node("#", text=unescape(raw) if decode else raw))
 
     def close(names: set[str], stops: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in stops:
-                return
+        innermost = max((levels[n][-1] for n in names if levels[n]), default=0)
+        if innermost and innermost > max((levels[n][-1] for n in stops if levels[n]), default=0):
+            for node in stack[innermost:]:
+                levels[node.name].pop()
+            del stack[innermost:]
 
     while found := _TOKEN.search(html, at):
         add_text(html[at : found.start()])
@@ -156,7 +179,7 @@ def parse(html: str) -> Node:
         if not name:
             add_text(found["cdata"] or "", decode=False)
         elif found["end"]:
-            if name == "p" and all(n.name != "p" for n in stack):
+            if name == "p" and not levels["p"]:
                 continue
             close({name}, {"article", "table"} - {name} if name not in ("html", "body") else set())
         else:
@@ -167,11 +190,12 @@ def parse(html: str) -> Node:
             marks, hidden, named = _attributes(found["attributes"])
             node = Node(name, marks, hidden)
             node.named = named
-            stack[-1].children.append(node)
+            attach(node)
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             elif name not in VOID and not found["attributes"].rstrip().endswith("/"):
+                levels[name].append(len(stack))
                 stack.append(node)
     add_text(html[at:])
     return root
@@ -215,6 +239,14 @@ def _same(nodes: list[Node]) -> Node:
     return first
 
 
+def _kept(nodes: list[Node]) -> list[Node]:
+    """The parts that a wrapper keeps, in their order; it does not grow with the pages."""
+    if len(nodes) <= PARTS_KEPT:
+        return nodes
+    best = sorted(range(len(nodes)), key=lambda i: (-nodes[i].pages, -nodes[i].chars, i))[:PARTS_KEPT]
+    return [nodes[i] for i in sorted(best)]
+
+
 def as_wrapper(page: Node) -> Node:
     """A page as a wrapper of its own; white space is no text."""
     out = Node(page.name, page.marks, text=page.text)
@@ -226,6 +258,7 @@ def as_wrapper(page: Node) -> Node:
             out.text = f"#{hashlib.sha256(out.text.encode(errors='surrogatepass')).hexdigest()}"
     else:
         out.chars = sum(c.chars for c in out.children)
+        out.children = _kept(out.children)
     return out
 
 
@@ -242,6 +275,7 @@ def align(a: Node, b: Node, same_page: bool = False) -> Node:
             only = left[x] if x is not None else right[y]
             only.optional = True
             out.children.append(only)
+    out.children = _kept(out.children)
     return out
 
 
@@ -502,7 +536,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     A null or empty html has the empty text; pages without a host share the wrapper of the
     empty host; repeated rows come back each; whole pages count; an empty table gives no rows;
-    other columns are not read.
+    other columns are not read.  Any nesting and any unclosed tags or quotes are taken (``parse``).
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

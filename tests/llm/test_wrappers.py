@@ -1,3 +1,6 @@
+import json
+import time
+
 from archivemill.llm import op3_wrappers as op
 
 
@@ -81,3 +84,36 @@ def test_odd_pages(spark):
     found = [(r.page_id, r.text) for r in op.main_text(pages).collect()]
     assert sorted(found, key=str) == sorted([(1, ""), (2, ""), (3, "a"), (3, "a"), (None, "<" * 5000), (4, "z")], key=str)
     assert op.main_text(pages.limit(0)).count() == 0
+
+
+def test_hostile_pages_end_soon():
+    deep = "<div>" * 5000 + "<nav><p>menu</p></nav>" + "in<b>si</b>de <p>last</p>" + "</div>" * 5000 + "<p>after</p>"
+    pages = [
+        deep, "<a " * 300_000, "<a <b" * 200_000, '<a href="x' * 100_001, "<a '\"" * 200_001, "<x><table>" + "<div>" * 50_000 + "</x>" * 50_000,
+        "<p>" + "<!--" * 100_000, "<i>" * 100_000 + "word", "".join(f"<t{i}>{i}</t{i}>" for i in range(3000)),
+    ]
+    for page in pages:
+        start = time.perf_counter()
+        wrapper = op.as_wrapper(op.parse(page))
+        again = op.Node.unpack(json.loads(json.dumps(op.align(wrapper, op.as_wrapper(op.parse(page + "<p>x</p>"))).pack())))
+        op.main_place(again), op.varies(again), op.texts_of(op.parse(page)), op.expression(again)
+        op.extract(page, {"template": [1], "main": "/div"})
+        assert time.perf_counter() - start < 15, page[:20]
+    words = "".join(op.extract(deep).split())
+    assert words == "insidelastafter"
+
+
+def test_deep_parts_keep_order_and_what_is_left_out():
+    def page(n):
+        inner = "one<div>two</div>three<div class='comments'>no<div>no</div>no</div><ul><li>four<li>five</ul>six<br>seven"
+        return "<article>" + "<div>" * n + inner + "</div>" * n + "<p>end</p></article><p>outside</p>"
+
+    assert op.extract(page(1000)) == op.extract(page(3)) == "one\ntwo\nthree\nfour\nfive\nsix\nseven\nend"
+
+
+def test_wrappers_do_not_grow_with_pages():
+    pages = [op.as_wrapper(op.parse("<p>same</p>" + "".join(f"<t{i}x{n}>w</t{i}x{n}>" for i in range(100)))) for n in range(12)]
+    wrapper = pages[0]
+    for page in pages[1:]:
+        wrapper = op.align(wrapper, page)
+    assert len(wrapper.children) == op.PARTS_KEPT and wrapper.children[0].pages == 12
