@@ -28,6 +28,9 @@ FILE_COSINE = 0.6
 #: Least cosine of a text and a full licence text, whose common words alone are like those of other long texts.
 LICENCE_COSINE = 0.85
 
+#: File names of licences; such a file hands down what its whole text is like, a file of another name only a full licence text.
+LICENCE_NAME = r"(?i)(^|/)((un)?licen[cs]es?|copying|notice)([._-][^/]*)?$"
+
 # Wordings of notices and openings of licences, with SPDX names.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
@@ -282,9 +285,11 @@ def _scored(rows: DataFrame, docs: DataFrame, text: str, documents: int) -> Data
         .where(F.col("cosine") >= F.col("least"))
     )
     order = F.struct(F.col("name") != "Proprietary", "cosine", -F.col("at"))  # "All rights reserved" stands beside other notices
+    full = F.col("least") == LICENCE_COSINE
     best = {
-        kind: F.max_by(F.struct("name", "cosine"), F.when(F.col("whole") == whole, order))
-        for kind, whole in (("header", False), ("file", True))
+        "header": F.max_by(F.struct("name", "cosine"), F.when(~F.col("whole"), order)),
+        "like": F.max_by(F.struct("name", "cosine"), F.when(F.col("whole") & ~full, order)),
+        "full": F.max_by(F.struct("name", "cosine"), F.when(F.col("whole") & full, order)),
     }
     return norms.groupBy("_row").agg(*(value.alias(kind) for kind, value in best.items()))
 
@@ -298,9 +303,11 @@ def _directory(path: Column) -> Column:
 def licenses(docs: DataFrame, path: Column, matcher: Matcher, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ``key``, path, licence, how it is known, cosine and the licence file's path.
 
-    ``how`` is header (a notice in the text), file (the text is a licence), inherited, or null
-    with a null licence.  A licence as a whole goes before a notice in it.  Of several licence
-    files in a directory the one with the highest cosine counts, then the least path.  Null and empty texts
+    ``how`` is header (a notice in the text), file (the text as a whole is a licence or a notice), inherited, or null
+    with a null licence.  A licence as a whole goes before a notice in it.  Only a full licence text under any name, or
+    a file with a licence's name (``LICENCE_NAME``) that is like a notice as a whole, hands down to its directory and those
+    below, and never "All rights reserved".  Of several such files in a directory the one with the highest cosine counts,
+    then the least path.  Null and empty texts
     only inherit; a null path is at the top; repeated rows come back each; an empty table
     gives no rows; other columns are not read.
     """
@@ -315,14 +322,17 @@ def licenses(docs: DataFrame, path: Column, matcher: Matcher, key: str = "doc_id
     rows = docs.select(key, path.alias("_path"), text).mapInArrow(run, f"`{key}` {kind}, path string, units {_UNITS_SQL}")
     rows = staged(rows.withColumn("directory", _directory(F.col("path"))).withColumn("_row", F.monotonically_increasing_id()), "candidates")
     scored = staged(_scored(rows.where(F.size("units") > 0), docs, text, matcher.documents), "licences")
+    named = F.col("path").rlike(LICENCE_NAME) & (F.col("like.name") != "Proprietary")
+    file = F.coalesce("full", "like")
     rows = rows.drop("units").join(scored, "_row", "left").select(
         key, "path", "directory", F.col("header.name").alias("header"), F.col("header.cosine").alias("header_cosine"),
-        F.col("file.name").alias("file"), F.col("file.cosine").alias("file_cosine"),
+        file["name"].alias("file"), file["cosine"].alias("file_cosine"),
+        (F.col("full").isNotNull() | F.coalesce(named, F.lit(False))).alias("hands_down"),
     )
     rows = staged(rows, "notices")
     best = F.struct(-F.col("file_cosine"), F.col("path"))
     files = (
-        rows.where(F.col("file").isNotNull()).groupBy(F.col("directory").alias("above"))
+        rows.where("hands_down").groupBy(F.col("directory").alias("above"))
         .agg(F.min_by("file", best).alias("licence"), F.min_by("path", best).alias("from_path"), F.max("file_cosine").alias("from_cosine"))
     )
     parts = F.when(F.col("directory") == "", F.array().cast("array<string>")).otherwise(F.split("directory", "/"))

@@ -90,3 +90,19 @@ def test_wrapped_embedded_and_full_texts(spark):
     docs = spark.createDataFrame([(i, p, t) for i, (p, (_, _, t)) in enumerate(texts.items())], "doc_id int, path string, text string")
     found = {r.path: (r.licence, r.how) for r in op.licenses(docs, docs["path"], op.Matcher(*op.document_frequencies(docs))).collect()}
     assert found == {p: (name, how) for p, (name, how, _) in texts.items()}
+
+
+def test_only_licence_files_hand_down(spark):
+    gpl = dict(op.licence_texts())["GPL-3.0"]
+    notice = "Released under the MIT License."
+    rows = {
+        "a/note.txt": (notice, "MIT", "file"), "a/x.py": ("code", None, None),
+        "b/LICENCE.md": (notice, "MIT", "file"), "b/x.py": ("code", "MIT", "inherited"),
+        "c/COPYING": ("A.\nAll rights reserved.", "Proprietary", "file"), "c/x.py": ("code", None, None),
+        "d/text": (gpl, "GPL-3.0", "file"), "d/e/x.py": ("code", "GPL-3.0", "inherited"),
+        "e/license_check.py": ("code", None, None), "f/unlicense": (notice, "MIT", "file"), "f/x.py": (None, "MIT", "inherited"),
+        "g/my-license": (notice, "MIT", "file"), "g/x.py": ("code", None, None),
+    }
+    docs = spark.createDataFrame([(i, p, t) for i, (p, (t, _, _)) in enumerate(rows.items())], "doc_id int, path string, text string")
+    found = {r.path: (r.licence, r.how) for r in op.licenses(docs, docs["path"], op.Matcher(*op.document_frequencies(docs))).collect()}
+    assert found == {p: (a, b) for p, (_, a, b) in rows.items()}
