@@ -93,7 +93,8 @@ def token_counts(
 
     def stored() -> DataFrame:
         kept = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version_digest)
-        return kept.select("content", F.col("n_tokens").alias("_count"))
+        # A digest that two runs, or a repeated commit, have stored counts once.
+        return kept.groupBy("content").agg(F.first("n_tokens").alias("count"))
 
     content = F.unhex(F.sha2(normalise(docs[text]), 256))
     misses = (
@@ -107,9 +108,9 @@ def token_counts(
         .withColumn("tokenizer", F.lit(version_digest))
         .write.mode("append").partitionBy("tokenizer").parquet(cache)
     )
-    others = [docs[c].alias(c) for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "_content", "_count")]
-    rows = docs.select(*others, F.octet_length(text_or_empty(docs[text])).cast("long").alias("n_bytes"), content.alias("_content"))
-    counts = stored()
-    return rows.join(counts, rows["_content"] == counts["content"], "left").select(
-        *(c for c in rows.columns if c != "_content"), F.col("_count").alias("n_tokens")
+    # The rows' own columns travel in a struct, so that no name clashes.
+    own = F.struct(*(docs[c] for c in docs.columns if c not in (text, "n_bytes", "n_tokens")), F.octet_length(text_or_empty(docs[text])).cast("long").alias("n_bytes"))
+    return (
+        docs.select(content.alias("content"), own.alias("own")).join(stored(), "content", "left")
+        .select("own.*", F.col("count").alias("n_tokens"))
     )

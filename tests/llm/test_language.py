@@ -90,3 +90,16 @@ def test_the_sentencepiece_model_has_its_own_counts(spark, tmp_path):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {r.doc_id: r.n_tokens for r in counts.token_counts(docs, path, cache).collect()}
     assert found == {1: len(model.encode("Hello  world")), 2: 0, 3: 0}
+
+
+def test_a_digest_stored_twice_counts_once_and_no_column_is_lost(spark, tmp_path):
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "c", 7, 8, 9)], "doc_id int, text string, _content int, _count int, content int")
+    counts.token_counts(docs, path, cache).collect()
+    stored = spark.read.parquet(cache).collect()
+    spark.createDataFrame(stored, "content binary, n_tokens bigint, tokenizer string").write.mode("append").partitionBy("tokenizer").parquet(cache)
+    again = counts.token_counts(docs, path, cache)
+    assert again.columns == ["doc_id", "_content", "_count", "content", "n_bytes", "n_tokens"]
+    assert sorted((r.doc_id, r["_content"], r["_count"], r.content) for r in again.collect()) == [(1, 7, 8, 9), (2, 7, 8, 9)]
