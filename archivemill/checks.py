@@ -183,6 +183,13 @@ _VIEWS = {
 }
 
 
+# Views that are written in order, with that order.
+_ORDERED = {
+    "view_retweet_graph": "source, target", "view_user_stats": "author_id",
+    "view_author_hashtag": "CAST(author_id AS BIGINT), hashtag", "view_author_hashtag_stats": "CAST(author_id AS BIGINT)",
+}
+
+
 def _rows(name: str, columns: list[str], sql: str) -> str:
     cells = ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '~')" for c in sorted(columns))
     return f"SELECT '{name}' AS name, concat_ws('|', {cells}) AS row_text FROM ({sql})"
@@ -200,6 +207,11 @@ def _whole_runs(checks: dict[str, str]) -> dict[str, str]:
     ]
     return {
         "stored_contents": " UNION ALL ".join(tables + views),
+        "views_kept_up": " UNION ALL ".join(views[:-1]),
+        "ordered_views": " UNION ALL ".join(
+            _rows(view, names.split(), checks[query]).replace(" AS row_text", f" AS row_text, row_number() OVER (ORDER BY {_ORDERED[view]}) - 1 AS place")
+            for view, (query, names) in _VIEWS.items() if view in _ORDERED
+        ),
         "parsed_in_halves": " UNION ALL ".join(tables),
         "inferred_run": " UNION ALL ".join(inferred),
     }

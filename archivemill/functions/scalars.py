@@ -68,6 +68,23 @@ def path_time(path: Column) -> Column:
     return F.concat(path_date(path), F.lit(" "), F.substr(clock, F.lit(1), F.lit(5)), F.lit(":00"))
 
 
+def one_line(text: Column) -> Column:
+    """A text without line ends: LF, CR and the backslash become two characters each."""
+    for raw, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(raw), F.lit(written))
+    return text
+
+
+def from_one_line(text: Column) -> Column:
+    """What ``one_line`` was made from."""
+
+    def ends(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    whole = F.array_join(F.transform(F.split(text, r"\\\\"), ends), "\\")
+    return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Timestamps as ``yyyy-MM-dd HH:mm:ss`` text, the form of the CSV files."""
     return df.select(

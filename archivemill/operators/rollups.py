@@ -40,8 +40,28 @@ def retweet_graph(network_retweet: DataFrame) -> DataFrame:
     return edges.select(_text("source"), _text("target"), "weight")
 
 
+def edge_marks(network_retweet: DataFrame) -> DataFrame:
+    """One row, of weight 1, for each retweet with both ends."""
+    ends = network_retweet.select("author_id", "original_author_id", F.lit(1).cast("long").alias("weight"))
+    return ends.filter(F.col("author_id").isNotNull() & F.col("original_author_id").isNotNull())
+
+
+def named_edges(counts: DataFrame) -> DataFrame:
+    return counts.select(_text("author_id").alias("source"), _text("original_author_id").alias("target"), "weight")
+
+
 def user_stats(metadata: DataFrame, network_retweet: DataFrame) -> DataFrame:
     """Messages written, retweets made and retweets received per author."""
+    marks = user_marks(metadata, network_retweet)
+    return named_users(marks.groupBy("author_id").agg(*(F.sum(c).alias(c) for c in ("tw_num", "do_rt_num", "get_rt_num"))))
+
+
+def named_users(counts: DataFrame) -> DataFrame:
+    return counts.select(_text("author_id"), "tw_num", "do_rt_num", "get_rt_num")
+
+
+def user_marks(metadata: DataFrame, network_retweet: DataFrame) -> DataFrame:
+    """One row for each message and each end of a retweet, with a 1 in its column."""
     # Both ends of an edge come from one pass over the network.
     end = F.inline(
         F.array(
@@ -60,23 +80,18 @@ def user_stats(metadata: DataFrame, network_retweet: DataFrame) -> DataFrame:
 
     posts = metadata.select("author_id", *marks(F.lit(1), F.lit(0), F.lit(0)))
     links = ends.select("author_id", *marks(F.lit(0), F.col("made"), ~F.col("made")))
-    return (
-        posts.unionByName(links)
-        .filter(F.col("author_id").isNotNull())
-        .groupBy("author_id")
-        .agg(*(F.sum(c).alias(c) for c in ("tw_num", "do_rt_num", "get_rt_num")))
-        .select(_text("author_id"), "tw_num", "do_rt_num", "get_rt_num")
-    )
+    return posts.unionByName(links).filter(F.col("author_id").isNotNull())
+
+
+def hashtag_marks(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row, of count 1, for each use of a hashtag by a known author."""
+    uses = hashtags.join(metadata.select("id", "author_id"), "id").filter(F.col("author_id").isNotNull())
+    return uses.select("author_id", "hashtag", F.lit(1).cast("long").alias("count"))
 
 
 def hashtag_counts(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:
     """Uses per (author, hashtag), a missing hashtag included: what both hashtag views are built from."""
-    return (
-        hashtags.join(metadata.select("id", "author_id"), "id")
-        .filter(F.col("author_id").isNotNull())
-        .groupBy("author_id", "hashtag")
-        .agg(F.count("*").alias("count"))
-    )
+    return hashtag_marks(hashtags, metadata).groupBy("author_id", "hashtag").agg(F.sum("count").alias("count"))
 
 
 def author_hashtag(hashtags: DataFrame, metadata: DataFrame) -> DataFrame:

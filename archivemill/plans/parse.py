@@ -14,9 +14,9 @@ from archivemill.operators.decode import POSITION
 from archivemill.operators.latest import distinct_rows, latest_sighting
 from archivemill.operators.tables import DISTINCT_TABLES, LATEST_TABLES, without_counts
 from archivemill.plans.mine import mine_archive
-from archivemill.plans.sinks import remove, write_notices, write_table
+from archivemill.plans.sinks import remove, write_in_order, write_notices, write_table
 from archivemill.plans.staging import stage_path
-from archivemill.plans.views import VIEWS, build_views
+from archivemill.plans.views import VIEWS, build_views, view_order
 from archivemill.schema import TABLES, csv_schema
 from archivemill.sources.archive import Paths, json_lines, mined_lines
 from archivemill.sources.tables import read_table
@@ -84,6 +84,7 @@ def run_parse(
     views: bool = True,
     skip_empty: bool = False,
     split: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """Write every table, the notices, the rejects and the views below ``folder``.
 
@@ -91,7 +92,7 @@ def run_parse(
     output then reads its own part and columns of that.  What an earlier run wrote to the
     folder and this one does not is removed, the views are built from this run's tables only, and
     the stage is dropped at the end.  ``split``: the lines are those of split files, blank ones included, and
-    rejects get their numbers in the files.  Returns the counts per type, embedded and incomplete
+    rejects get their numbers in the files.  ``ordered``: the views stand in the order of their keys.  Returns the counts per type, embedded and incomplete
     messages included.
     """
     spark = lines.sparkSession
@@ -101,14 +102,15 @@ def run_parse(
     try:
         return _write_run(
             spark.read.schema(schema).parquet(path), folder, fmt=fmt, timeline=timeline, hydrated=hydrated,
-            views=views, skip_empty=skip_empty, split=split,
+            views=views, skip_empty=skip_empty, split=split, ordered=ordered,
         )
     finally:
         remove(spark, path)
 
 
 def _write_run(
-    stage: DataFrame, folder: str, *, fmt: str, timeline: bool, hydrated: bool, views: bool, skip_empty: bool, split: bool
+    stage: DataFrame, folder: str, *, fmt: str, timeline: bool, hydrated: bool, views: bool, skip_empty: bool, split: bool,
+    ordered: bool,
 ) -> DataFrame:
     spark = stage.sparkSession
     rows, rest = split_stage(stage)
@@ -136,7 +138,11 @@ def _write_run(
             for name in ("tweet_metadata", "network_retweet", "entities_hashtag", "deleted_tweets")
         }
         views_built = build_views(stored)
-        _run_all([partial(write_table, df, f"{folder}/{n}", fmt=fmt) for n, df in views_built.items()])
+        orders = {name: view_order(name) if ordered else None for name in views_built}
+        _run_all([
+            partial(write_in_order, df, f"{folder}/{n}", orders[n], fmt=fmt) if orders[n] else partial(write_table, df, f"{folder}/{n}", fmt=fmt)
+            for n, df in views_built.items()
+        ])
     else:
         for name in VIEWS:
             remove(spark, f"{folder}/{name}")

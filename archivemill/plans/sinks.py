@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from archivemill.functions.scalars import as_text
+from archivemill.functions.scalars import as_text, one_line
 from archivemill.operators.mining import as_json
 
 
@@ -29,14 +31,25 @@ def write_table(
     if skip_empty and df.isEmpty():
         return False
     if fmt == "csv":
-        # Line feeds inside a quoted field are kept; the reader takes a file as one stream for them.
+        # No field holds a line end, so that one file can be read by many tasks.
         blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-        as_text(df).write.mode(mode).option("header", True).option("escape", '"').options(**blanks).csv(path)
+        text = as_text(df)
+        on_lines = [one_line(F.col(f.name)).alias(f.name) if f.dataType == T.StringType() else f.name for f in text.schema]
+        text.select(*on_lines).write.mode(mode).option("header", True).option("escape", '"').options(**blanks).csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
     return True
 
 
+def write_in_order(df: DataFrame, path: str, order: list[Column], *, fmt: str = "parquet", mode: str = "overwrite") -> bool:
+    """Write a table so that its files, one after the other by name, are sorted.
+
+    Tasks take ranges of the keys, cut by a sample of them, and sort inside; a key may fill
+    one range, so the last of ``order`` should tell equal ones apart.
+    """
+    return write_table(df.repartitionByRange(*order).sortWithinPartitions(*order), path, fmt=fmt, mode=mode)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark writes to; one that is not there is no error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -19,6 +19,8 @@ from archivemill.operators import flatten
 from archivemill.operators.decode import deletions
 from archivemill.operators.latest import distinct_rows, latest_by_key, sighting_order
 from archivemill.operators.tables import DISTINCT_TABLES, LATEST_TABLES
+from archivemill.plans import counts
+from archivemill.plans.counts import COUNTS
 from archivemill.plans.parse import PARALLEL_WRITES, split_stage
 from archivemill.plans.sinks import remove
 from archivemill.plans.staging import stage_path
@@ -33,12 +35,14 @@ Manifest = dict
 
 def stored_schema(name: str) -> str:
     """A table's columns; of the latest-row tables also where the row was read, which decides between equal times."""
+    if name in COUNTS:
+        return COUNTS[name]
     return f"{TABLES[name]}, {_POSITION}" if name in LATEST_TABLES else TABLES[name]
 
 
 def key_of(name: str) -> str:
     """The column that deals a table's rows to buckets: its first one, an id."""
-    return TABLES[name].split()[0]
+    return stored_schema(name).split()[0]
 
 
 def folded(rows: DataFrame, name: str) -> DataFrame:
@@ -98,8 +102,17 @@ def _rows(spark: SparkSession, folder: str, state: Manifest, name: str, buckets:
 
 def read_current(spark: SparkSession, folder: str, name: str, version: int | None = None) -> DataFrame:
     """A table as the latest published run left it, or as that of a version did."""
-    rows = _rows(spark, folder, manifest(spark, folder, version), name)
-    return rows.select(*(part.split()[0] for part in TABLES[name].split(",")))
+    return _current(spark, folder, manifest(spark, folder, version), name)
+
+
+def _current(spark: SparkSession, folder: str, state: Manifest, name: str) -> DataFrame:
+    return _rows(spark, folder, state, name).select(*(part.split()[0] for part in TABLES[name].split(",")))
+
+
+def read_view(spark: SparkSession, folder: str, name: str, version: int | None = None) -> DataFrame:
+    """A view as the latest published run left it, or as that of a version did; from counts that runs keep up."""
+    state = manifest(spark, folder, version)
+    return counts.view(name, lambda count: _rows(spark, folder, state, count), lambda table: _current(spark, folder, state, table))
 
 
 # --- writing -------------------------------------------------------------------
@@ -118,7 +131,7 @@ def parse_more(lines: DataFrame, folder: str, *, buckets: int = BUCKETS, hydrate
 
     The lines are decoded once.  Of each table only the buckets that get rows are read and written anew, so the
     cost follows the new lines as long as they touch few buckets, and never more than a bucket's rows
-    meet.  The result is that of one run over all lines, equal times included, in whatever parts they came;
+    meet.  The counts behind the views get what the rewritten buckets add and take away.  The result is that of one run over all lines, equal times included, in whatever parts they came;
     lines given twice change nothing.  ``buckets`` counts for a new store only.
     """
     spark, run = lines.sparkSession, uuid.uuid4().hex
@@ -142,15 +155,50 @@ def parse_more(lines: DataFrame, folder: str, *, buckets: int = BUCKETS, hydrate
             dealt.write.partitionBy("bucket").parquet(f"{folder}/{name}/run={run}")
             new["tables"].setdefault(name, {}).update(dict.fromkeys(touched, run))
 
-        with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
-            for done in [pool.submit(fold, name, rows) for name, rows in _new_rows(stage, hydrated).items()]:
-                done.result()
+        _side_by_side(fold, _new_rows(stage, hydrated))
+        # A store without counts, as one from before there were any, gets them from all its rows.
+        counted = old if old.get("counts") else {"tables": {}}
+        _side_by_side(lambda name, _: _fold_counts(spark, folder, counted, new, name, run), COUNTS)
+        new["counts"] = True
         publish(spark, folder, new)
     finally:
         remove(spark, path)
     return new["version"]
 
 
+def _side_by_side(job: Callable, items: dict) -> None:
+    with ThreadPoolExecutor(max_workers=PARALLEL_WRITES) as pool:
+        for done in [pool.submit(job, name, item) for name, item in items.items()]:
+            done.result()
+
+
+def _fold_counts(spark: SparkSession, folder: str, old: Manifest, new: Manifest, name: str, run: str) -> None:
+    """Add to a count what the buckets that differ between two manifests gain and lose."""
+    differ = {b for t in counts.SOURCES[name] for b, r in new["tables"].get(t, {}).items() if old["tables"].get(t, {}).get(b) != r}
+    if not differ:
+        return
+    path = stage_path(spark, name)
+    change = counts.delta(name, *(lambda t, state=state: _rows(spark, folder, state, t, sorted(differ)) for state in (old, new)))
+    change.write.parquet(path)
+    try:
+        change = spark.read.schema(COUNTS[name]).parquet(path)
+        bucket = F.pmod(F.xxhash64(key_of(name)), F.lit(new["buckets"])).cast("int")
+        touched = [str(r[0]) for r in change.select(bucket).distinct().collect()]  # at most the number of buckets
+        if touched:
+            total = counts.summed(name, _rows(spark, folder, old, name, touched), change)
+            dealt = total.withColumn("bucket", bucket).hint("rebalance", "bucket")
+            dealt.write.partitionBy("bucket").parquet(f"{folder}/{name}/run={run}")
+            runs = new["tables"].setdefault(name, {})
+            for b in touched:
+                store, place = _place(spark, f"{folder}/{name}/run={run}/bucket={b}")
+                if store.exists(place):
+                    runs[b] = run
+                else:  # all its counts came to nothing
+                    runs.pop(b, None)
+    finally:
+        remove(spark, path)
+
+
 def remove_unused(spark: SparkSession, folder: str, *, keep: int = 1) -> int:
     """Delete manifests but the last ``keep``, and the folders that those left do not name; returns how many folders.
 
@@ -162,7 +210,7 @@ def remove_unused(spark: SparkSession, folder: str, *, keep: int = 1) -> int:
     gone = 0
     for version in found[:-keep]:
         remove(spark, f"{folder}/manifest/{version:012d}.json")
-    for name in TABLES:
+    for name in [*TABLES, *COUNTS]:
         store, place = _place(spark, f"{folder}/{name}")
         if not store.exists(place):
             continue

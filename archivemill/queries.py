@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivemill.functions import scalars
@@ -22,8 +22,8 @@ from archivemill.plans.infer import run_infer
 from archivemill.plans.mine import mine_archive, run_mine
 from archivemill.plans.sinks import write_table
 from archivemill.plans.staging import stage_path, staged
-from archivemill.plans.store import parse_more, read_current
-from archivemill.plans.views import VIEWS
+from archivemill.plans.store import parse_more, read_current, read_view
+from archivemill.plans.views import VIEWS, view_order
 from archivemill.schema import TABLES
 from archivemill.session import configure
 from archivemill.sources.archive import archive_lines, json_lines, read_archive
@@ -481,11 +481,11 @@ def inferred_authors(spark, sf_dir):
 # --- whole runs: what they store is compared row by row --------------------------
 
 
-def _row_texts(name: str, df: DataFrame) -> DataFrame:
-    """Every row as one text, its columns in the order of their names."""
+def _row_texts(name: str, df: DataFrame, *others: str) -> DataFrame:
+    """Every row as one text, its columns in the order of their names; ``others`` stay columns."""
     df = scalars.as_text(df)
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)]
-    return df.select(F.lit(name).alias("name"), F.concat_ws("|", *cells).alias("row_text"))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns) if c not in others]
+    return df.select(F.lit(name).alias("name"), F.concat_ws("|", *cells).alias("row_text"), *others)
 
 
 def _all_rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -512,6 +512,32 @@ def parsed_in_halves(spark, sf_dir):
     return _all_rows({name: read_current(spark, folder, name) for name in TABLES})
 
 
+@query("views_kept_up")
+def views_kept_up(spark, sf_dir):
+    """Every row of every view after three runs, of which the last repeats part of the first."""
+    folder, lines = stage_path(spark, "store"), lines_from_events(spark, sf_dir)
+    for part in ("line % 3 = 2", "line % 3 <> 2", "line % 50 = 1"):
+        parse_more(lines.where(part), folder, buckets=8)
+    return _all_rows({name: read_view(spark, folder, name) for name in VIEWS})
+
+
+@query("ordered_views")
+def ordered_views(spark, sf_dir):
+    """Rows of the views that are written in order, with their places in the files, one file after the other."""
+    folder = stage_path(spark, "run")
+    parse.run_parse(lines_from_events(spark, sf_dir), folder, ordered=True)
+
+    def places(name: str) -> DataFrame:
+        stored = spark.read.parquet(f"{folder}/{name}")
+        rows = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = rows.groupBy("_file").count()  # a row a file
+        before = F.sum("count").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.join(files.select("_file", F.coalesce(before, F.lit(0)).alias("_before")), "_file")
+        return _row_texts(name, rows.withColumn("place", F.col("_before") + F.col("_at")).drop("_file", "_at", "_before"), "place")
+
+    return reduce(DataFrame.unionAll, [places(name) for name in VIEWS if view_order(name)])
+
+
 @query("inferred_run")
 def inferred_run(spark, sf_dir):
     """What the inference run stores, by table."""

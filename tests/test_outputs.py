@@ -10,7 +10,7 @@ from archivemill.operators.mining import withheld_profiles
 from archivemill.plans import staging
 from archivemill.plans.infer import run_infer
 from archivemill.plans.parse import run_parse, tables
-from archivemill.plans.sinks import write_table
+from archivemill.plans.sinks import write_in_order, write_table
 from archivemill.sources.tables import read_table
 from archivemill.streaming.incremental import fold_run
 from tests.messages import ABSENT, deletion, message, user
@@ -159,6 +159,42 @@ def test_csv_keeps_empty_text_and_null_apart(spark, tmp_path):
     assert {r.id: r.hashtag for r in stored.collect()} == {1: "", 2: None, 3: "NA", 4: 'a"b,c'}
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    texts = ["a\nb", "\\n", "\\\\n\r\n", "\\", "", None, 'q"\n,"', "\r", "x\\\n", "plain"]
+    rows = [(i, "en", texts[i % len(texts)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, schema.TABLES["tweet_text"])
+    write_table(df.coalesce(1), str(tmp_path / "tweet_text"), fmt="csv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        stored = read_table(spark, str(tmp_path), "tweet_text", fmt="csv")
+        found = sorted((r.id, r.lang, r.text) for r in stored.collect())
+        tasks = stored.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == rows and tasks > 3 and stored.select("id").columns == ["id"]
+
+
+def test_csv_with_line_ends_in_its_fields_can_still_be_read(spark, tmp_path):
+    (tmp_path / "tweet_text").mkdir()
+    (tmp_path / "tweet_text" / "a.csv").write_text('id,lang,text\n1,en,"a\nb"\n2,en,\\n\n')
+    stored = read_table(spark, str(tmp_path), "tweet_text", fmt="csv", one_line=False)
+    assert {r.id: r.text for r in stored.collect()} == {1: "a\nb", 2: "\\n"}
+
+
+def test_files_written_in_order_are_sorted_one_after_the_other(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id * 7919 % 20011 AS k", "cast(id as string) AS v").repartition(6)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_in_order(df, str(tmp_path / "t"), [F.col("k"), F.col("v")])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    files = sorted(p for p in os.listdir(tmp_path / "t") if p.startswith("part-"))
+    keys = [r.k for f in files for r in spark.read.parquet(str(tmp_path / "t" / f)).collect()]
+    assert len(files) > 2 and keys == sorted(keys) and len(keys) == 20_000
+
+
 def test_inference_outputs(spark, some, tmp_path):
     metadata = tables(some)["tweet_metadata"]
     ids = spark.createDataFrame([(2,)], "id bigint")

@@ -5,7 +5,8 @@ from archivemill.operators.decode import POSITION
 from archivemill.plans import store
 from archivemill.plans.parse import tables
 from archivemill.plans.staging import staged
-from archivemill.plans.store import manifest, parse_more, read_current, remove_unused
+from archivemill.plans.store import manifest, parse_more, publish, read_current, read_view, remove_unused
+from archivemill.plans.views import VIEWS, build_views
 from archivemill.schema import TABLES
 from archivemill.sources.archive import json_lines
 from tests.messages import deletion, message, user
@@ -87,3 +88,43 @@ def test_rejects_name_their_lines(spark, tmp_path, split):
     assert (stage.select("file", "block").distinct().count() > 2) == (split == 64)
     found = sorted((r.file[-6:], r.line, r.value) for r in flatten.rejects(stage, split=True).collect())
     assert found == [(name, i, text) for name, body in texts.items() for i, text in enumerate(body) if text]
+
+
+def tagged(mid, uid, *tags, **fields):
+    entities = {"hashtags": [{"text": t} for t in tags], "urls": [], "user_mentions": []}
+    return message(mid, uid=uid, entities=entities, **fields)
+
+
+def test_views_follow_replaced_rows(spark, lines, tmp_path):
+    """A message that changes hands takes its counts along; the former author's go, and so do buckets left empty."""
+    folder = str(tmp_path / "store")
+    late = "Thu May 02 10:00:00 +0000 2019"
+    retweet = message(50, uid=3, retweeted_status=message(51, uid=9))
+    parts = [
+        [tagged(1, 7, "a", "b"), tagged(2, 7, "a"), tagged(3, 8, "a"), retweet],
+        [tagged(1, 8, "a", "b", created_at=late), tagged(2, 8, "a", created_at=late)],
+        [tagged(4, 7, "c"), deletion(), retweet],
+    ]
+    frames = [lines(*part, block=i) for i, part in enumerate(parts)]
+    whole = frames[0]
+    for i, frame in enumerate(frames):
+        if i:
+            whole = whole.union(frame)
+        parse_more(frame, folder, buckets=32)
+        wanted = build_views(tables(whole))
+        for name in VIEWS:
+            found = read_view(spark, folder, name)
+            assert sorted(map(str, found.collect())) == sorted(map(str, wanted[name].collect())), (i, name)
+    assert {r.author_id: r.tw_num for r in read_view(spark, folder, "view_user_stats").collect()} == {"7": 1, "8": 3, "3": 1, "9": 1}
+    assert "7" in {r.author_id for r in read_view(spark, folder, "view_author_hashtag", version=1).collect()}
+    assert "7" not in {r.author_id for r in read_view(spark, folder, "view_author_hashtag", version=2).collect()}
+
+    state = manifest(spark, folder)  # as a store without counts
+    bare = {"version": 4, "buckets": 32, "tables": {t: r for t, r in state["tables"].items() if t in TABLES}}
+    publish(spark, folder, bare)
+    parse_more(lines(tagged(5, 2, "d"), block=9), folder)
+    wanted = build_views(tables(whole.union(lines(tagged(5, 2, "d"), block=9))))
+    for name in VIEWS:
+        assert sorted(map(str, read_view(spark, folder, name).collect())) == sorted(map(str, wanted[name].collect())), name
+    assert remove_unused(spark, folder) > 0
+    assert read_view(spark, folder, "view_user_stats").count() == wanted["view_user_stats"].count()
