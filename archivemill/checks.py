@@ -224,6 +224,17 @@ _BROKEN = {
           CASE WHEN event_id % 8 < 2 THEN 0 ELSE count(*) END AS n_lines,
           CASE WHEN event_id % 8 < 2 THEN 0 ELSE count(*) - 1 END AS last_line
         FROM events GROUP BY event_id % 8""",
+    "ledger_runs": """
+        SELECT event_id % 8 AS slot, CASE WHEN event_id % 8 < 2 THEN 'broken' ELSE 'mined' END AS state,
+          CASE event_id % 8 WHEN 0 THEN 'cut off' WHEN 1 THEN 'damaged' END AS reason,
+          CASE WHEN event_id % 8 < 2 THEN 2 ELSE 1 END AS tries
+        FROM events GROUP BY event_id % 8""",
+    "latest_on_stream": """
+        SELECT user_id, event_id, event_type, value FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1""",
+    "distinct_on_stream": """
+        SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
+        FROM (SELECT DISTINCT user_id, event_type, ts FROM events)""",
     "mined_archive": f"""WITH {_CARRIED}
         SELECT kind, e AS id, linked, CAST(NULL AS BIGINT) AS broken_slot, CAST(NULL AS VARCHAR) AS reason
         FROM ({_MINED}) WHERE e % 8 >= 2

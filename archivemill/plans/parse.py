@@ -78,7 +78,7 @@ def run_parse(
     folder: str,
     *,
     fmt: str = "parquet",
-    timeline: bool = False,
+    timeline: bool | None = False,
     hydrated: bool = False,
     extended: bool = False,
     views: bool = True,
@@ -92,10 +92,13 @@ def run_parse(
     output then reads its own part and columns of that.  What an earlier run wrote to the
     folder and this one does not is removed, the views are built from this run's tables only, and
     the stage is dropped at the end.  ``split``: the lines are those of split files, blank ones included, and
-    rejects get their numbers in the files.  ``ordered``: the views stand in the order of their keys.  Returns the counts per type, embedded and incomplete
+    rejects get their numbers in the files.  ``ordered``: the views stand in the order of their keys.  ``timeline=None``
+    finds out from all lines whether the source has quote and reply counts, which reads them once more.  Returns the counts per type, embedded and incomplete
     messages included.
     """
     spark = lines.sparkSession
+    if timeline is None:
+        timeline = decode.counts_probe(lines).first().timeline
     path = stage_path(spark, "sightings")
     flatten.everything(lines, extended=extended).write.partitionBy("part").parquet(path)
     schema = flatten.everything(lines, extended=extended).schema

@@ -19,6 +19,7 @@ from archivemill.operators.carry import carry_in_ranges
 from archivemill.operators.tables import linked_tweet, linked_user, without_counts
 from archivemill.plans import parse
 from archivemill.plans.infer import run_infer
+from archivemill.plans.ledger import current, mine_due
 from archivemill.plans.mine import mine_archive, run_mine
 from archivemill.plans.sinks import write_table
 from archivemill.plans.staging import stage_path, staged
@@ -30,6 +31,7 @@ from archivemill.sources.archive import archive_lines, json_lines, read_archive
 from archivemill.sources.archive import mined_lines as stored_mined_lines
 from archivemill.sources.events import lines_from_events
 from archivemill.sources.tables import read_table
+from archivemill.streaming.latest import distinct_changes, latest_changes, stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -602,6 +604,52 @@ def mined_archive(spark, sf_dir):
     )
 
 
+@query("ledger_runs")
+def ledger_runs(spark, sf_dir):
+    """What the ledger says of each file of an archive with broken ones, after three runs of at most two tries a file."""
+    root, folder, book = _damaged_archive(spark, sf_dir), stage_path(spark, "mined"), stage_path(spark, "ledger")
+    for _ in range(3):
+        mine_due(spark, root, folder, book, most_tries=2)
+    return current(spark, book).select(_slot(F.col("path")).alias("slot"), "state", "reason", "tries")
+
+
+# --- streams ---------------------------------------------------------------------
+
+
+def _as_stream(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a stream of about three batches over written files, and the folder of the stream's state."""
+    folder = stage_path(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    files = len(rows.sparkSession.read.parquet(folder).inputFiles())
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(folder)
+    return stream, stage_path(rows.sparkSession, f"{name}-state")
+
+
+_EVENT = ("user_id", "event_id", "event_type", "value", "ts")
+
+
+@query("latest_on_stream")
+def latest_on_stream(spark, sf_dir):
+    """Latest event of each user, from a stream in no order of time; a fifth of the rows come twice."""
+    events = _read(spark, sf_dir, "events").select(*_EVENT)
+    mixed = events.unionAll(events.where("event_id % 5 = 0")).repartition(6, F.xxhash64("event_id", "value"))
+    stream, state = _as_stream(mixed, "latest-stream")
+    out, order = stage_path(spark, "latest-changes"), ["ts", "event_id"]
+    stream_changes(latest_changes(stream, ["user_id"], [(c, True) for c in order]), out, state).awaitTermination()
+    changes = spark.read.schema(stream.schema).parquet(out)
+    return latest.latest_by_key(changes, ["user_id"], [F.col(c).desc_nulls_last() for c in order]).drop("ts")
+
+
+@query("distinct_on_stream")
+def distinct_on_stream(spark, sf_dir):
+    """Distinct rows of a stream in no order of time; the rows of a fifth of the users come twice."""
+    events = _read(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    stream, state = _as_stream(events.unionAll(events.where("user_id % 5 = 0")).repartition(6), "distinct-stream")
+    out = stage_path(spark, "distinct-changes")
+    stream_changes(distinct_changes(stream, "ts", "1 day"), out, state).awaitTermination()
+    return latest.distinct_rows(spark.read.schema(stream.schema).parquet(out))
+
+
 @query("rejected_line_numbers")
 def rejected_line_numbers(spark, sf_dir):
     """Rejected lines of a folder of files, with their numbers there; every seventh line is followed by a blank one."""

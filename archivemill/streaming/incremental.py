@@ -2,61 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivemill.operators.latest import distinct_rows, latest_by_key
 from archivemill.operators.mining import as_json, mine_read
 from archivemill.operators.tables import LATEST_TABLES
-from archivemill.plans.sinks import remove, write_mined
+from archivemill.plans.ledger import mine_due
 from archivemill.plans.staging import staged
 from archivemill.schema import TABLES
-from archivemill.sources.archive import read_archive, stream_archive
+from archivemill.sources.archive import stream_archive
 
 
 def mine_new_files(
-    spark: SparkSession, root: str, folder: str, checkpoint: str, *, files_per_batch: int = 10_000
+    spark: SparkSession, root: str, folder: str, ledger: str, *, files_per_batch: int = 10_000, most_tries: int = 3
 ) -> None:
     """Mine the files that came since the last call, then stop.
 
-    A stream of file names only: a batch reads its files like any archive and replaces the one
-    subfolder it owns, so a repeated batch leaves no doubles.  The subfolder's name has the
-    checkpoint's own id in it: a run with a new checkpoint never touches what an earlier one wrote.
-    A file that is not intact yet, say because it is still being uploaded, stands in the batch's report;
-    every later call tries it again into a subfolder of its own, which then holds its lines or its report.
+    ``plans.ledger`` knows what was mined.  A file that is not intact yet, say because it is still being uploaded,
+    is tried ``most_tries`` times, and anew when it has been written to; the subfolder
+    ``batch=report`` lists such files.  With a new ledger every file is mined, and nothing that was mined before is touched.
     """
-    run = _run_id(spark, checkpoint)
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.bz2")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(root)
-        .select(F.col("_metadata.file_path").alias("path"))
-    )
-
-    def mine_into(paths: list[str], name: str) -> None:
-        write_mined(mine_read(read_archive(spark, paths)), f"{folder}/batch={name}", mode="overwrite")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        paths = [row.path for row in batch.collect()]  # at most files_per_batch
-        if paths:
-            mine_into(paths, f"{run}-{batch_id}")
-
-    for old in _unfinished(spark, folder):
-        first, _, times = old.batch.partition(".")
-        mine_into(old.paths, f"{first}.{int(times or 0) + 1}")  # the same name if this call is repeated
-        remove(spark, f"{folder}/batch={old.batch}/kind=unusable")
-    query = (
-        files.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    mine_due(spark, root, folder, ledger, files_per_batch=files_per_batch, most_tries=most_tries)
 
 
 def stream_mining(spark: SparkSession, root: str, folder: str, checkpoint: str):
@@ -72,31 +39,6 @@ def stream_mining(spark: SparkSession, root: str, folder: str, checkpoint: str):
     )
 
 
-def _run_id(spark: SparkSession, checkpoint: str) -> str:
-    """An id kept beside the checkpoint; a new checkpoint has a new one."""
-    place = f"{checkpoint}-run"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder) or not store.exists(spark._jvm.org.apache.hadoop.fs.Path(place)):
-        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.mode("overwrite").text(place)
-    return spark.read.text(place).first().value
-
-
-def _unfinished(spark: SparkSession, folder: str) -> list:
-    """``(batch, paths)`` of the batches with files that were not intact.
-
-    Only the reports are read.  A batch is bounded by its number of files.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    mined = spark.read.option("basePath", folder).text(folder)
-    if not {"kind", "batch"} <= set(mined.columns):
-        return []
-    broken = mined.where("kind = 'unusable'").select("batch", F.get_json_object("value", "$.path").alias("path"))
-    return broken.groupBy(F.col("batch").cast("string").alias("batch")).agg(F.collect_set("path").alias("paths")).collect()
-
-
 def fold_table(stored: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """A stored table with newly parsed rows: the latest row of each key, or the distinct rows.
 

@@ -127,7 +127,8 @@ def distinct_changes(rows: DataFrame, time: str, delay: str) -> DataFrame:
     _with_state(rows.sparkSession)
     columns = rows.columns
     # The watermark is taken from a copy of the time: by the column itself Spark would drop the late rows.
-    timed = rows.withColumn("_at", F.unix_millis(time)).withColumn("_clock", F.col(time) + F.expr("INTERVAL 0 SECOND"))
+    at = F.col(time).cast("timestamp")
+    timed = rows.withColumn("_at", F.unix_millis(at)).withColumn("_clock", at + F.expr("INTERVAL 0 SECOND"))
     watched = _plain(timed.withWatermark("_clock", delay).select(*columns, "_at"))
     schema = StructType([*(StructField(c, watched.schema[c].dataType) for c in columns), StructField(_LATE, BooleanType())])
     found = watched.groupBy(*columns).transformWithState(_Distinct(columns), schema, outputMode="Append", timeMode="EventTime")

@@ -81,3 +81,13 @@ def test_type_priority(lines):
     )
     rows = flatten.levels(df).filter("depth = 0").orderBy("line").collect()
     assert [r.tweet_type for r in rows] == ["tweet", "reply", "quote", "quote", "retweet", "tweet", "tweet"]
+
+
+def test_a_run_finds_out_about_counts_itself(lines, tmp_path):
+    bare = {k: v for k, v in message(1).items() if k not in ("reply_count", "quote_count")}
+    bare["in_reply_to_status_id"] = None
+    for name, wanted in (("bare", False), ("full", True)):
+        found = lines(bare if name == "bare" else message(2, in_reply_to_status_id=None, reply_count=1, quote_count=2))
+        parse.run_parse(found, str(tmp_path / name), timeline=None, views=False)
+        stored = found.sparkSession.read.parquet(str(tmp_path / name / "tweet_metadata"))
+        assert ("quote_count" in stored.columns) == wanted
