@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.llm import tokens
+from archivemill.llm.shared import staged
 from archivemill.llm.tokens import Texts
 
 #: Bound of the sample that the field is fitted to: documents, and lines of them together.
@@ -158,7 +159,8 @@ def train(
     """Fit the field to a sample of labelled documents, bounded by ``most_docs`` and ``most_lines``.
 
     The sample are the labelled keys with the smallest hash, less those held out and those
-    without a key or label.  Features are computed by the tasks; the driver gets numbers.
+    without a key or label; where a key stands on several rows, their texts all count, up to ``most_docs`` texts.  Features are
+    computed and stored by the tasks; the driver gets the documents' numbers of lines, then the features of the chosen ones.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     chosen = (
@@ -181,14 +183,19 @@ def train(
                 )
 
     found = sample.select(text, F.col("_good").cast("int")).mapInArrow(run, "good int, features binary, n bigint")
-    total, x, owner, good = 0, [], [], []
-    rows = found.orderBy(F.xxhash64("features")).limit(most_docs).collect()
-    for i, row in enumerate(rows):
+    stage = staged(found.withColumn("hash", F.xxhash64("features")), "line-features")
+    order = stage.select("hash", "good", "n").orderBy("hash", "good").limit(most_docs).collect()  # three numbers a document
+    total, chosen = 0, []
+    for row in order:
         if total + row.n <= most_lines:
             total += row.n
-            x.append(np.frombuffer(row.features, np.float32).reshape(-1, FEATURES))
-            owner.append(np.full(row.n, i))
-            good.append(np.full(row.n, row.good == 1))
+            chosen.append(row)
+    wanted = sorted({r.hash for r in chosen})
+    lines = stage.where(F.col("hash").isin(wanted)).select("hash", "features").dropDuplicates(["hash"]).collect()  # most_lines
+    features = {r.hash: np.frombuffer(r.features, np.float32).reshape(-1, FEATURES) for r in lines}
+    x = [features[r.hash] for r in chosen]
+    owner = [np.full(r.n, i) for i, r in enumerate(chosen)]
+    good = [np.full(r.n, r.good == 1) for r in chosen]
     if not x:
         return fit(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0, bool))
     return fit(np.concatenate(x).astype(np.float64), np.concatenate(owner), np.concatenate(good))

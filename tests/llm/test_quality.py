@@ -1,5 +1,6 @@
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -104,3 +105,17 @@ def test_classifier_on_odd_rows(spark, odd):
     assert all(r.score == 0 and r.predicted == 0 for r in rows if r.doc_id in (0, 1, 2, None))
     assert crf.accepted(odd, field).schema == odd.schema
     assert crf.quality_scores(odd.limit(0), field).count() == 0
+
+
+def test_the_lines_of_the_sample_are_bounded_before_they_are_fetched(spark, monkeypatch):
+    long = "\n".join(f"line {i} of a long text" for i in range(400))
+    texts = [long] * 5 + [f"a line of {i}\nand one more" for i in range(30)] + ["", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, quality int")
+    seen = {}
+    monkeypatch.setattr(crf, "fit", lambda x, owner, good: seen.update(x=x, owner=owner, good=good))
+    crf.train(docs, labels, most_lines=30)
+    assert 0 < len(seen["x"]) == len(seen["owner"]) == len(seen["good"]) <= 30
+    crf.train(docs, labels, most_lines=10**6)
+    usable = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen["x"]) == sum(len([line for line in t.split("\n") if line.strip()]) for t in usable), "copies count each"
