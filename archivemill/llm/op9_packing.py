@@ -4,20 +4,20 @@ The global histogram of lengths decides the bucket boundaries by dynamic program
 the boundaries that minimise the padding over all rows.  Inside a bucket every row is
 padded to the boundary, and batches hold as many rows as the token budget allows.
 
-The histogram is counted over all rows on a grid of lengths: every length up to 1,024,
-above that 256 steps to a doubling.  That bounds it to about 6,700 cells for any input,
-and a boundary is always a cell's upper end, so no row is cut.
+The histogram is counted over all rows by every length up to 131,072 and, above that, in 256 steps to a
+doubling, which bounds it to about 143,000 cells for any input.  A boundary is always the
+largest length present in a cell, so no row is cut, and the boundaries are the best ones
+unless rows are longer than 131,072.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivemill.llm.shared import gapless, staged
 
-FINE = 1024
+FINE = 1 << 17
 STEPS = 256
 
 
@@ -30,37 +30,52 @@ def cell(length: Column) -> Column:
 def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Boundaries of at most ``buckets`` buckets with the least padding.
 
-    ``cells``: (upper end, rows, sum of lengths).  Ties go to the smaller boundary.
+    ``cells``: (upper end, rows, sum of lengths).  Ties go to the smaller boundary.  What a boundary after cell j costs on
+    top of one after cell i is a line in j's upper end; ends and slopes are in order, so that the least of the
+    lines is found in one walk along their lower envelope for each bucket.
     """
-    if not cells:
-        return []
-    ends, counts, totals = (np.array(x, dtype=np.float64) for x in zip(*sorted(cells), strict=True))
-    n = len(ends)
-    count, total = np.concatenate([[0.0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(totals)])
+    cells = sorted(cells)
+    n = len(cells)
+    ends, count, total = [c[0] for c in cells], [0], [0]
+    for _, rows, lengths in cells:
+        count.append(count[-1] + rows)
+        total.append(total[-1] + lengths)
     # least[j]: the least padding of the first j cells with the buckets used so far
-    least = np.full(n + 1, np.inf)
-    least[0] = 0.0
-    cuts: list[np.ndarray] = []
+    least: list[int | None] = [0] + [None] * n
+    cuts: list[list[int]] = []
     for _ in range(min(buckets, n)):
-        after, cut = least.copy(), np.full(n + 1, -1)
+        after, cut = list(least), [-1] * (n + 1)
+        lines: list[tuple[int, int, int]] = []  # slope, height at 0, cell
+        at = 0
         for j in range(1, n + 1):
-            cost = least[:j] + ends[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < after[j]:
-                after[j], cut[j] = cost[i], i
+            if least[j - 1] is not None:
+                slope, height = -count[j - 1], least[j - 1] + total[j - 1]
+                while len(lines) > at + 1:
+                    (s1, h1, _), (s2, h2, _) = lines[-2:]
+                    if (height - h1) * (s1 - s2) > (h2 - h1) * (s1 - slope):
+                        break
+                    lines.pop()
+                lines.append((slope, height, j - 1))
+            end = ends[j - 1]
+            while at + 1 < len(lines) and lines[at + 1][0] * end + lines[at + 1][1] < lines[at][0] * end + lines[at][1]:
+                at += 1
+            cost = lines[at][0] * end + lines[at][1] + end * count[j] - total[j]
+            if after[j] is None or cost < after[j]:
+                after[j], cut[j] = cost, lines[at][2]
         least = after
         cuts.append(cut)
     out, j = [], n
     for cut in reversed(cuts):
         if j > 0 and cut[j] >= 0:
-            out.append(int(ends[j - 1]))
-            j = int(cut[j])
+            out.append(ends[j - 1])
+            j = cut[j]
     return out[::-1]
 
 
 def pack(docs: DataFrame, length: Column, key: str = "doc_id", buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """Every row of ``docs`` in a batch of its length bucket.
 
+    ``length``: the tokens of a row, in whatever unit; the registered query and the pipeline count words.
     Returns ``key``, n_tokens, bucket (from 0), bucket_length, batch (from 0 in a bucket),
     place (from 0 in a batch) and padding.  A batch holds ``budget // bucket_length`` rows,
     and one row where the boundary is above the budget; only the last batch of a bucket is
@@ -71,8 +86,9 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", buckets: int = 16
     rows = staged(docs.select(docs[key].alias(key), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")), "lengths")
     histogram = (
         rows.groupBy("n_tokens").count()
-        .groupBy(cell(F.col("n_tokens")).alias("end"))
-        .agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_tokens")).alias("total"))
+        .groupBy(cell(F.col("n_tokens")))
+        .agg(F.max("n_tokens").alias("end"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_tokens")).alias("total"))
+        .select("end", "n", "total")
     )
     ends = boundaries([tuple(r) for r in histogram.collect()], buckets)  # bounded by the grid
     if not ends:

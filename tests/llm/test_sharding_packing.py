@@ -1,5 +1,6 @@
 import collections
 import itertools
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -79,10 +80,30 @@ def test_boundaries_are_the_best_of_all():
     assert boundaries([], 4) == []
 
 
+def test_boundaries_of_many_lengths_are_those_of_the_plain_recursion():
+    pick = random.Random(4)
+    for _ in range(30):
+        cells = [(e, n, e * n - pick.randrange(n)) for e, n in ((e, pick.randrange(1, 9)) for e in sorted(pick.sample(range(1, 400), 40)))]
+        best = [0, *[None] * len(cells)]
+        for buckets in range(1, 9):
+            for j in range(len(cells), 0, -1):
+                costs = [b + sum(cells[j - 1][0] * n - t for _, n, t in cells[i:j]) for i, b in enumerate(best[:j]) if b is not None]
+                best[j] = min([c for c in [best[j], *costs] if c is not None])
+            found = boundaries(cells, buckets)
+            assert len(found) <= buckets and padding(cells, found) == best[-1]
+
+
+def test_boundaries_are_lengths_that_occur(spark):
+    lengths = [3, 7, 2000, 2001, 140_000, 300_001, 300_007]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id bigint, n bigint")
+    rows = pack(docs, F.col("n"), buckets=3).collect()
+    assert {r.bucket_length for r in rows} <= set(lengths) and max(r.bucket_length for r in rows) == 300_007
+
+
 def test_cells_hold_their_lengths(spark):
-    lengths = [0, 1, 1023, 1024, 1025, 1028, 2047, 2048, 2049, 5000, 10**6, 10**9]
+    lengths = [0, 1, 1023, 1024, 1025, 2049, 131_072, 131_073, 131_585, 262_144, 262_145, 10**6, 10**9]
     rows = spark.createDataFrame([(x,) for x in lengths], "n bigint").select("n", cell(F.col("n")).alias("end")).collect()
-    assert all(r.end >= r.n and (r.end - r.n <= r.n / 128 if r.n > 1024 else r.end == r.n) for r in rows)
+    assert all(r.end >= r.n and (r.end - r.n <= r.n / 128 if r.n > 131_072 else r.end == r.n) for r in rows)
 
 
 def test_batches_fit_the_budget(spark, odd):
