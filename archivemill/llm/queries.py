@@ -29,6 +29,36 @@ _QUERIES: dict[str, Query] = {}
 
 #: DuckDB SQL by query.
 CHECKS: dict[str, str] = {
+    "op7_fm_index_decontamination": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i
+                  FROM (SELECT *, least(10, len(w)) AS size FROM items WHERE len(w) > 0))
+        ), places AS (
+            SELECT doc, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+            FROM (SELECT doc, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows))
+        ), hits AS (
+            SELECT doc, item, i, size FROM places JOIN windows USING (size, phrase)
+        ), words AS (
+            SELECT doc, count(DISTINCT spot) AS n_hit
+            FROM (SELECT doc, unnest(range(i, i + size)) AS spot FROM (SELECT DISTINCT doc, i, size FROM hits)) GROUP BY doc
+        ), found AS (
+            SELECT doc, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY doc
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (doc) LEFT JOIN found USING (doc)
+    """,
     "op11_strassen_hard_negatives": """
         WITH usable AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
