@@ -63,10 +63,15 @@ def local_session(cores: int | str = 8, app: str = "archivemill", **extra: str)
     return configure(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a scan that arrives in fewer partitions than that.
+#: Rows of a narrow table that one task makes lines of; a line is about a hundred times the row's bytes.
+TASK_ROWS = 20_000
 
-    A table of many splits, the normal case on a cluster, passes untouched.
+
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Deal a scan to tasks of at most ``task_rows`` rows, and to every core.
+
+    A scan is split by the bytes it reads, and a row group is never split; what is made of the rows here is far larger
+    than they are, so tasks are cut by rows, which are narrow and move once.  They are counted from the files' footers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // task_rows)))
