@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Runtime SQL settings: text timestamps are UTC, and of two equal keys in one
 # JSON object the last one counts.
@@ -67,11 +68,13 @@ def local_session(cores: int | str = 8, app: str = "archivemill", **extra: str)
 TASK_ROWS = 20_000
 
 
-def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Deal a scan to tasks of at most ``task_rows`` rows, and to every core.
+def spread(df: DataFrame, task_rows: int | None = None, by: Sequence[Column | str] = ()) -> DataFrame:
+    """Deal a scan to tasks of at most ``task_rows`` rows (default: ``TASK_ROWS``), and to every core.
 
     A scan is split by the bytes it reads, and a row group is never split; what is made of the rows here is far larger
     than they are, so tasks are cut by rows, which are narrow and move once.  They are counted from the files' footers.
+    ``by``: a task takes a range of these keys, of about that many rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-df.count() // task_rows)))
+    tasks = max(cores, -(-df.count() // (task_rows or TASK_ROWS)))
+    return df.repartitionByRange(tasks, *by) if by else df.repartition(tasks)

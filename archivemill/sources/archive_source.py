@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from archivemill.sources.unpacking import STEPS, unpacked
 
-#: Compressed bytes that a task is dealt, and what opening a file counts for.
-SPLIT_BYTES = 32 * 1024 * 1024
+#: Compressed bytes that a task is dealt, some 50 to 100 MB of text, and what opening a file counts for.
+SPLIT_BYTES = 4 * 1024 * 1024
 OPEN_BYTES = 256 * 1024
 
 # Characters that stand for themselves in the path of a file's URI.

@@ -20,7 +20,9 @@ error      by ``event_id % 10``: 0 limit, 2 scrub_geo, 4 status_withheld,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from archivemill.session import spread
 
@@ -238,8 +240,9 @@ def message_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def lines_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_from_events(spark: SparkSession, sf_dir: str, by: Sequence[Column | str] = ()) -> DataFrame:
+    """The lines; with ``by``, keys of an event, each task makes those of a range of the keys."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type"
     )
-    return message_lines(spread(events))
+    return message_lines(spread(events, by=by))
