@@ -6,6 +6,7 @@ Both give rows to append.  What they have given out so far, folded once more by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -88,26 +89,46 @@ def latest_changes(rows: DataFrame, keys: Sequence[str], order: Sequence[tuple[s
     return _typed(found, rows.schema)
 
 
+#: Rows share a state by the span of time they lie in, and within it by their hash.
+_SPAN_MS = 60 * 60 * 1000
+_PARTS = 64
+_DIGEST = 16
+
+
 class _Distinct(StatefulProcessor):
-    """Knows the rows whose time the watermark has not passed."""
+    """Knows the rows of a span of time and a part of the hashes, until the watermark has passed the span.
+
+    A row is known by 128 bits of a cryptographic hash: rows of a billion share them with a chance of 1e-21.
+    """
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "at bigint")
+        self.seen = handle.getValueState("seen", "digests binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        row = next(rows)  # the others of its key are equal to it
-        at = row["_at"]
-        if self.seen.exists():
-            return
-        late = at is None or at <= timerValues.getCurrentWatermarkInMs()  # its timer may have gone off
-        if not late:
-            self.seen.update((at,))
-            self.handle.registerTimer(at)
-        yield Row(**{c: row[c] for c in self.columns}, **{_LATE: late})
+        held = bytes(self.seen.get()[0]) if self.seen.exists() else b""
+        known = {held[i : i + _DIGEST] for i in range(0, len(held), _DIGEST)}
+        passed, fresh, end = timerValues.getCurrentWatermarkInMs(), [], None
+        for row in rows:
+            values = [row[c] for c in self.columns]
+            text = repr([v + 0.0 if isinstance(v, float) else v for v in values])  # a zero has no sign
+            digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=_DIGEST).digest()
+            if digest in known:
+                continue
+            known.add(digest)
+            at = row["_at"]
+            late = at is None or at <= passed  # its timer may have gone off
+            if not late:
+                fresh.append(digest)
+                end = (at // _SPAN_MS + 1) * _SPAN_MS - 1
+            yield Row(**dict(zip(self.columns, values, strict=True)), **{_LATE: late})
+        if fresh:
+            if not held:
+                self.handle.registerTimer(end)
+            self.seen.update((held + b"".join(fresh),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
         self.seen.clear()
@@ -120,8 +141,8 @@ class _Distinct(StatefulProcessor):
 def distinct_changes(rows: DataFrame, time: str, delay: str) -> DataFrame:
     """The rows of a stream without repeats, and ``late``: whether a row may be a repeat after all.
 
-    A row is remembered until the watermark, ``delay`` behind the latest ``time``, passes its time, so the state follows the rows
-    of that span.  No row is lost for being later than that, or for having no time: it comes out as ``late``, once a
+    A row is remembered until the watermark, ``delay`` behind the latest ``time``, passes the hour of its time, so the state
+    follows the rows of that span: 16 bytes a row, one value for each hour and part of the hashes.  No row is lost for being later than that, or for having no time: it comes out as ``late``, once a
     batch, and is to be compared with what is stored; all others come out once.
     """
     _with_state(rows.sparkSession)
@@ -131,7 +152,8 @@ def distinct_changes(rows: DataFrame, time: str, delay: str) -> DataFrame:
     timed = rows.withColumn("_at", F.unix_millis(at)).withColumn("_clock", at + F.expr("INTERVAL 0 SECOND"))
     watched = _plain(timed.withWatermark("_clock", delay).select(*columns, "_at"))
     schema = StructType([*(StructField(c, watched.schema[c].dataType) for c in columns), StructField(_LATE, BooleanType())])
-    found = watched.groupBy(*columns).transformWithState(_Distinct(columns), schema, outputMode="Append", timeMode="EventTime")
+    dealt = watched.withColumn("_slot", F.floor(F.col("_at") / _SPAN_MS)).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(_PARTS)))
+    found = dealt.groupBy("_slot", "_part").transformWithState(_Distinct(columns), schema, outputMode="Append", timeMode="EventTime")
     return _typed(found, rows.schema)
 
 
