@@ -10,10 +10,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 
 # Runtime SQL settings: text timestamps are UTC, and of two equal keys in one
-# JSON object the last one counts.
+# JSON object the last one counts.  The JVM only interprets a method of over 8,000 bytes of bytecode, so
+# stages whose whole code is larger run operator by operator, in methods that are cut up.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -218,26 +218,30 @@ def message_lines(events: DataFrame) -> DataFrame:
     nested = _level(
         quoted, f"{quoted} % {AUTHORS}", "timestamp_seconds(1698796800 + event_id div 100)"
     )
-    levels = f"""array({outer}, {_when("event_type IN ('click', 'purchase')", repeated)},
-        {_when(f"event_type = 'click' AND {original} % 5 = 0", nested)})"""
-    # One rendering rule for all levels; the pieces are then put inside each other.
-    parts = f"transform({levels}, m -> {_when('m.mid IS NOT NULL', _render('m'))})"
-    below = """coalesce(concat(',"quoted_status":{', parts[2], '}'), '')"""
+    # One rendering rule for all levels, each a column of its own: a lambda over an array of levels would be
+    # interpreted for every message.  The pieces are then put inside each other.
+    levels = {
+        "m0": outer,
+        "m1": _when("event_type IN ('click', 'purchase')", repeated),
+        "m2": _when(f"event_type = 'click' AND {original} % 5 = 0", nested),
+    }
+    parts = {m: _when(f"event_type <> 'error' AND {m}.mid IS NOT NULL", _render(m)) for m in levels}
+    below = """coalesce(concat(',"quoted_status":{', p2, '}'), '')"""
     key = "CASE event_type WHEN 'click' THEN 'retweeted' ELSE 'quoted' END"
-    embedded = f"""coalesce(concat(',"', {key}, '_status":{{', parts[1], {below}, '}}'), '')"""
-    return events.selectExpr(
+    embedded = f"""coalesce(concat(',"', {key}, '_status":{{', p1, {below}, '}}'), '')"""
+    position = [
         "concat(date_format(ts, 'yyyy/MM/dd/HH'), '/00.json.bz2') AS file",
         f"event_id - event_id % {BLOCK} AS block",
         "event_id AS line",
-        "event_type",
-        f"CASE WHEN event_type = 'error' THEN {_notice()} END AS notice",
-        f"CASE WHEN event_type <> 'error' THEN {parts} END AS parts",
-    ).selectExpr(
-        "file",
-        "block",
-        "line",
-        f"coalesce(notice, concat('{{', parts[0], {embedded}, '}}')) AS value",
-    )
+    ]
+    return (
+        events.selectExpr(*position, "event_id", "user_id", "ts", "event_type", *(f"{level} AS {m}" for m, level in levels.items()))
+        .selectExpr(
+            "file", "block", "line", "event_type", f"CASE WHEN event_type = 'error' THEN {_notice()} END AS notice",
+            *(f"{part} AS p{m[1:]}" for m, part in parts.items()),
+        )
+        .selectExpr("file", "block", "line", f"coalesce(notice, concat('{{', p0, {embedded}, '}}')) AS value")
+    )
 
 
 def lines_from_events(spark: SparkSession, sf_dir: str, by: Sequence[Column | str] = ()) -> DataFrame:

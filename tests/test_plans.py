@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from archivemill.operators import flags, flatten, latest, mining, tables
 from archivemill.plans import parse
 from archivemill.queries import all_queries
+from archivemill.sources.events import message_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,17 @@ def test_no_nested_loops_and_no_unchecked_broadcast(spark):
 def test_registered_plans_have_no_cross_join(spark, name):
     plan = physical(all_queries()[name](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lines_are_made_without_interpreted_lambdas(spark):
+    rows = [(5, "2024-01-01 00:00:00", 7, "click"), (6, "2024-01-01 00:00:01", 7, None), (10, "2024-01-01 00:00:02", None, "purchase"), (12, None, 1, "error")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    made = message_lines(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    assert "lambda" not in optimized(made)
+    found = {r.line: r.value for r in made.collect()}
+    assert found[5].count('"retweeted_status":{') == 1 and found[5].count('"quoted_status":{') == 1
+    assert found[6] is None and '"quoted_status":{' in found[10] and '"scrub_geo"' in found[12]
+
+
+def test_code_that_the_jvm_would_not_compile_is_cut_up(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
