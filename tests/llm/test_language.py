@@ -1,10 +1,14 @@
 import collections
+import json
 import math
+import pathlib
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from archivemill.llm import op5_ngram_trie as lm
 from archivemill.llm import op6_token_counts as counts
@@ -103,3 +107,47 @@ def test_a_digest_stored_twice_counts_once_and_no_column_is_lost(spark, tmp_path
     again = counts.token_counts(docs, path, cache)
     assert again.columns == ["doc_id", "_content", "_count", "content", "n_bytes", "n_tokens"]
     assert sorted((r.doc_id, r["_content"], r["_count"], r.content) for r in again.collect()) == [(1, 7, 8, 9), (2, 7, 8, 9)]
+
+
+def test_a_task_gives_the_library_each_word_once(monkeypatch):
+    path, given = public_tokenizers.path("byte_bpe_50k.json"), []
+    library = counts.counter(path)
+    monkeypatch.setattr(counts, "counter", lambda _: lambda texts: given.extend(texts) or library(texts))
+    long = "x" * 100
+    texts = [f"the cat{i % 7} sat \n on <|endoftext|>the mat {long}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["content", "_text"])
+    frames = list(counts._encode(path, counts.splits_at_space(path))(iter([batch, batch])))
+    assert [x for f in frames for x in f.column("n_tokens").to_pylist()] == library(texts) * 2
+    assert sum(map(len, given)) < 10 * len(texts[0])
+    short = [w for w in given if long not in w]
+    assert len(short) == len(set(short)) and f" {long}" in given
+
+
+def test_counts_of_words_add_up_at_any_white_space(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, spaces = counts.counter(path), [chr(c) for c in (*range(33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    pick = random.Random(7)
+    signs = [*spaces, *" \n" * 40, *"ab1!é中́²", "'s", "<|endoftext|>", "   ", "the"]
+    texts = ["", " ", *spaces, *(f"!{s}!" for s in spaces), *(f"a{s} {s}b\n{s}" for s in spaces)]
+    texts += ["".join(pick.choices(signs, k=pick.randrange(40))) for _ in range(2000)]
+    monkeypatch.setattr(counts, "KEPT_WORDS", 500)  # the kept counts are dropped on the way
+    by_words = counts._by_words(library)
+    assert [by_words([t])[0] for t in texts] == library(texts)
+    assert all("".join(counts.PARTS.findall(t)) == t for t in texts)
+
+
+def test_only_tokenizers_that_split_at_space_are_given_words(tmp_path):
+    form = json.loads(pathlib.Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    split, added = form["pre_tokenizer"], form["added_tokens"][0]
+
+    def splits(**change):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps({**form, **change}))
+        return counts.splits_at_space(str(path))
+
+    assert splits() and splits(added_tokens=[])
+    assert not splits(normalizer={"type": "Lowercase"}) and not splits(pre_tokenizer=None)
+    assert not splits(pre_tokenizer={**split, "add_prefix_space": True}) and not splits(pre_tokenizer={**split, "use_regex": False})
+    assert not splits(added_tokens=[{**added, "content": "a b"}]) and not splits(added_tokens=[{**added, "rstrip": True}])
+    assert not splits(model={**form["model"], "dropout": 0.1})
+    assert not any(counts.splits_at_space(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
